@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessellum.llm import bpe, chat, sharding, tokenbin, urlfilter
+from tessellum.llm import bpe, chat, decontam, quality, sharding, tokenbin, urlfilter
 from tessellum.llm.common import fresh_path, table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -15,12 +15,23 @@ SHARDS = [f"shard-{i:03d}" for i in range(64)]
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("allow", "example.net", "/de/8"), ("block", "org", "/es/")]
 
 
+def op3_likelihood_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base rules and verdict for every document; those that labels call good are the trusted target."""
+    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    return quality.judge(table(spark, sf_dir, "documents"), labels.filter("quality = 1"))
+
+
 def op4_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every dialogue from the perspective of each participant; masks as start-end pairs."""
     mask = F.array_join(F.transform("mask", lambda x: F.concat_ws("-", x["start"], x["end"])), ",").alias("mask")
     return chat.rotate(table(spark, sf_dir, "conversations")).select("conv_id", "perspective", "block", "n_turns", "n_trained", "rendered", mask)
 
 
+def op5_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that stand in a window of a benchmark item."""
+    return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("matches")
+
+
 def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The verdict on every page's URL."""
     rules = spark.createDataFrame(RULES, "action string, host string, path string")
@@ -44,7 +55,7 @@ def op10_slot_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(table(spark, sf_dir, "documents").select("doc_id"), ["doc_id"], SHARDS)
 
 
-QUERIES = {f.__name__: f for f in (op4_perspective_rotation, op7_url_rules, op8_token_files, op9_bpe_round_trip, op10_slot_sharding)}
+QUERIES = {f.__name__: f for f in (op3_likelihood_ratio, op4_perspective_rotation, op5_positional_index, op7_url_rules, op8_token_files, op9_bpe_round_trip, op10_slot_sharding)}
 
 ORACLES = {
     "op4_perspective_rotation": """
