@@ -19,7 +19,7 @@ from tessellum.llm.common import sliced
 from tessellum.llm.textvec import CODES, SPACE, Texts, mix, owner, prefix, ranges
 
 BUCKETS = 1 << 16
-THRESHOLD = -0.05
+THRESHOLD = -0.08
 WINDOW = 8
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessellum.llm import bpe, chat, decontam, quality, sharding, tokenbin, urlfilter
+from tessellum.llm import bpe, chat, decontam, near_dedup, quality, sharding, span_dedup, tokenbin, urlfilter
 from tessellum.llm.common import fresh_path, table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -15,6 +15,11 @@ SHARDS = [f"shard-{i:03d}" for i in range(64)]
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("allow", "example.net", "/de/8"), ("block", "org", "/es/")]
 
 
+def op2_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the sentences of repeated spans."""
+    return span_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_likelihood_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base rules and verdict for every document; those that labels call good are the trusted target."""
     labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.min("quality").alias("quality"))
@@ -32,6 +37,11 @@ def op5_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("matches")
 
 
+def op6_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of near duplicates of every document."""
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The verdict on every page's URL."""
     rules = spark.createDataFrame(RULES, "action string, host string, path string")
@@ -55,7 +65,7 @@ def op10_slot_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(table(spark, sf_dir, "documents").select("doc_id"), ["doc_id"], SHARDS)
 
 
-QUERIES = {f.__name__: f for f in (op3_likelihood_ratio, op4_perspective_rotation, op5_positional_index, op7_url_rules, op8_token_files, op9_bpe_round_trip, op10_slot_sharding)}
+QUERIES = {f.__name__: f for f in (op2_sentence_spans, op3_likelihood_ratio, op4_perspective_rotation, op5_positional_index, op6_superminhash, op7_url_rules, op8_token_files, op9_bpe_round_trip, op10_slot_sharding)}
 
 ORACLES = {
     "op4_perspective_rotation": """
