@@ -25,15 +25,16 @@ WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: The public split pattern of byte-level vocabularies (fixed values).
 SPLIT = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 COARSE = regex.compile(rf" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
-#: Texts where white space isn't single blanks and line feeds between words.
-ODD = regex.compile(r"[ \n][ \n]|[\t\x0b-\r\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-CACHE = 500_000
+#: White space beyond ASCII, and what else keeps a text from being cut at single blanks and line feeds.
+WIDE = regex.compile(r"[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+RUNS = ("  ", "\n\n", " \n", "\n ", "\t", "\r", "\x0b", "\x0c", "\x1f")
+CACHE = 800_000
 LONG_PIECE = 200
 
 
 def pieces(text: str) -> list[str]:
     """Parts of a text whose ids don't depend on each other."""
-    if ODD.search(text):
+    if any(x in text for x in RUNS) or not text.isascii() and WIDE.search(text):
         return COARSE.findall(text)
     parts = text.replace(" ", "\x1f ").replace("\n", "\x1f\n").split("\x1f")
     return parts if parts[0] else parts[1:]
@@ -122,7 +123,7 @@ class Codec:
         if not text:
             return np.zeros(0, self.width)
         get = self.cache.__getitem__
-        if self.special is None or not self.special.search(text):
+        if not any(t in text for t in self.added):
             return np.frombuffer(b"".join(map(get, pieces(text))), self.width)
         parts, at = [], 0
         for m in self.special.finditer(text):

@@ -40,32 +40,48 @@ class Encoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.special = regex.compile("|".join(map(regex.escape, added))) if added else None
-        self.width = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.added = [t.content for t in added.values()]
+        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.width = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        #: Bytes of text that each id stands for: one for each character of a byte-level token.
+        self.lengths = np.array([len(added[i].content.encode()) if i in added else len(self.tokenizer.id_to_token(i)) for i in range(size)])
         self.cache: dict[str, bytes] = {"": b""}
-
-    def packed(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.width).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self.again: set[str] = set()
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.width).tobytes()
+
+    def packed(self, parts: list[str]) -> list[bytes]:
+        """Packed ids of pieces without added tokens; many go to the library as the words of one sequence."""
+        out: list[bytes] = []
+        for a in range(0, len(parts), 2000):
+            some = parts[a : a + 2000]
+            ids = np.array(self.tokenizer.encode_batch_fast([some], is_pretokenized=True, add_special_tokens=False)[0].ids, self.width)
+            ends = np.cumsum([len(p.encode()) for p in some])
+            cuts = np.searchsorted(np.cumsum(self.lengths[ids]), ends) + 1
+            data, at = ids.tobytes(), (cuts * self.width.itemsize).tolist()
+            out += [data[x:y] for x, y in zip([0, *at], at)]
+        return out
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         """Packed ids of each text; a text with an added token in it goes to the library whole."""
-        cut = [None if t is None or self.special and self.special.search(t) else pieces(t) if t else [] for t in texts]
-        new = set().union(*(x for x in cut if x)).difference(self.cache)
-        if new:
-            if len(self.cache) + len(new) > CACHE:
-                self.cache = {"": b""}
-                new = set().union(*(x for x in cut if x)).difference(self.cache)
-            fresh = list(new)
-            self.cache.update(zip(fresh, self.packed(fresh), strict=True))
+        cut = [None if t and any(x in t for x in self.added) else pieces(t) if t else [] for t in texts]
+        seen = set().union(*(x for x in cut if x))
+        new = seen.difference(self.cache)
+        self.again |= seen - new
+        if len(self.cache) + len(new) > CACHE:  # keep what has been of use, if that leaves room
+            self.cache = {"": b""} | ({p: self.cache[p] for p in self.again} if len(self.again) < CACHE // 2 else {})
+            self.again, new = set(), seen.difference(self.cache)
+        fresh = list(new)
+        self.cache.update(zip(fresh, self.packed(fresh), strict=True))
         get = self.cache.__getitem__
-        out = [(b"" if t is None else self.packed([t])[0]) if x is None else b"".join(map(get, x)) for t, x in zip(texts, cut, strict=True)]
+        out = [self.whole(t) if x is None else b"".join(map(get, x)) for t, x in zip(texts, cut, strict=True)]
         for piece in [p for p in new if len(p) > LONG_PIECE]:
             del self.cache[piece]
         return out
