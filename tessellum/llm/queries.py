@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessellum.llm import bpe, chat, decontam, near_dedup, quality, sharding, span_dedup, tokenbin, urlfilter
+from tessellum.llm import bpe, chat, decontam, near_dedup, quality, sharding, span_dedup, tokenbin, toxicity, urlfilter
 from tessellum.llm.common import fresh_path, table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -15,6 +15,13 @@ SHARDS = [f"shard-{i:03d}" for i in range(64)]
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("allow", "example.net", "/de/8"), ("block", "org", "/es/")]
 
 
+def op1_subsequence_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every document, by a model that has seen the labels of two thirds of the ids."""
+    docs, held_out = table(spark, sf_dir, "documents").select("doc_id", "text"), toxicity.held_out()
+    model = toxicity.train(docs, table(spark, sf_dir, "labels").filter(~held_out))
+    return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op2_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the sentences of repeated spans."""
     return span_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -65,7 +72,7 @@ def op10_slot_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(table(spark, sf_dir, "documents").select("doc_id"), ["doc_id"], SHARDS)
 
 
-QUERIES = {f.__name__: f for f in (op2_sentence_spans, op3_likelihood_ratio, op4_perspective_rotation, op5_positional_index, op6_superminhash, op7_url_rules, op8_token_files, op9_bpe_round_trip, op10_slot_sharding)}
+QUERIES = {f.__name__: f for f in (op1_subsequence_kernel, op2_sentence_spans, op3_likelihood_ratio, op4_perspective_rotation, op5_positional_index, op6_superminhash, op7_url_rules, op8_token_files, op9_bpe_round_trip, op10_slot_sharding)}
 
 ORACLES = {
     "op4_perspective_rotation": """

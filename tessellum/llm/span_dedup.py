@@ -42,6 +42,7 @@ class Sentences:
         start, end = np.flatnonzero(inside & ~before), np.flatnonzero(inside & (~after | wide)) + 1
         words = np.searchsorted(start, t.start)
         self.hash = ranges(prefix(CODES[b]), start, end)
+        self.word_start, self.word_end = start, end
         new = np.zeros(len(start), bool)
         if len(start):
             new[words[:-1][words[:-1] < words[1:]]] = True
