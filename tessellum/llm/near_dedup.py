@@ -7,10 +7,14 @@
    no slot takes two first ranks of one element. A document stops when no later step can improve a slot.
 3. ROWS values make a band; nodes that agree in a band share a bucket. Two sets of similarity 0.75 share
    none of the BANDS buckets with a probability of 6e-6, of similarity 0.8 with 5e-8.
-4. Each node is compared with the least node of each of its buckets. After components have formed, a
-   bucket that still holds several of them is compared across components: pairs of nodes from different
-   components whose signatures agree well enough are formed in the join and all of them verified. So no
-   bucket is capped, and pairs within a component, however large, are never listed.
+4. Each node is compared with the most central node of each of its buckets, the one with the most
+   company in all its buckets, so that copies meet what they are copies of. After components have
+   formed, a bucket that still holds several of them is compared across components. There, each
+   node's shingles that some other such node has too are counted, in PARTS parts by their hashes: two
+   nodes share at most the lesser count of each part, which bounds their similarity from above,
+   exactly. Pairs of nodes from different components that pass this bound, and whose signatures agree
+   well enough, are formed in the join, and all of them verified. So no bucket is capped, and pairs
+   within a component, however large, are never listed.
 5. Verification takes the whole texts of both sides and counts their common shingles.
 
 Words are those of [^\\x20\\x09-\\x0D]+ with A-Z in lower case. Shingles are 64-bit hashes.
@@ -34,6 +38,7 @@ BANDS = SLOTS // ROWS
 SIMILARITY = 75
 #: Two bits of each slot are kept to compare signatures in joins: at a similarity of 0.75, 32 of 256 bits differ on average (standard deviation 6.3).
 MOST_BITS = 64
+PARTS = 128
 CHUNK = 1 << 16
 STEP = 0x9E3779B97F4A7C15
 
@@ -154,11 +159,13 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     of each other (so of two rows with one id and one text, both are kept or none). A null id is
     never a component's least id unless all ids in it are null."""
     described_ = written(described(docs, id, text), "signatures")
-    nodes = written(described_.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least_id"), F.first("bits").alias("bits"), F.first("bands").alias("bands")), "nodes")
+    nodes = written(described_.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least_id"), F.first("n_shingles").alias("n"), F.first("bits").alias("bits"), F.first("bands").alias("bands")), "nodes")
     members = nodes.select("node", F.explode("bands").alias("bucket"))
-    shared = written(members.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least <> most").select("bucket", "least"), "buckets")
+    shared = written(members.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("company")).filter("lo <> hi").select("bucket", "company"), "buckets")
     crowded = written(members.join(shared, "bucket"), "members")
-    stars = crowded.filter("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
+    central = written(crowded.groupBy("node").agg(F.sum("company").alias("company")), "central")
+    leaders = written(crowded.select("bucket", "node").join(central, "node").groupBy("bucket").agg(F.max(F.struct("company", "node")).alias("most")).select("bucket", F.col("most.node").alias("leader")), "leaders")
+    stars = crowded.join(leaders, "bucket").filter("node <> leader").select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
     bits = nodes.select("node", "bits")
     stars = written(
         stars.join(bits.select(F.col("node").alias("a"), F.col("bits").alias("x")), "a").join(bits.select(F.col("node").alias("b"), F.col("bits").alias("y")), "b").filter(differing(F.col("x"), F.col("y")) <= MOST_BITS).select("a", "b"),
@@ -173,10 +180,15 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     roots = written(connected(links), "roots")
     placed = crowded.select("bucket", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = written(placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("bucket"), "mixed")
-    unsettled = written(placed.join(mixed, "bucket").join(bits, "node"), "unsettled")
-    x = unsettled.select("bucket", F.col("node").alias("a"), F.col("root").alias("root_a"), F.col("bits").alias("x"))
-    y = unsettled.select("bucket", F.col("node").alias("b"), F.col("root").alias("root_b"), F.col("bits").alias("y"))
-    across = x.join(y, (x["bucket"] == y["bucket"]) & (F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & (differing(F.col("x"), F.col("y")) <= MOST_BITS)).select("a", "b").distinct()
+    unsettled = written(placed.join(mixed, "bucket"), "unsettled")
+    known = nodes.select("node", "n", "bits").join(common_shingles(texts.join(unsettled.select("node").distinct(), "node")), "node")
+    unsettled = written(unsettled.join(known, "node"), "described")
+    x, y = (unsettled.select("bucket", *[F.col(c).alias(f"{c}_{side}") for c in ("root", "n", "bits", "common", "parts")], F.col("node").alias(side)) for side in "ab")
+    enough = SIMILARITY * (F.col("n_a") + F.col("n_b"))
+    possible = ((100 + SIMILARITY) * F.least("common_a", "common_b") >= enough) & (differing(F.col("bits_a"), F.col("bits_b")) <= MOST_BITS)
+    overlap = F.aggregate(F.zip_with("parts_a", "parts_b", lambda p, q: F.least(p, q)), F.lit(0), lambda s, p: s + p)
+    possible &= (100 + SIMILARITY) * overlap >= enough
+    across = x.join(y, (x["bucket"] == y["bucket"]) & (F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & possible).select("a", "b").distinct()
     more = written(similar(written(across.join(stars, ["a", "b"], "left_anti"), "across"), texts), "more-links")
     if not more.isEmpty():
         roots = written(connected(links.union(more)), "roots")
@@ -189,6 +201,22 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     return out.select(F.col("doc_id").alias(id), "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
+def common_shingles(texts: DataFrame) -> DataFrame:
+    """Rows (node, common, parts): how many shingles of each node some other one has too, in all and by part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for batch in sliced(batches, "text"):
+            keys, of, _ = shingles(batch.column(1))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), batch.column(0).take(pa.array(of))], ["shingle", "node"])
+
+    rows = texts.select("node", "text").mapInArrow(run, "shingle long, node long")
+    part = F.pmod("shingle", F.lit(PARTS)).cast("int").alias("part")
+    own = rows.groupBy("shingle").agg(F.min("node").alias("node"), F.count("*").alias("times")).filter("times = 1").groupBy("node", part).agg((-F.count("*")).cast("int").alias("n"))
+    counts = rows.groupBy("node", part).agg(F.count("*").cast("int").alias("n")).unionByName(own).groupBy("node", "part").agg(F.sum("n").cast("int").alias("n"))
+    listed = counts.groupBy("node").agg(F.sum("n").alias("common"), F.map_from_entries(F.collect_list(F.struct("part", "n"))).alias("by"))
+    return listed.select("node", "common", F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda i: F.coalesce(F.try_element_at("by", i), F.lit(0))).alias("parts"))
+
+
 def of_node(found: DataFrame) -> DataFrame:
     """Of rows (node, text), one whose text has the node's set."""
 
