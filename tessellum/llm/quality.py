@@ -79,7 +79,8 @@ class Counted:
 
 def counts(docs: DataFrame, trusted: DataFrame, id: str, text: str) -> tuple[np.ndarray, np.ndarray]:
     """n-grams of each bucket in all of docs and in those whose id is in trusted."""
-    marked = docs.select(id, text).join(trusted.select(F.col(id)).distinct().withColumn("__trusted", F.lit(True)), id, "left").select(text, F.coalesce("__trusted", F.lit(False)).alias("trusted"))
+    known = trusted.select(F.col(id)).distinct().withColumn("__trusted", F.lit(True)).hint("merge")  # grows with docs; a broadcast of it would not last
+    marked = docs.select(id, text).join(known, id, "left").select(text, F.coalesce("__trusted", F.lit(False)).alias("trusted"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         total = np.zeros((2, BUCKETS), np.int64)
