@@ -66,12 +66,14 @@ def scan(texts: DataFrame, terms: Sequence[tuple]) -> DataFrame:
 
 
 def scan_columns(texts: DataFrame, terms: DataFrame) -> DataFrame:
-    """The same by column functions, for few terms: positions where the text has the term."""
-    low = F.lower("body")
-    pairs = texts.select("doc_id", F.col("text").alias("body")).crossJoin(F.broadcast(terms)).filter(F.contains(low, F.col("term")))
-    n = F.length("term")
-    at = F.filter(F.sequence(F.lit(1), F.greatest(F.length("body") - n + 1, F.lit(1))), lambda i: F.substring(low, i, n) == F.col("term"))
-    return pairs.select("doc_id", "body", "term", "canonical", "type", "priority", F.explode(at).alias("i")).select("doc_id", (F.col("i") - 1).alias("start"), (F.col("i") - 1 + n).alias("end"), F.substring("body", F.col("i"), n).alias("text"), "canonical", "type", "priority")
+    """The same by column functions, for few terms that don't overlap themselves: the text is split before every place that has the term."""
+    before = F.concat(F.lit(r"(?=\Q"), "term", F.lit(r"\E)"))
+    pairs = texts.select("doc_id", F.col("text").alias("body")).crossJoin(F.broadcast(terms)).filter(F.contains(F.lower("body"), F.col("term")))
+    pieces = pairs.select("doc_id", "term", "canonical", "type", "priority", F.posexplode(F.split("body", F.concat(F.lit("(?iu)"), before))).alias("k", "piece"))
+    w = W.partitionBy("doc_id", "term").orderBy("k").rowsBetween(W.unboundedPreceding, -1)
+    rows = pieces.withColumn("start", F.coalesce(F.sum(F.length("piece")).over(w), F.lit(0)).cast("int")).withColumn("n", F.length("term"))
+    rows = rows.withColumn("text", F.concat("piece", F.coalesce(F.lead("piece").over(W.partitionBy("doc_id", "term").orderBy("k")), F.lit("")))).filter(F.startswith(F.lower("text"), F.col("term")))
+    return rows.select("doc_id", "start", (F.col("start") + F.col("n")).alias("end"), F.substring("text", F.lit(1), F.col("n")).alias("text"), "canonical", "type", "priority")
 
 
 def resolve(spans: DataFrame) -> DataFrame:
@@ -209,12 +211,17 @@ def context(text: Column, start: Column, end: Column, width: int = 50) -> Column
     return F.trim(F.concat_ws(" ", left, F.substring(text, end + 1, F.lit(width))))
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with the value worked out once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def hashed_vector(text: Column, dimension: int = 64, n: int = 3) -> Column:
     """A deterministic stand-in for an encoder: counts of hashed character n-grams at unit length."""
     grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.pmod(F.xxhash64(F.substring(F.lower(text), i, F.lit(n))), F.lit(dimension)))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda d: F.size(F.filter(grams, lambda g: g == d)).cast("double"))
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(counts, lambda x: F.when(norm > 0, x / norm).otherwise(F.lit(0.0)))
+    counts = let(grams, lambda all_: F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda d: F.size(F.filter(all_, lambda g: g == d)).cast("double")))
+    norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x))
+    return let(counts, lambda c: let(norm(c), lambda n: F.transform(c, lambda x: F.when(n > 0, x / n).otherwise(F.lit(0.0)))))
 
 
 def link(mentions: DataFrame, kb: DataFrame, k: int = 10) -> DataFrame:

@@ -96,7 +96,8 @@ def mention_context(spark, sf_dir):
 def linked_mentions(spark, sf_dir):
     """Mentions linked to a small knowledge base through hashed vectors."""
     kb = spark.createDataFrame(KB, "kb_id string, name string, aliases array<string>, type string").withColumn("kb_vector", E.hashed_vector(F.col("name")))
-    spans = _spans(spark, sf_dir, TERMS).withColumn("vector", E.hashed_vector(F.col("text")))
+    spans = _spans(spark, sf_dir, TERMS)
+    spans = spans.join(spans.select("text").distinct().withColumn("vector", E.hashed_vector(F.col("text"))), "text")
     linked = E.link(spans.select("doc_id", "pos", "text", "type", "vector"), kb)
     return linked.groupBy("doc_id", "linking_status").agg(F.count("*").alias("n"))
 

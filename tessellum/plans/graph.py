@@ -64,7 +64,7 @@ def graph_delete_document(spark, sf_dir):
 
 
 def graph_name_search(spark, sf_dir):
-    words = spark.createDataFrame([("AN",), ("IN",), ("zzz",)], "word string")
+    words = spark.createDataFrame([("1",), ("2",), ("zzz",)], "word string")
     return G.search_names(G.find_nodes(_graph(spark, sf_dir)[0], "Nation"), words, 5)
 
 
@@ -95,7 +95,7 @@ ORACLES = {
     "graph_neighbours": _G + " select distinct src as id, dst as neighbour from both_ways where rel_type in ('BASED_IN', 'PART_OF') and src like 'n%'",
     "graph_shortest_paths": "with p as (select 's' || s_suppkey as start, 'c' || c_custkey as \"end\", case when s_nationkey = c_nationkey then 2 when a.n_regionkey = b.n_regionkey then 4 end as hops from supplier join nation a on a.n_nationkey = s_nationkey, customer join nation b on b.n_nationkey = c_nationkey where s_suppkey <= 5 and c_custkey <= 40) select * from p where hops is not null",
     "graph_delete_document": _G + ", gone as (select id from nodes where document_id = 3) select (select count(*) from nodes where id not in (from gone)) as nodes, (select count(*) from edges where src not in (from gone) and dst not in (from gone)) as edges",
-    "graph_name_search": _G + ", w(word) as (values ('AN'), ('IN'), ('zzz')) select word, id from w join nodes on contains(text, word) and list_contains(labels, 'Nation') qualify row_number() over (partition by word order by id) <= 5",
+    "graph_name_search": _G + ", w(word) as (values ('1'), ('2'), ('zzz')) select word, id from w join nodes on contains(text, word) and list_contains(labels, 'Nation') qualify row_number() over (partition by word order by id) <= 5",
     "graph_recall": _G
     + """, e as (select e.src || '|' || rel_type || '|' || e.dst as id, h.text as head, t.text as tail from edges e join nodes h on h.id = e.src join nodes t on t.id = e.dst where rel_type = 'PART_OF' and e.dst <> 'r1'),
 names as (select n_nationkey as query_id, n_name[1:4] as name from nation),

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessellum.plans import structure
+from tessellum.plans import answer, extraction, graph, relational, retrieval, structure
 
-FAMILIES = [structure]
+FAMILIES = [structure, relational, retrieval, extraction, graph, answer]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,4 +20,5 @@ def oracles() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries()["sections"](spark, sf_dir)
+    """The best section for every query: recall, fusion and reranking in one plan."""
+    return retrieval.lexical_rerank(spark, sf_dir)
