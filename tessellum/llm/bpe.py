@@ -201,25 +201,32 @@ def decimal_table(size: int) -> tuple[np.ndarray, np.ndarray]:
     return texts.view(np.uint8).reshape(size, -1), np.char.str_len(texts)
 
 
-def round_trip_digests(df: DataFrame, path: str, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (id, n_tokens, ids_sha256, decoded_sha256): every text encoded, then decoded from its ids.
+def round_trip_digests(df: DataFrame, path: str, id: str = "doc_id", text: str = "text", keep_ids: bool = False) -> DataFrame:
+    """Rows (id, n_tokens, ids_sha256, decoded_sha256): every text encoded, then decoded from its ids; keep_ids adds the ids.
 
     Null or empty text: no tokens, both digests of the empty string."""
     from hashlib import sha256
 
+    names = [id, "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * keep_ids]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         c = codec(path)
         digits, lengths = decimal_table(len(c.strings))
         column = np.arange(digits.shape[1])
         for batch in sliced(batches, text):
-            n, of_ids, of_text = [], [], []
+            all_ids, of_ids, of_text = [], [], []
             for t in batch.column(1).to_pylist():
                 ids = c.encode(t)
-                n.append(len(ids))
+                all_ids.append(ids)
                 decimal = digits[ids][column < lengths[ids][:, None]].tobytes()[:-1]
                 of_ids.append(sha256(decimal).hexdigest())
                 of_text.append(sha256(c.decode(ids).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], [id, "n_tokens", "ids_sha256", "decoded_sha256"])
+            n = np.array([len(x) for x in all_ids], np.int64)
+            columns = [batch.column(0), pa.array(n), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())]
+            if keep_ids:
+                offsets = np.concatenate(([0], np.cumsum(n))).astype(np.int32)
+                columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(all_ids).astype(np.int32))))
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     kind = df.schema[id].dataType.simpleString()
-    return df.select(id, text).mapInArrow(run, f"`{id}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return df.select(id, text).mapInArrow(run, f"`{id}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids)
