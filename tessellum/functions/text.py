@@ -8,6 +8,7 @@ from collections.abc import Iterator, Mapping, Sequence
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Words of a query that say nothing, and synonyms (a string replaces the key; a list is replaced by it).
 LOW_INFORMATION = ["帮我", "请", "查询", "查找", "搜索", "一下", "相关", "内容"]
@@ -54,7 +55,7 @@ def words(c: Column) -> Column:
     return F.filter(F.split(F.lower(c), r"(?U)\s+"), lambda w: w != "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Unicode compatibility normalisation; there is no SQL function for it."""
     for s in batches:
@@ -153,7 +154,7 @@ def timeout_seconds(c: Column) -> Column:
     return F.coalesce(F.when(number != "", F.floor(number.cast("double") * scale)).cast("int"), F.lit(60))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def decoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Bytes as UTF-8, or as GBK where they are no UTF-8; the JVM refuses GBK by default."""
 

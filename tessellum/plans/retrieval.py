@@ -56,7 +56,7 @@ def vector_topk_probed(spark, sf_dir):
     """The approximate index over all vectors; tests measure its recall."""
     vectors = _vectors(spark, sf_dir)
     model = Q.cells(vectors)
-    return Q.vector_top_probed(_query_vectors(spark, sf_dir), Q.assign(vectors, model), model, 10, probes=8).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+    return Q.vector_top_probed(_query_vectors(spark, sf_dir), Q.assign(vectors, model), model, 10, probes=12).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
 def vector_intent(spark, sf_dir):
