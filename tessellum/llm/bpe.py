@@ -114,6 +114,8 @@ class Codec:
         return [x for x in ids if x >= 0]
 
     def packed(self, piece: str) -> bytes:
+        if len(piece) > 2 and piece[-1] in ".," and piece[-2].isalnum():  # such a mark is a token of its own
+            return self.cache[piece[:-1]] + self.cache[piece[-1]]
         out: list[int] = []
         for token in SPLIT.findall(piece):
             out += self.merge(token.encode())
