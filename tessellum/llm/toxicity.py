@@ -163,6 +163,29 @@ class Bag:
         self.first = s.first
         self.n = s.texts.n
 
+    @staticmethod
+    def of(texts: list[str | None]) -> Bag:
+        """A bag of many texts, put together from a few at a time."""
+        parts, a, size = [], 0, 0
+        for i, t in enumerate([*texts, None]):
+            if i > a and (size > 1 << 20 or i == len(texts)):
+                parts.append(Bag(pa.array(texts[a:i], pa.large_string())))
+                a, size = i, 0
+            size += len(t or "")
+        if len(parts) == 1:
+            return parts[0]
+        out = Bag(pa.array([], pa.large_string()))
+        number: dict[bytes, int] = {}
+        for p in parts:
+            ids = np.array([number.setdefault(x, len(number)) for x in p.segments], np.int64)
+            out.segment = np.concatenate((out.segment, ids[p.segment]))
+            out.sentence = np.concatenate((out.sentence, p.sentence + len(out.owner)))
+            out.first = np.concatenate((out.first[:-1], p.first + len(out.owner)))
+            out.owner = np.concatenate((out.owner, p.owner + out.n))
+            out.n += p.n
+        out.segments = list(number)
+        return out
+
     def features(self, evidence: np.ndarray) -> np.ndarray:
         """Of each text, from the evidence of each segment: sum (its logarithm), greatest, and sum over the root of the number of sentences."""
         most = np.zeros(len(self.owner))
@@ -310,7 +333,7 @@ def evidence_of(margin: np.ndarray, bad: np.ndarray, weight: np.ndarray) -> np.n
 def fit(texts: list[str | None], toxic: np.ndarray, weight: np.ndarray) -> Model:
     """weight: how many documents each one stands for. Without both kinds, a model that scores all texts low and alike."""
     none = Model(np.zeros(SYMBOLS**3, np.float32), -1.0, np.zeros(len(BINS) + 1), np.array([0.0, 0.0, 0.0, -2.0]))
-    bag = Bag(pa.array(texts, pa.large_string()))
+    bag = Bag.of(texts)
     pairs = np.unique(bag.owner[bag.sentence] << 32 | bag.segment)
     doc, segment = pairs >> 32, pairs & 0xFFFFFFFF
     if not len(doc) or (whole := separate(bag.segments, doc, segment, toxic, 7)) is None:

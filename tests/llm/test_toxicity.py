@@ -77,3 +77,11 @@ def test_no_labels(spark):
         assert {r["predicted"] for r in T.score(docs, model).collect()} == {0}
     empty = T.Bag(pa.array([], pa.large_string()))
     assert empty.features(np.zeros(0)).shape == (0, 3)
+
+
+def test_bag_in_parts():
+    texts = [t for _, t, _ in rows(40)] + [None, "", "x " * 700_000] + [t for _, t, _ in rows(40, 9)]
+    whole, parts = T.Bag(pa.array(texts, pa.large_string())), T.Bag.of(texts)
+    assert sorted(whole.segments) == sorted(parts.segments) and whole.n == parts.n
+    named = lambda b: sorted(zip((b.segments[i] for i in b.segment), b.sentence.tolist(), b.owner[b.sentence].tolist()))
+    assert named(whole) == named(parts) and (whole.first == parts.first).all()
