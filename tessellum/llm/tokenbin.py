@@ -24,11 +24,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessellum.llm.bpe import CACHE, LONG_PIECE, pieces
+from tessellum.llm.bpe import COARSE, LONG_PIECE, RUNS, WIDE
 from tessellum.llm.common import sliced
 
 #: Stands for a document id that is null; such documents come first.
 NO_ID = -(2**63)
+FIRST = "\x1f"
+#: Pieces whose ids a worker remembers.
+CACHE = 1_300_000
 
 
 def store(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -52,7 +55,6 @@ class Encoder:
         #: Bytes of text that each id stands for: one for each character of a byte-level token.
         self.lengths = np.array([len(added[i].content.encode()) if i in added else len(self.tokenizer.id_to_token(i)) for i in range(size)])
         self.cache: dict[str, bytes] = {"": b""}
-        self.again: set[str] = set()
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.width).tobytes()
@@ -70,28 +72,61 @@ class Encoder:
         return out
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
-        """Packed ids of each text; a text with an added token in it goes to the library whole."""
-        cut = [None if t and any(x in t for x in self.added) else pieces(t) if t else [] for t in texts]
-        seen = set().union(*(x for x in cut if x))
-        new = seen.difference(self.cache)
-        self.again |= seen - new
-        if len(self.cache) + len(new) > CACHE:  # keep what has been of use, if that leaves room
-            self.cache = {"": b""} | ({p: self.cache[p] for p in self.again} if len(self.again) < CACHE // 2 else {})
-            self.again, new = set(), seen.difference(self.cache)
-        fresh = list(new)
-        self.cache.update(zip(fresh, self.packed(fresh), strict=True))
+        """Packed ids of each text; a text with an added token in it goes to the library whole.
+
+        Between words with single white space, a key is a word whose blank goes without saying, or a
+        line feed and the word after it; the text's first word and other texts' pieces come after FIRST."""
+        cut = [None if t and any(x in t for x in self.added) else keys(t) if t else [] for t in texts]
+        new = set().union(*(x for x in cut if x)).difference(self.cache)
+        if len(self.cache) + len(new) > CACHE:
+            self.cache = {"": b""}
+            new = set().union(*(x for x in cut if x)).difference(self.cache)
+        ended = [p for p in new if len(p) > 2 and p[-1] in ".," and p[-2].isalnum()]
+        fresh = list((new.difference(ended) | {p[:-1] for p in ended} | {f"{FIRST}.", f"{FIRST},"}).difference(self.cache))
+        self.cache.update(zip(fresh, self.packed([p[1:] if p[0] == FIRST else p if p[0] == "\n" else f" {p}" for p in fresh]), strict=True))
+        self.cache.update((p, self.cache[p[:-1]] + self.cache[FIRST + p[-1]]) for p in ended)  # a mark after a letter or digit is a token of its own
         get = self.cache.__getitem__
         out = [self.whole(t) if x is None else b"".join(map(get, x)) for t, x in zip(texts, cut, strict=True)]
-        for piece in [p for p in new if len(p) > LONG_PIECE]:
+        for piece in [p for p in (*fresh, *ended) if len(p) > LONG_PIECE]:
             del self.cache[piece]
         return out
 
 
+def keys(text: str) -> list[str]:
+    if any(x in text for x in RUNS) or not text.isascii() and WIDE.search(text):
+        return [FIRST + p for p in COARSE.findall(text)]
+    parts = text.replace("\n", " \n").split(" ")
+    if parts[0] and parts[0][0] != "\n":
+        parts[0] = FIRST + parts[0]
+    if parts[-1] == "":  # the text ends with a blank
+        parts[-1] = f"{FIRST} "
+    return parts
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def ranged(df: DataFrame, id: str, parts: int) -> DataFrame:
+    """df dealt into parts of ascending ids, in order within each. The limits come from the ids alone, so texts are read once."""
+    shares = [i / parts for i in range(1, parts)]
+    limits = df.agg(F.percentile_approx(id, shares, max(10_000, 20 * parts)).alias("x")).first()["x"] if shares else None
+    if not limits:
+        return df.repartitionById(1, F.lit(0)).sortWithinPartitions(*df.columns)
+    table = F.array(*[F.lit(int(x)).cast("long") for x in limits])
+    middle = lambda s: F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+
+    def halve(s, _):  # the first limit that is not below the id
+        over = F.try_element_at(table, middle(s) + 1) >= F.col(id)
+        done = s["lo"] >= s["hi"]
+        return F.struct(F.when(done | over, s["lo"]).otherwise(middle(s) + 1).alias("lo"), F.when(~done & over, middle(s)).otherwise(s["hi"]).alias("hi"))
+
+    steps = F.sequence(F.lit(1), F.lit(len(limits).bit_length() + 1))
+    part = F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.lit(len(limits)).alias("hi")), halve, lambda s: s["lo"])
+    return df.repartitionById(parts, F.when(F.col(id).isNull(), F.lit(0)).otherwise(part)).sortWithinPartitions(*df.columns)
+
+
 def write_tokens(df: DataFrame, out: str, tokenizer: str, end_id: int = 0, id: str = "doc_id", text: str = "text", parts: int | None = None) -> dict:
     """Encode every whole text (null: empty) and an end id after each into files under `out`; the manifest.
 
@@ -131,8 +166,7 @@ def write_tokens(df: DataFrame, out: str, tokenizer: str, end_id: int = 0, id: s
             where.move(temporary, final)
         yield pa.RecordBatch.from_pylist([{"part": part, "n_docs": sum(map(len, docs)), "n_ids": at, "width": enc.width.itemsize}], schema=pa.schema([("part", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("width", pa.int32())]))
 
-    ordered = df.select(id, text).repartitionByRange(parts, F.col(id)).sortWithinPartitions(id, text)
-    written = sorted(ordered.mapInArrow(run, "part int, n_docs long, n_ids long, width int").collect())
+    written = sorted(ranged(df.select(id, text), id, parts).mapInArrow(run, "part int, n_docs long, n_ids long, width int").collect())
     manifest: dict = {"width": written[0]["width"] if written else 2, "parts": []}
     total = 0
     for row in written:
