@@ -57,6 +57,6 @@ def judge(urls: DataFrame, rules: DataFrame, url: str = "url", default: str = "a
         .agg(F.max_by(F.struct("rule", "action"), order).alias("won"))
         .select(F.col("host").alias("__host"), F.col("path").alias("__path"), F.col("won.rule").alias("rule"), F.col("won.action").alias("verdict"))
     )
-    won = written(won, "verdicts")  # a scan on both sides of the join below lets Spark split a host or page that many rows share
+    won = written(won, "verdicts").hint("merge")  # grows with the URLs, so it is never broadcast; Spark can split a host or page that many rows share
     kept = [F.col(f"`{c}`") for c in judged.columns]
     return judged.join(won, (judged["host"] == won["__host"]) & (judged["path"] == won["__path"]), "left").select(*kept, "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
