@@ -171,3 +171,33 @@ def test_span_dedup(spark):
     same = spark.createDataFrame([(1, rows[204 - 204 + 5][1] * 3), (1, rows[5][1] * 3), (None, rows[5][1] * 3)], "doc_id long, text string")
     out = span_dedup.remove_repeats(same).collect()
     assert len(out) == 3 and [r["n_removed"] for r in out if r["doc_id"] is None][0] == max(r["n_sentences"] for r in out)
+
+
+def test_passages_in_mid_sentence(spark):
+    """Passages of 51 words and more go from their second place, wherever sentences begin and end."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("bcdfgklmnprstv") + rng.choice("aeiou") for _ in range(3))
+    words = lambda n: [word() for _ in range(n)]
+    shapes = [[51], [60], [84], [26, 26], [16, 36], [36, 16], [17, 17, 17], [16, 19, 16], [25, 5, 25], [16, 9, 10, 16], [20, 3, 12, 17]]
+    rows, long = [], []
+    for k, shape in enumerate(shapes * 3):
+        passage = ". ".join(" ".join(words(n)) for n in shape)
+        for i in (2 * k, 2 * k + 1):
+            before, after = words(rng.randrange(3, 40)), words(rng.randrange(3, 40))
+            rows.append((i, " ".join([*before, passage, *after])))
+            long.append((before, passage.split(" "), after))
+    rows += [(900, " ".join(words(51)) + "."), (902, " ".join(words(300)))]
+    rows += [(901, rows[-2][1]), (903, "once " + rows[-1][1] + " more")]
+    got = {r["doc_id"]: r for r in span_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, text in rows[:-4] + rows[-4:-2]:
+        if i % 2 == 0:
+            assert (got[i]["text"], got[i]["n_removed"]) == (text, 0)
+    for i, (before, passage, after) in enumerate(long):
+        if i % 2:
+            left = got[i]["text"].split(" ")
+            assert left[: len(before)] == before and left[-len(after) :] == after and got[i]["n_removed"] > 0
+            stayed = left[len(before) : -len(after)]
+            assert len(stayed) <= 2 * (span_dedup.REACH - 1) < len(passage) / 2
+            head = next((k for k, (x, y) in enumerate(zip(stayed, passage)) if x != y), len(stayed))
+            assert stayed[head:] == passage[len(passage) - len(stayed) + head :]
+    assert len(got[901]["text"].split()) <= 24 and 2 <= len(got[903]["text"].split()) <= 26
