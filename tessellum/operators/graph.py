@@ -63,18 +63,23 @@ def neighbours(edges: DataFrame, starts: DataFrame, rel_types: list[str] | None
     return starts.select("id").join(rows, F.col("id") == F.col("src")).select("id", F.col("dst").alias("neighbour")).distinct()
 
 
-def shortest_paths(edges: DataFrame, pairs: DataFrame, depth: int = MOST_DEPTH) -> DataFrame:
-    """Rows (start, end, hops) for the pairs (start, end) of distinct nodes that some path of at most so many edges joins.
+def distances(edges: DataFrame, starts: DataFrame, depth: int = MOST_DEPTH) -> DataFrame:
+    """Rows (start, end, hops) for every node that a path of at most so many edges joins to a start; starts: (start).
 
     Frontiers are expanded from all starts at once; a node that has been reached is not reached again."""
     rows = both_ways(edges).select("src", "dst").distinct()
-    asked = pairs.filter("start <> end").distinct()
-    seen = asked.select("start").distinct().withColumn("node", F.col("start")).withColumn("hops", F.lit(0))
+    seen = starts.select("start").distinct().withColumn("node", F.col("start")).withColumn("hops", F.lit(0))
     frontier = seen
     for hop in range(1, depth + 1):
         frontier = frontier.join(rows, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node")).distinct().join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("hops", F.lit(hop))
         seen = seen.unionByName(frontier)
-    return asked.join(seen.select("start", F.col("node").alias("end"), "hops"), ["start", "end"])
+    return seen.filter("hops > 0").select("start", F.col("node").alias("end"), "hops")
+
+
+def shortest_paths(edges: DataFrame, pairs: DataFrame, depth: int = MOST_DEPTH) -> DataFrame:
+    """Rows (start, end, hops) for the pairs (start, end) of distinct nodes that some path of at most so many edges joins."""
+    asked = pairs.filter("start <> end").distinct()
+    return asked.join(distances(edges, asked, depth), ["start", "end"])
 
 
 def statistics(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -58,6 +58,12 @@ def graph_shortest_paths(spark, sf_dir):
     return G.shortest_paths(edges, pairs)
 
 
+def graph_distances(spark, sf_dir):
+    """The distance of all nodes from a stated set of starts: the nodes whose number is divisible by 50."""
+    nodes, edges = _graph(spark, sf_dir)
+    return G.distances(edges, nodes.filter("cast(substring(id, 2) as long) % 50 = 0").select(F.col("id").alias("start")))
+
+
 def graph_delete_document(spark, sf_dir):
     nodes, edges = G.delete_document(*_graph(spark, sf_dir), 3)
     return nodes.agg(F.count("*").alias("nodes")).crossJoin(edges.agg(F.count("*").alias("edges")))
@@ -75,7 +81,7 @@ def graph_recall(spark, sf_dir):
     return G.recall(names, nodes, edges.filter("rel_type = 'PART_OF' and dst <> 'r1'"))
 
 
-QUERIES = {f.__name__: f for f in (graph_statistics, graph_upsert_nodes, graph_upsert_edges, graph_document_counts, graph_contains, graph_find, graph_neighbours, graph_shortest_paths, graph_delete_document, graph_name_search, graph_recall)}
+QUERIES = {f.__name__: f for f in (graph_statistics, graph_upsert_nodes, graph_upsert_edges, graph_document_counts, graph_contains, graph_find, graph_neighbours, graph_shortest_paths, graph_distances, graph_delete_document, graph_name_search, graph_recall)}
 
 _G = """with nodes as (
   select 'r' || r_regionkey as id, ['Place', 'Region'] as labels, r_name as text, cast(null as bigint) as document_id from region
@@ -94,6 +100,9 @@ ORACLES = {
     "graph_find": _G + " select src, dst, rel_type from edges where rel_type = 'BASED_IN' and dst in (select id from nodes where list_contains(labels, 'Place') and document_id = 1)",
     "graph_neighbours": _G + " select distinct src as id, dst as neighbour from both_ways where rel_type in ('BASED_IN', 'PART_OF') and src like 'n%'",
     "graph_shortest_paths": "with p as (select 's' || s_suppkey as start, 'c' || c_custkey as \"end\", case when s_nationkey = c_nationkey then 2 when a.n_regionkey = b.n_regionkey then 4 end as hops from supplier join nation a on a.n_nationkey = s_nationkey, customer join nation b on b.n_nationkey = c_nationkey where s_suppkey <= 5 and c_custkey <= 40) select * from p where hops is not null",
+    "graph_distances": _G.replace("with nodes", "with recursive nodes")
+    + """, walk(start, node, hops) as (select id, id, 0 from nodes where cast(id[2:] as bigint) % 50 = 0 union select start, dst, hops + 1 from walk join both_ways on src = node where hops < 5)
+select start, node as "end", cast(min(hops) as int) as hops from walk where start <> node group by start, node""",
     "graph_delete_document": _G + ", gone as (select id from nodes where document_id = 3) select (select count(*) from nodes where id not in (from gone)) as nodes, (select count(*) from edges where src not in (from gone) and dst not in (from gone)) as edges",
     "graph_name_search": _G + ", w(word) as (values ('1'), ('2'), ('zzz')) select word, id from w join nodes on contains(text, word) and list_contains(labels, 'Nation') qualify row_number() over (partition by word order by id) <= 5",
     "graph_recall": _G

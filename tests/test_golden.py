@@ -210,3 +210,24 @@ def test_stream_is_the_batch(spark, sf_dir, tmp_path):
     assert sum(seen) == events.count()
 
 
+
+
+def test_distances_reach_all_nodes(spark):
+    import random
+
+    rng = random.Random(3)
+    pairs = [(f"v{rng.randrange(60)}", f"v{rng.randrange(60)}") for _ in range(70)]
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    want, starts = set(), ["v0", "v7", "v33", "unknown"]
+    for start in starts:
+        seen, ring = {start}, {start}
+        for hops in range(1, 6):
+            ring = {y for x in ring for y in near.get(x, ())} - seen
+            seen |= ring
+            want |= {(start, x, hops) for x in ring}
+    edges = spark.createDataFrame([(a, "R", b) for a, b in pairs], "src string, rel_type string, dst string")
+    got = G.distances(edges, spark.createDataFrame([(x,) for x in starts], "start string")).collect()
+    assert sorted(map(tuple, got)) == sorted(want) and len(want) > 60
