@@ -27,12 +27,20 @@ def graph_upsert_nodes(spark, sf_dir):
     return G.upsert_nodes(rows).select("id", F.array_join("labels", ",").alias("labels"), "value", "props")
 
 
-def graph_upsert_edges(spark, sf_dir):
-    nodes = table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("id")).union(table(spark, sf_dir, "part").filter("p_partkey % 2 = 0").select(F.concat(F.lit("p"), "p_partkey")))
+def _sales(spark, sf_dir, parts):
+    nodes = table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("id")).union(parts.select(F.concat(F.lit("p"), "p_partkey")))
     rows = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("s"), "l_suppkey").alias("src"), F.concat(F.lit("flag_"), F.lower("l_returnflag")).alias("rel_type"), F.concat(F.lit("p"), "l_partkey").alias("dst"), F.struct("l_orderkey", "l_linenumber", "l_quantity").alias("version"), "l_quantity")
     return G.upsert_edges(rows, nodes)
 
 
+def graph_upsert_edges(spark, sf_dir):
+    return _sales(spark, sf_dir, table(spark, sf_dir, "part").filter("p_partkey % 2 = 0"))
+
+
+def graph_upsert_all_edges(spark, sf_dir):
+    return _sales(spark, sf_dir, table(spark, sf_dir, "part"))
+
+
 def graph_document_counts(spark, sf_dir):
     return G.document_nodes(*_graph(spark, sf_dir))
 
@@ -81,7 +89,7 @@ def graph_recall(spark, sf_dir):
     return G.recall(names, nodes, edges.filter("rel_type = 'PART_OF' and dst <> 'r1'"))
 
 
-QUERIES = {f.__name__: f for f in (graph_statistics, graph_upsert_nodes, graph_upsert_edges, graph_document_counts, graph_contains, graph_find, graph_neighbours, graph_shortest_paths, graph_distances, graph_delete_document, graph_name_search, graph_recall)}
+QUERIES = {f.__name__: f for f in (graph_statistics, graph_upsert_nodes, graph_upsert_edges, graph_upsert_all_edges, graph_document_counts, graph_contains, graph_find, graph_neighbours, graph_shortest_paths, graph_distances, graph_delete_document, graph_name_search, graph_recall)}
 
 _G = """with nodes as (
   select 'r' || r_regionkey as id, ['Place', 'Region'] as labels, r_name as text, cast(null as bigint) as document_id from region
@@ -95,6 +103,7 @@ ORACLES = {
     "graph_statistics": _G + " select (select count(*) from nodes) as nodes, (select array_to_string(list_sort(list(distinct l)), ',') from (select unnest(labels) as l from nodes)) as labels, (select count(*) from edges) as edges, (select array_to_string(list_sort(list(distinct rel_type)), ',') from edges) as rel_types",
     "graph_upsert_nodes": "select user_id as id, array_to_string(list_sort(list(distinct event_type)), ',') as labels, arg_max(value, event_id) filter (event_type <> 'view' and value is not null) as value, arg_max(props, event_id) filter (props is not null) as props from events group by user_id",
     "graph_upsert_edges": "select 's' || l_suppkey as src, upper('flag_' || l_returnflag) as rel_type, 'p' || l_partkey as dst, arg_max(l_quantity, (l_orderkey, l_linenumber, l_quantity)) as l_quantity from lineitem where l_suppkey in (select s_suppkey from supplier) and l_partkey in (select p_partkey from part where p_partkey % 2 = 0) group by all",
+    "graph_upsert_all_edges": "select 's' || l_suppkey as src, upper('flag_' || l_returnflag) as rel_type, 'p' || l_partkey as dst, arg_max(l_quantity, (l_orderkey, l_linenumber, l_quantity)) as l_quantity from lineitem where l_suppkey in (select s_suppkey from supplier) and l_partkey in (select p_partkey from part) group by all",
     "graph_document_counts": _G + ", a as (select document_id, count(*) as n from nodes group by 1), b as (select document_id, count(*) as n from edges group by 1) select document_id, coalesce(a.n, 0) as entity_count, coalesce(b.n, 0) as relation_count from a full join b using (document_id) where document_id is not null",
     "graph_contains": _G + " select cast(document_id as varchar) as src, 'CONTAINS' as rel_type, id as dst from nodes where document_id is not null",
     "graph_find": _G + " select src, dst, rel_type from edges where rel_type = 'BASED_IN' and dst in (select id from nodes where list_contains(labels, 'Place') and document_id = 1)",

@@ -231,3 +231,23 @@ def test_distances_reach_all_nodes(spark):
     edges = spark.createDataFrame([(a, "R", b) for a, b in pairs], "src string, rel_type string, dst string")
     got = G.distances(edges, spark.createDataFrame([(x,) for x in starts], "start string")).collect()
     assert sorted(map(tuple, got)) == sorted(want) and len(want) > 60
+
+
+def test_missing_ends_and_names(spark):
+    nodes = spark.createDataFrame([("s1",), ("p1",), ("p2",)], "id string")
+    rows = spark.createDataFrame([("s1", "sold", "p1", 1, 5), ("s1", "sold", "p1", 2, 7), ("s1", "sold", "p2", 1, None), ("s1", "sold", "p3", 1, 4), ("s2", "sold", "p1", 1, 4), (None, "sold", "p1", 1, 4)], "src string, rel_type string, dst string, version int, n int")
+    assert sorted(map(tuple, G.upsert_edges(rows, nodes).collect())) == [("s1", "SOLD", "p1", 7), ("s1", "SOLD", "p2", None)]
+    from tessellum.plans import relational
+
+    ids = spark.createDataFrame([(1,), (1,), (2,), (3,)], "document_id long")
+    files = spark.createDataFrame([(1, "a.b.pdf"), (2, "plain"), (4, "d.txt")], "id long, filename string")
+    assert sorted(map(tuple, relational._names(ids, files).collect())) == [(1, "a.b", 2), (2, "plain", 1), (3, "文档3", 1)]
+
+
+def test_odd_ids_are_not_left_out(spark, sf_dir):
+    from tessellum.plans import graph, relational
+
+    dst = {int(r["dst"][1:]) % 2 for r in graph.graph_upsert_all_edges(spark, sf_dir).select("dst").distinct().collect()}
+    assert dst == {0, 1}
+    names = relational.document_names_all(spark, sf_dir).collect()
+    assert any(r["document_id"] % 2 for r in names) and all(r["name"].startswith("doc_") for r in names)
