@@ -106,7 +106,7 @@ class Sentences:
 
 
 def spans(docs: DataFrame, id: str, text: str) -> DataFrame:
-    """Rows (h, c, doc_id, span, again): hashes, the place in the text, whether the text has had it.
+    """Rows (h, c, doc_id, text_key, span, again): hashes, the text's hash, the place in the text, whether the text has had it.
 
     The place is first << 32 | last sentence, and ~(first << 32 | last word) of a window."""
 
@@ -126,12 +126,12 @@ def spans(docs: DataFrame, id: str, text: str) -> DataFrame:
             base, begin = s.first[mine[: len(first)]], window - s.words[mine[len(first) :]]
             place = np.concatenate(((first - base) << 32 | (last - base), ~(begin << 32 | (begin + WORDS - 1))))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(h.view(np.int64)), pa.array((c >> U(32)).astype(np.uint32).view(np.int32)), batch.column(0).take(pa.array(mine)), pa.array(place), pa.array(again)],
-                ["h", "c", "doc_id", "span", "again"],
+                [pa.array(h.view(np.int64)), pa.array((c >> U(32)).astype(np.uint32).view(np.int32)), batch.column(0).take(pa.array(mine)), batch.column(2).take(pa.array(mine)), pa.array(place), pa.array(again)],
+                ["h", "c", "doc_id", "text_key", "span", "again"],
             )
 
     kind = docs.schema[id].dataType.simpleString()
-    return docs.select(id, text).mapInArrow(run, f"h long, c int, doc_id {kind}, span long, again boolean")
+    return docs.select(id, text, F.xxhash64(text)).mapInArrow(run, f"h long, c int, doc_id {kind}, text_key long, span long, again boolean")
 
 
 def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -139,14 +139,17 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text") -> D
 
     n_removed counts the sentences that lose words. The space after removed words goes with them; a text
     that ends with removed ones loses the space before them too. Texts without a whole span, null and empty ones included, stay as they are.
-    Rows that share an id are taken for one document: nothing is removed between them. Null ids come
-    last. Columns of docs that are named like the new ones are replaced."""
+    Rows that share an id are taken for one document: nothing is removed between them, and what is cut
+    from one leaves rows of other texts as they are. Rows with null ids are a document for each text;
+    they come last, those with the least hash of their text first. Columns of docs that are named like the new ones are replaced."""
     found = spans(docs, id, text)
-    repeated = written(found.groupBy("h", "c").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n")).filter("n > 1").drop("n"), "repeated")
-    later = found.join(repeated, ["h", "c"]).filter(F.col("again") | ~F.col("doc_id").eqNullSafe(F.col("least_id")))
-    cut = written(later.groupBy("doc_id").agg(F.collect_set("span").alias("__spans")).withColumnRenamed("doc_id", "__id"), "cut")
+    least_key = F.min(F.when(F.col("doc_id").isNull(), F.col("text_key"))).alias("least_key")
+    repeated = written(found.groupBy("h", "c").agg(F.min("doc_id").alias("least_id"), least_key, F.count("*").alias("n")).filter("n > 1").drop("n"), "repeated")
+    other = F.when(F.col("doc_id").isNull(), F.col("least_id").isNotNull() | (F.col("text_key") != F.col("least_key"))).otherwise(F.col("doc_id") != F.col("least_id"))
+    later = found.join(repeated, ["h", "c"]).filter(F.col("again") | other)
+    cut = written(later.groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).agg(F.collect_set("span").alias("__spans")), "cut")
     rows = docs.drop(*({"n_sentences", "n_removed"} - {id, text}))
-    joined = rows.join(cut, rows[id].eqNullSafe(cut["__id"]), "left").drop("__id")
+    joined = rows.join(cut, rows[id].eqNullSafe(cut["__id"]) & (F.xxhash64(rows[text]) == cut["__key"]), "left").drop("__id", "__key")
     names = rows.columns
     at = names.index(text)
 

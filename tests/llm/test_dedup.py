@@ -201,3 +201,18 @@ def test_passages_in_mid_sentence(spark):
             head = next((k for k, (x, y) in enumerate(zip(stayed, passage)) if x != y), len(stayed))
             assert stayed[head:] == passage[len(passage) - len(stayed) + head :]
     assert len(got[901]["text"].split()) <= 24 and 2 <= len(got[903]["text"].split()) <= 26
+
+
+def test_cuts_stay_with_their_text(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("bcdfgklmnprstv") + rng.choice("aeiou") for _ in range(3))
+    sentences = lambda n: " ".join(" ".join(word() for _ in range(12)).capitalize() + "." for _ in range(n))
+    passage, clean, own = sentences(4), sentences(6), [sentences(3) for _ in range(5)]
+    rows = [(1, passage), (2, passage + " " + own[0]), (2, clean), (None, passage + " " + own[1]), (None, clean + " " + own[2]), (3, own[3])]
+    copies = sentences(5)
+    rows += [(None, copies + " " + own[4]), (None, copies + " " + own[3])]
+    got = sorted((repr(r["doc_id"]), r["text"], r["n_removed"]) for r in span_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert [r for r in got if r[0] != "None"] == sorted([("1", passage, 0), ("2", own[0], 4), ("2", clean, 0), ("3", own[3], 0)])
+    nulls = [r[1:] for r in got if r[0] == "None"]
+    assert (own[1], 4) in nulls and (own[2], 6) in nulls
+    assert sum(copies in t for t, _ in nulls) == 1 and sum(n for _, n in nulls) == 4 + 6 + 5 + 3
