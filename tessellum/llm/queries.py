@@ -12,7 +12,7 @@ from tessellum.llm.common import fresh_path, table
 VOCABULARY = "byte_bpe_50k.json"
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
 #: (action, host, path)
-RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("allow", "example.net", "/de/8"), ("block", "org", "/es/")]
+RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
 
 
 def op1_subsequence_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,7 +92,7 @@ select conv_id, perspective, block, cast(count(*) as int) as n_turns, cast(count
 from n group by all
 """,
     "op7_url_rules": """
-with r(action, host, path) as (values ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('block', 'net', '/de/'), ('allow', 'example.net', '/de/8'), ('block', 'org', '/es/')),
+with r(action, host, path) as (values ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')),
 p as (
   select page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') as host,
     coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') as path

@@ -3,7 +3,7 @@
 import random
 from collections import Counter
 
-from tessellum.llm import chat, sharding, urlfilter
+from tessellum.llm import chat, queries, sharding, urlfilter
 
 
 def test_rotation(spark):
@@ -45,6 +45,14 @@ def test_url_rules(spark):
     assert urlfilter.judge(df.limit(0), spark.createDataFrame(rules, "action string, host string, path string")).collect() == []
 
 
+def test_stated_rules():
+    """The rules of op7 as they are given: (host, path) and what they do."""
+    given = "block com/en/, allow example.com/en/7, allow net/de/, block example.net/de/8, block org/es/"
+    assert ", ".join(f"{action} {host}{path}" for action, host, path in queries.RULES) == given
+    assert brute_verdict("http://a.example.net/de/81", queries.RULES)[2:] == ("example.net/de/8", "block")
+    assert brute_verdict("http://a.net/de/81?x", queries.RULES)[2:] == ("net/de/", "allow")
+
+
 def brute_table(names, slots):
     import hashlib
 
