@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -29,12 +30,65 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tessellum-{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write df to the shared folder and read it back."""
+#: Frees the shuffle files of a query at its end; what it has written needs them no more.
+TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def write_out(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """Write df to the shared folder: the frame that reads it, and its path. Its shuffle files go at once."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(TIDY, None)
+    spark.conf.set(TIDY, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(TIDY)
+        else:
+            spark.conf.set(TIDY, before)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Cut the lineage: write df to the shared folder and read it back."""
+    return write_out(df, name)[0]
+
+
+class Scratch:
+    """The tables that an operator writes on its way; each goes as soon as its last reader is done.
+
+    `drop` deletes tables by name, `close` all but the named ones. As a context, what isn't kept goes at
+    the end, and everything goes when an error ends it."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths, self.kept = spark, {}, set()
+
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        frame, path = write_out(df, name)
+        self.paths.setdefault(name, []).append(path)
+        return frame
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """Write a table that stays for whoever reads the operator's result."""
+        self.kept.add(name)
+        return self(df, name)
+
+    def drop(self, *names: str) -> None:
+        context = self.spark.sparkContext
+        for name in names:
+            for path in self.paths.pop(name, []):
+                where = context._jvm.org.apache.hadoop.fs.Path(path)
+                where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
+
+    def close(self, *keep: str) -> None:
+        self.drop(*[name for name in self.paths if name not in keep])
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, kind, *_) -> None:
+        self.close(*(() if kind else self.kept))
 
 
 def sliced(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 1 << 21) -> Iterator[pa.RecordBatch]:
@@ -48,8 +102,6 @@ def sliced(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 1 <<
             yield batch
             continue
         lengths = col.cast(pa.large_binary()) if pa.types.is_large_string(col.type) else col.cast(pa.binary())
-        import pyarrow.compute as pc
-
         sizes = pc.fill_null(pc.binary_length(lengths), 0).to_numpy(zero_copy_only=False)
         start, used = 0, 0
         for i, size in enumerate(sizes):

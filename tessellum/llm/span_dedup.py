@@ -1,12 +1,11 @@
 """Substring dedup over sliding sentence spans.
 
-A sentence ends with . ! ? (or their full-width forms), with a line, or before a capital letter, so
-that a passage put into the middle of a sentence keeps its own sentences. From every sentence on, and
-up to every sentence, the shortest run of at least SENTENCES sentences and WORDS words is a span; so
-every sentence of a repeated passage with as many words lies in a span within the passage.
+A sentence ends with . ! ? (or their full-width forms) or with a line. From every sentence on, and up
+to every sentence, the shortest run of at least SENTENCES sentences and WORDS words is a span; so every
+sentence of a repeated passage with as many words lies in a span within the passage.
 
-A passage may also stand as one long sentence, or as whole sentences too short for a span between two
-parts of sentences. One piece of it then lies in a sentence of LONG words or more, so windows of WORDS
+A passage may also stand in the middle of a sentence, as one long sentence, or as whole sentences too
+short for a span between two parts of sentences. One piece of it then lies in a sentence of LONG words or more, so windows of WORDS
 words that touch such a sentence are spans too, wherever sentences begin. Of every REACH windows in a
 row the one with the least hash is taken, which makes the choice one of the words alone: a passage of
 WORDS + REACH - 1 words has a window in all its places, and windows leave at most REACH - 1 words at
@@ -25,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessellum.llm.common import sliced, written
+from tessellum.llm.common import Scratch, sliced
 from tessellum.llm.textvec import CODES, SPACE, Texts, U, mix, prefix, ranges
 
 SENTENCES, WORDS = 2, 20
@@ -68,9 +67,7 @@ class Sentences:
             lines = np.cumsum(b == 10)
             last = b[end - 1]
             stops = END[last] | wide[end - 1] | CLOSING[last] & END[b[np.maximum(end - 2, 0)]]
-            head, second = b[start], b[np.minimum(start + 1, len(b) - 1)]
-            capital = (head >= 0x41) & (head <= 0x5A) | (head == 0xC3) & (second >= 0x80) & (second <= 0x9E)
-            new[1:] |= stops[:-1] | (lines[start[1:]] != lines[end[:-1] - 1]) | capital[1:]
+            new[1:] |= stops[:-1] | (lines[start[1:]] != lines[end[:-1] - 1])
         self.word = np.append(np.flatnonzero(new), len(start))
         self.first = np.searchsorted(self.word[:-1], words)
         self.owner = np.repeat(np.arange(t.n), np.diff(self.first))
@@ -134,21 +131,25 @@ def spans(docs: DataFrame, id: str, text: str) -> DataFrame:
     return docs.select(id, text, F.xxhash64(text)).mapInArrow(run, f"h long, c int, doc_id {kind}, text_key long, span long, again boolean")
 
 
-def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with the repeated spans cut out of `text`, and columns n_sentences and n_removed.
+def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", scratch: Scratch | None = None, counts: tuple[str, str] = ("n_sentences", "n_removed")) -> DataFrame:
+    """docs with the repeated spans cut out of `text`, and two counts: all sentences, and those that lose words.
 
-    n_removed counts the sentences that lose words. The space after removed words goes with them; a text
-    that ends with removed ones loses the space before them too. Texts without a whole span, null and empty ones included, stay as they are.
+    The space after removed words goes with them; a text that ends with removed ones loses the space
+    before them too. Texts without a whole span, null and empty ones included, stay as they are.
     Rows that share an id are taken for one document: nothing is removed between them, and what is cut
     from one leaves rows of other texts as they are. Rows with null ids are a document for each text;
-    they come last, those with the least hash of their text first. Columns of docs that are named like the new ones are replaced."""
+    they come last, those with the least hash of their text first. Columns of docs that are named like
+    the counts are replaced. An empty table stays empty. scratch: takes the table of cuts, which the
+    result reads; without it that table stays."""
+    own = Scratch(docs.sparkSession) if scratch is None else scratch
     found = spans(docs, id, text)
     least_key = F.min(F.when(F.col("doc_id").isNull(), F.col("text_key"))).alias("least_key")
-    repeated = written(found.groupBy("h", "c").agg(F.min("doc_id").alias("least_id"), least_key, F.count("*").alias("n")).filter("n > 1").drop("n"), "repeated")
+    repeated = own(found.groupBy("h", "c").agg(F.min("doc_id").alias("least_id"), least_key, F.count("*").alias("n")).filter("n > 1").drop("n"), "repeated")
     other = F.when(F.col("doc_id").isNull(), F.col("least_id").isNotNull() | (F.col("text_key") != F.col("least_key"))).otherwise(F.col("doc_id") != F.col("least_id"))
     later = found.join(repeated, ["h", "c"]).filter(F.col("again") | other)
-    cut = written(later.groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).agg(F.collect_set("span").alias("__spans")), "cut")
-    rows = docs.drop(*({"n_sentences", "n_removed"} - {id, text}))
+    cut = own(later.groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).agg(F.collect_set("span").alias("__spans")), "cut")
+    own.drop("repeated")
+    rows = docs.drop(*(set(counts) - {id, text}))
     joined = rows.join(cut, rows[id].eqNullSafe(cut["__id"]) & (F.xxhash64(rows[text]) == cut["__key"]), "left").drop("__id", "__key")
     names = rows.columns
     at = names.index(text)
@@ -156,7 +157,7 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text") -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for batch in sliced(batches, text):
             s = Sentences(batch.column(at))
-            counts = np.diff(s.first)
+            sentences = np.diff(s.first)
             out, removed = batch.column(at).to_pylist(), np.zeros(batch.num_rows, np.int64)
             for i, cuts in enumerate(batch.column(len(names)).to_pylist()):
                 if not cuts:
@@ -166,7 +167,7 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text") -> D
                 window = packed < 0
                 packed = np.where(window, ~packed, packed)
                 begin, end = packed >> 32, (packed & 0xFFFFFFFF) + 1
-                fits = end <= np.where(window, words[-1], counts[i])
+                fits = end <= np.where(window, words[-1], sentences[i])
                 begin, end, window = begin[fits], end[fits], window[fits]
                 edge = np.zeros(words[-1] + 1, np.int64)
                 np.add.at(edge, np.concatenate((begin[window], words[begin[~window]])), 1)
@@ -179,7 +180,7 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text") -> D
                 whole = buf[a : starts[0]].tobytes() + b"".join(buf[starts[x] : starts[y]].tobytes() for x, y in zip(change[::2], change[1::2]))
                 out[i] = (whole.rstrip(b" \t\n\r\v\f") if gone[-1] else whole).decode()
             columns = [pa.array(out, batch.schema.field(at).type) if k == at else batch.column(k) for k in range(len(names))]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(counts.astype(np.int64)), pa.array(removed)], [*names, "n_sentences", "n_removed"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(sentences.astype(np.int64)), pa.array(removed)], [*names, *counts])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return joined.mapInArrow(run, f"{kinds}, n_sentences long, n_removed long")
+    return joined.mapInArrow(run, f"{kinds}, `{counts[0]}` long, `{counts[1]}` long")

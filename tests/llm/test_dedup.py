@@ -108,7 +108,7 @@ def brute_sentences(text):
     for m in re.finditer(r"[^\x20\x09-\x0D]+?[。！？]|[^\x20\x09-\x0D]+", text or ""):
         w = m[0]
         gap = text[found[-1][2] : m.start()] if found else ""
-        if not found or begin or "\n" in gap or "A" <= w[0] <= "Z" or "À" <= w[0] <= "Þ":
+        if not found or begin or "\n" in gap:
             found.append([m.start(), [], m.end()])
         found[-1][1].append(w)
         found[-1][2] = m.end()
@@ -203,6 +203,12 @@ def test_passages_in_mid_sentence(spark):
     assert len(got[901]["text"].split()) <= 24 and 2 <= len(got[903]["text"].split()) <= 26
 
 
+def test_capitals_start_no_sentence(spark):
+    text = "Der Mann geht mit dem Hund durch den Wald und die Frau liest das Buch im Garten. Anna und Émile sehen New York!"
+    got = span_dedup.remove_repeats(spark.createDataFrame([(1, text)], "doc_id long, text string"), counts=("n", "m")).first()
+    assert (got["n"], got["m"], got["text"]) == (2, 0, text)
+
+
 def test_cuts_stay_with_their_text(spark):
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("bcdfgklmnprstv") + rng.choice("aeiou") for _ in range(3))
