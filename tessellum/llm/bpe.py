@@ -18,7 +18,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from tessellum.llm.common import sliced
+from tessellum.llm.common import CACHES, sliced
 
 #: The Unicode property White_Space.
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -28,7 +28,8 @@ COARSE = regex.compile(rf" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 #: White space beyond ASCII, and what else keeps a text from being cut at single blanks and line feeds.
 WIDE = regex.compile(r"[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 RUNS = ("  ", "\n\n", " \n", "\n ", "\t", "\r", "\x0b", "\x0c", "\x1f")
-CACHE = 800_000
+#: Bytes of the cache in each Python worker; an entry counts ENTRY bytes besides its piece and ids.
+CACHE_BYTES, ENTRY = 160 << 20, 180
 LONG_PIECE = 200
 
 
@@ -148,16 +149,18 @@ class Codec:
 
 
 class _Cache(dict):
-    """Piece -> packed ids; emptied when it has CACHE pieces; long pieces are not kept."""
+    """Piece -> packed ids; emptied when it has CACHE_BYTES; long pieces are not kept."""
 
     def __init__(self, codec: Codec):
-        self.codec = codec
+        self.codec, self.room = codec, CACHE_BYTES
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= CACHE:
-            self.clear()
         value = self.codec.packed(piece) if piece else b""
         if len(piece) <= LONG_PIECE:
+            self.room -= len(piece) + len(value) + ENTRY
+            if self.room < 0:
+                self.clear()
+                self.room = CACHE_BYTES
             self[piece] = value
         return value
 
@@ -168,12 +171,15 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
+CACHES["bpe"] = codec.cache_clear
+
+
 def bpe_encode(df: DataFrame, path: str, id: str = "doc_id", text: str = "text", ids: str = "ids") -> DataFrame:
     """Rows (id, ids): token ids of every whole text. Null or empty text: an empty list. Rows that repeat stay."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         c = codec(path)
-        for batch in sliced(batches, text):
+        for batch in sliced(batches, text, operator="bpe"):
             rows = [c.encode(t) for t in batch.column(1).to_pylist()]
             offsets = np.zeros(len(rows) + 1, np.int32)
             np.cumsum([len(r) for r in rows], out=offsets[1:])
@@ -215,7 +221,7 @@ def round_trip_digests(df: DataFrame, path: str, id: str = "doc_id", text: str =
         c = codec(path)
         digits, lengths = decimal_table(len(c.strings))
         column = np.arange(digits.shape[1])
-        for batch in sliced(batches, text):
+        for batch in sliced(batches, text, operator="bpe"):
             all_ids, of_ids, of_text = [], [], []
             for t in batch.column(1).to_pylist():
                 ids = c.encode(t)

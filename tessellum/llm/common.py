@@ -4,14 +4,24 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def modest(spark: SparkSession) -> None:
+    """Arrow batches of about 8 MB, in place of Spark's 64, unless the session has a limit of its own."""
+    if spark.conf.get(BATCH_BYTES, "67108864b") in ("67108864b", "67108864", "64MB", "64m"):
+        spark.conf.set(BATCH_BYTES, "8m")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    modest(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -62,6 +72,7 @@ class Scratch:
     the end, and everything goes when an error ends it."""
 
     def __init__(self, spark: SparkSession):
+        modest(spark)
         self.spark, self.paths, self.kept = spark, {}, set()
 
     def __call__(self, df: DataFrame, name: str) -> DataFrame:
@@ -91,8 +102,24 @@ class Scratch:
         self.close(*(() if kind else self.kept))
 
 
-def sliced(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+#: How to empty the caches that operators keep in a Python worker, by operator; and whose turn it is.
+CACHES: dict[str, Callable[[], None]] = {}
+_turn = [""]
+
+
+def turn_to(operator: str) -> None:
+    """A worker that serves several operators keeps the caches of the present one alone."""
+    if _turn[0] != operator:
+        for name, clear in CACHES.items():
+            if name != operator:
+                clear()
+        _turn[0] = operator
+        pa.default_memory_pool().release_unused()
+
+
+def sliced(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 1 << 21, operator: str = "") -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that the named text column has about max_bytes at most (a longer text stands alone)."""
+    turn_to(operator)
     for batch in batches:
         n = batch.num_rows
         if not n:

@@ -9,12 +9,12 @@
    none of the BANDS buckets with a probability of 6e-6, of similarity 0.8 with 5e-8.
 4. Each node is compared with the most central node of each of its buckets, the one with the most
    company in all its buckets, so that copies meet what they are copies of. After components have
-   formed, a bucket that still holds several of them is compared across components. There, each
-   node's shingles that some other such node has too are counted, in PARTS parts by their hashes: two
-   nodes share at most the lesser count of each part, which bounds their similarity from above,
-   exactly. Pairs of nodes from different components that pass this bound, and whose signatures agree
-   well enough, are formed in the join, and all of them verified. So no bucket is capped, and pairs
-   within a component, however large, are never listed.
+   formed, the nodes of buckets that still hold several of them are compared across components, by a
+   prefix filter, which is exact: with all their shingles in one order, the rarest first, two sets that
+   are similar enough have their first common shingle within the first quarter of both, and so early
+   that enough others can follow. Only nodes that share such a shingle become pairs, and for each
+   shingle the largest component is compared with the rest, never with itself. All pairs are verified.
+   So no bucket is capped, and pairs within a component, however large, are never listed.
 5. Verification takes the whole texts of both sides and counts their common shingles.
 
 Words are those of [^\\x20\\x09-\\x0D]+ with A-Z in lower case. Shingles are 64-bit hashes.
@@ -27,18 +27,19 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessellum.llm.common import sliced, written
+from tessellum.llm.common import Scratch, sliced, turn_to
 from tessellum.llm.components import connected
 from tessellum.llm.textvec import CODES, SPACE, Texts, U, mix, owner, prefix, ranges
 
 WORDS, SLOTS, ROWS = 5, 128, 4
 BANDS = SLOTS // ROWS
 SIMILARITY = 75
-#: Two bits of each slot are kept to compare signatures in joins: at a similarity of 0.75, 32 of 256 bits differ on average (standard deviation 6.3).
-MOST_BITS = 64
-PARTS = 128
+#: Two bits of each slot are kept to compare a node with its leaders: at a similarity of 0.75, 32 of 256 bits differ on average
+#: (standard deviation 6.3), so more than these with less than 1e-10. Such a pair isn't lost: its bucket stays unsettled.
+MOST_BITS = 80
 CHUNK = 1 << 16
 STEP = 0x9E3779B97F4A7C15
 
@@ -95,7 +96,7 @@ def signatures(keys: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
 
 
 def described(docs: DataFrame, id: str, text: str) -> DataFrame:
-    """Rows (doc_id, n_shingles, node, bits, bands); node, bits and bands are null for empty sets."""
+    """Rows (doc_id, text_key, n_shingles, node, bits, bands); node, bits and bands are null for empty sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for batch in sliced(batches, text):
@@ -112,10 +113,10 @@ def described(docs: DataFrame, id: str, text: str) -> DataFrame:
             bits = np.packbits(np.stack((two & 1, two >> 1), axis=2).reshape(n, 2 * SLOTS), axis=1).view(np.int64)
             null = size == 0
             lists = [pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(np.where(null, 0, x.shape[1])))), pa.int32()), pa.array(x[~null].ravel().view(np.int64)), mask=pa.array(null)) for x in (bits, band.reshape(n, BANDS))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size.astype(np.int64)), pa.array(node, mask=null), *lists], ["doc_id", "n_shingles", "node", "bits", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(size.astype(np.int64)), pa.array(node, mask=null), *lists], ["doc_id", "text_key", "n_shingles", "node", "bits", "bands"])
 
     kind = docs.schema[id].dataType.simpleString()
-    return docs.select(F.col(id), F.col(text)).mapInArrow(run, f"doc_id {kind}, n_shingles long, node long, bits array<long>, bands array<long>")
+    return docs.select(F.col(id), F.col(text), F.xxhash64(text)).mapInArrow(run, f"doc_id {kind}, text_key long, n_shingles long, node long, bits array<long>, bands array<long>")
 
 
 def differing(x: Column, y: Column) -> Column:
@@ -127,6 +128,7 @@ def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) of nodes whose whole sets are similar enough. texts: (node, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        turn_to("")
         for batch in batches:
             at, bytes_ = 0, 0
             sizes = [len(x or "") + len(y or "") for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
@@ -151,70 +153,81 @@ def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (id, n_shingles, component_id, kept), one for each row of docs.
+def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", scratch: Scratch | None = None) -> DataFrame:
+    """Rows (id, n_shingles, component_id, kept, text_key), one for each row of docs.
 
     component_id: the least id that can be reached over links, the row's own included; kept: whether
-    that is the row's own. A document without words is linked with nothing. Rows that repeat are copies
-    of each other (so of two rows with one id and one text, both are kept or none). A null id is
-    never a component's least id unless all ids in it are null."""
-    described_ = written(described(docs, id, text), "signatures")
-    nodes = written(described_.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least_id"), F.first("n_shingles").alias("n"), F.first("bits").alias("bits"), F.first("bands").alias("bands")), "nodes")
+    that is the row's own; text_key: a hash of the text, which tells rows of one id apart. A document
+    without words is linked with nothing. Rows that repeat are copies of each other (so of two rows with
+    one id and one text, both are kept or none). A null id is never a component's least id unless all ids
+    in it are null. Other columns are left out; an empty table gives no rows. scratch: takes the two
+    tables that the result reads; without it they stay."""
+    own = Scratch(docs.sparkSession) if scratch is None else scratch
+    described_ = own(described(docs, id, text), "signatures")
+    nodes = own(described_.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least_id"), F.first("n_shingles").alias("n"), F.first("bits").alias("bits"), F.first("bands").alias("bands")), "nodes")
     members = nodes.select("node", F.explode("bands").alias("bucket"))
-    shared = written(members.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("company")).filter("lo <> hi").select("bucket", "company"), "buckets")
-    crowded = written(members.join(shared, "bucket"), "members")
-    central = written(crowded.groupBy("node").agg(F.sum("company").alias("company")), "central")
-    leaders = written(crowded.select("bucket", "node").join(central, "node").groupBy("bucket").agg(F.max(F.struct("company", "node")).alias("most")).select("bucket", F.col("most.node").alias("leader")), "leaders")
+    shared = own(members.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("company")).filter("lo <> hi").select("bucket", "company"), "buckets")
+    crowded = own(members.join(shared, "bucket"), "members")
+    own.drop("buckets")
+    central = crowded.groupBy("node").agg(F.sum("company").alias("company"))
+    leaders = own(crowded.select("bucket", "node").join(central, "node").groupBy("bucket").agg(F.max(F.struct("company", "node")).alias("most")).select("bucket", F.col("most.node").alias("leader")), "leaders")
     stars = crowded.join(leaders, "bucket").filter("node <> leader").select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
-    bits = nodes.select("node", "bits")
-    stars = written(
-        stars.join(bits.select(F.col("node").alias("a"), F.col("bits").alias("x")), "a").join(bits.select(F.col("node").alias("b"), F.col("bits").alias("y")), "b").filter(differing(F.col("x"), F.col("y")) <= MOST_BITS).select("a", "b"),
-        "stars",
-    )
+    side = lambda name, bits: nodes.select(F.col("node").alias(name), F.col("n").alias(f"n_{name}"), F.col("bits").alias(bits))
+    alike = (100 * F.least("n_a", "n_b") >= SIMILARITY * F.greatest("n_a", "n_b")) & (differing(F.col("x"), F.col("y")) <= MOST_BITS)
+    stars = own(stars.join(side("a", "x"), "a").join(side("b", "y"), "b").filter(alike).select("a", "b"), "stars")
+    own.drop("leaders")
 
     wanted = crowded.select("node").distinct().join(nodes.select("node", "least_id"), "node")
     found = docs.select(F.col(id).alias("__id"), F.col(text).alias("text")).join(wanted, F.col("__id").eqNullSafe(F.col("least_id"))).select("node", "text")
-    texts = written(of_node(found), "texts")
+    texts = own(of_node(found), "texts")
 
-    links = written(similar(stars, texts), "links")
-    roots = written(connected(links), "roots")
+    links = own(similar(stars, texts), "links")
+    roots = connected(links, own)
     placed = crowded.select("bucket", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = written(placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("bucket"), "mixed")
-    unsettled = written(placed.join(mixed, "bucket"), "unsettled")
-    known = nodes.select("node", "n", "bits").join(common_shingles(texts.join(unsettled.select("node").distinct(), "node")), "node")
-    unsettled = written(unsettled.join(known, "node"), "described")
-    x, y = (unsettled.select("bucket", *[F.col(c).alias(f"{c}_{side}") for c in ("root", "n", "bits", "common", "parts")], F.col("node").alias(side)) for side in "ab")
-    enough = SIMILARITY * (F.col("n_a") + F.col("n_b"))
-    possible = ((100 + SIMILARITY) * F.least("common_a", "common_b") >= enough) & (differing(F.col("bits_a"), F.col("bits_b")) <= MOST_BITS)
-    overlap = F.aggregate(F.zip_with("parts_a", "parts_b", lambda p, q: F.least(p, q)), F.lit(0), lambda s, p: s + p)
-    possible &= (100 + SIMILARITY) * overlap >= enough
-    across = x.join(y, (x["bucket"] == y["bucket"]) & (F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & possible).select("a", "b").distinct()
-    more = written(similar(written(across.join(stars, ["a", "b"], "left_anti"), "across"), texts), "more-links")
+    mixed = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("bucket")
+    loose = own(placed.join(mixed, "bucket").select("node", "root").distinct().join(nodes.select("node", "n"), "node"), "loose")
+    own.drop("members")
+    across = own(candidates(loose, texts, own).join(stars, ["a", "b"], "left_anti"), "across")
+    more = own(similar(across, texts), "more-links")
+    own.drop("texts", "loose", "heads", "across", "stars")
     if not more.isEmpty():
-        roots = written(connected(links.union(more)), "roots")
+        roots = connected(links.union(more), own, "roots-again")
 
-    rooted = written(nodes.select("node", "least_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
-    least = written(rooted.groupBy("root").agg(F.min("least_id").alias("component_id")), "least")
-    classes = written(rooted.join(least, "root").select("node", "component_id"), "classes")
-    out = described_.select("doc_id", "n_shingles", "node").join(classes, "node", "left")
+    rooted = nodes.select("node", "least_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = own(rooted.groupBy("root").agg(F.min("least_id").alias("component_id")), "least")
+    classes = own(rooted.join(least, "root").select("node", "component_id"), "classes")
+    own.close("signatures", "classes") if scratch is None else own.drop("nodes", "links", "more-links", "roots", "roots-again", "least")
+    out = described_.select("doc_id", "text_key", "n_shingles", "node").join(classes, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select(F.col("doc_id").alias(id), "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select(F.col("doc_id").alias(id), "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "text_key")
 
 
-def common_shingles(texts: DataFrame) -> DataFrame:
-    """Rows (node, common, parts): how many shingles of each node some other one has too, in all and by part."""
+def candidates(loose: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) of the nodes (node, root, n) with different roots that the prefix filter lets through, once each.
+
+    A shingle that no other of these nodes has comes first in its node's order and makes no pairs, so it is only counted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for batch in sliced(batches, "text"):
             keys, of, _ = shingles(batch.column(1))
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), batch.column(0).take(pa.array(of))], ["shingle", "node"])
 
-    rows = texts.select("node", "text").mapInArrow(run, "shingle long, node long")
-    part = F.pmod("shingle", F.lit(PARTS)).cast("int").alias("part")
-    own = rows.groupBy("shingle").agg(F.min("node").alias("node"), F.count("*").alias("times")).filter("times = 1").groupBy("node", part).agg((-F.count("*")).cast("int").alias("n"))
-    counts = rows.groupBy("node", part).agg(F.count("*").cast("int").alias("n")).unionByName(own).groupBy("node", "part").agg(F.sum("n").cast("int").alias("n"))
-    listed = counts.groupBy("node").agg(F.sum("n").alias("common"), F.map_from_entries(F.collect_list(F.struct("part", "n"))).alias("by"))
-    return listed.select("node", "common", F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda i: F.coalesce(F.try_element_at("by", i), F.lit(0))).alias("parts"))
+    rows = texts.join(loose.select("node"), "node", "left_semi").select("node", "text").mapInArrow(run, "shingle long, node long")
+    times = rows.groupBy("shingle").agg(F.count("*").alias("times")).filter("times > 1")
+    mine = W.partitionBy("node")
+    ranked = rows.join(times, "shingle").join(loose, "node").select("shingle", "node", "root", "n", F.row_number().over(mine.orderBy("times", "shingle")).alias("rank"), F.count("*").over(mine).alias("common"))
+    place = F.col("n") - F.col("common") + F.col("rank")
+    quarter = F.col("n") - F.floor((SIMILARITY * F.col("n") + 99) / 100) + 1
+    heads = scratch(ranked.select("shingle", "node", "root", "n", place.alias("place")).filter(F.col("place") <= quarter), "heads")
+    by_root = heads.groupBy("shingle", "root").agg(F.count("*").alias("size"))
+    lists = by_root.groupBy("shingle").agg(F.max_by("root", F.struct("size", "root")).alias("largest"), F.count("*").alias("roots")).filter("roots > 1").select("shingle", "largest")
+    x, y = (heads.select("shingle", *[F.col(c).alias(f"{c}_{end}") for c in ("root", "n", "place")], F.col("node").alias(end)) for end in "ab")
+    x = x.join(lists, "shingle").filter("root_a <> largest").drop("largest").withColumnRenamed("shingle", "__shingle")
+    follow = 1 + F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))
+    enough = (100 + SIMILARITY) * follow >= SIMILARITY * (F.col("n_a") + F.col("n_b"))
+    sized = 100 * F.least("n_a", "n_b") >= SIMILARITY * F.greatest("n_a", "n_b")
+    pairs = x.join(y, (F.col("__shingle") == F.col("shingle")) & (F.col("root_a") != F.col("root_b")) & sized & enough)
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def of_node(found: DataFrame) -> DataFrame:

@@ -35,7 +35,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
         up, down = np.full(size, BASE, U), np.full(size, pow(BASE, -1, 2**64), U)
         up[0] = down[0] = 1
         have = np.cumprod(up, dtype=U), np.cumprod(down, dtype=U)
-        if size <= 1 << 23:
+        if size <= 1 << 22:  # 64 MB; what longer texts need is not kept
             _powers[0] = have
     return have
 

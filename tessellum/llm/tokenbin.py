@@ -23,15 +23,16 @@ from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from tessellum.llm.bpe import COARSE, LONG_PIECE, RUNS, WIDE
-from tessellum.llm.common import sliced
+from tessellum.llm.common import CACHES, sliced
 
 #: Stands for a document id that is null; such documents come first.
 NO_ID = -(2**63)
 FIRST = "\x1f"
-#: Pieces whose ids a worker remembers.
-CACHE = 1_300_000
+#: Bytes of pieces and ids that a worker remembers; an entry counts ENTRY bytes besides its piece and ids.
+CACHE_BYTES, ENTRY = 260 << 20, 180
 
 
 def store(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -55,6 +56,7 @@ class Encoder:
         #: Bytes of text that each id stands for: one for each character of a byte-level token.
         self.lengths = np.array([len(added[i].content.encode()) if i in added else len(self.tokenizer.id_to_token(i)) for i in range(size)])
         self.cache: dict[str, bytes] = {"": b""}
+        self.room = CACHE_BYTES
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.width).tobytes()
@@ -78,8 +80,8 @@ class Encoder:
         line feed and the word after it; the text's first word and other texts' pieces come after FIRST."""
         cut = [None if t and any(x in t for x in self.added) else keys(t) if t else [] for t in texts]
         new = set().union(*(x for x in cut if x)).difference(self.cache)
-        if len(self.cache) + len(new) > CACHE:
-            self.cache = {"": b""}
+        if self.room < 0:
+            self.cache, self.room = {"": b""}, CACHE_BYTES
             new = set().union(*(x for x in cut if x)).difference(self.cache)
         ended = [p for p in new if len(p) > 2 and p[-1] in ".," and p[-2].isalnum()]
         fresh = list((new.difference(ended) | {p[:-1] for p in ended} | {f"{FIRST}.", f"{FIRST},"}).difference(self.cache))
@@ -89,6 +91,7 @@ class Encoder:
         out = [self.whole(t) if x is None else b"".join(map(get, x)) for t, x in zip(texts, cut, strict=True)]
         for piece in [p for p in (*fresh, *ended) if len(p) > LONG_PIECE]:
             del self.cache[piece]
+        self.room -= sum(len(p) + len(self.cache[p]) + ENTRY for p in (*fresh, *ended) if p in self.cache)
         return out
 
 
@@ -108,6 +111,9 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+CACHES["tokenbin"] = encoder.cache_clear
+
+
 def ranged(df: DataFrame, id: str, parts: int) -> DataFrame:
     """df dealt into parts of ascending ids, in order within each. The limits come from the ids alone, so texts are read once."""
     shares = [i / parts for i in range(1, parts)]
@@ -131,7 +137,10 @@ def write_tokens(df: DataFrame, out: str, tokenizer: str, end_id: int = 0, id: s
     """Encode every whole text (null: empty) and an end id after each into files under `out`; the manifest.
 
     Equal document ids stand next to each other, in order of their texts. Only the parts' lengths
-    come to the driver. An empty table gives a manifest without parts."""
+    come to the driver. An empty table gives a manifest without parts. Ids have to be integers of any
+    size up to 64 bits (a null one is kept as NO_ID); others are refused. Other columns are left out."""
+    if not isinstance(df.schema[id].dataType, IntegralType):
+        raise ValueError(f"the files have 64-bit integer ids; {id} is {df.schema[id].dataType.simpleString()}")
     spark = df.sparkSession
     parts = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     filesystem, base = store(out)
@@ -145,7 +154,7 @@ def write_tokens(df: DataFrame, out: str, tokenizer: str, end_id: int = 0, id: s
         starts, at = [np.zeros(1, np.uint64)], 0
         docs: list[np.ndarray] = []
         files = None
-        for batch in sliced(batches, text):
+        for batch in sliced(batches, text, operator="tokenbin"):
             if files is None:
                 enc = encoder(tokenizer)
                 files = where.open_output_stream(names["bin"][0])
