@@ -2,8 +2,17 @@
 
 Words and pairs of words are hashed into BUCKETS buckets and counted over the trusted target and over
 the raw corpus, all documents of each. A document's score is the sum of log(p_target / p_raw) over its
-n-grams, divided by their number; a document is kept if its score is at least THRESHOLD. The counts
-that come to the driver, and the table of ratios sent back, have one row for each bucket.
+n-grams, divided by their number. Its own n-grams are left out of both counts, so a trusted document is
+scored as if it had not been trusted, and a corpus of any size gives trusted and other documents scores
+of one kind. The target is smoothed by the raw corpus: PRIOR n-grams of it are added, dealt as there.
+
+The threshold is the score that TAIL of the trusted documents miss, of those that pass the base rules;
+it is read off exact counts of scores in steps of 1 / STEPS, so it is the same in every run.
+
+The counts that come to the driver, and the tables sent back, have one row for each bucket. Texts are
+shuffled only where their ids may be trusted: a bitmap of fixed size, made of the trusted ids, lets all
+of those through and few others, and the join of ids decides. However many ids there are, it only gets
+less selective.
 """
 
 from __future__ import annotations
@@ -15,11 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessellum.llm.common import sliced
+from tessellum.llm.common import Scratch, sliced, turn_to
 from tessellum.llm.textvec import CODES, SPACE, Texts, mix, owner, prefix, ranges
 
 BUCKETS = 1 << 16
-THRESHOLD = -0.08
+#: n-grams of the raw corpus that smooth the target; the share of trusted documents below the threshold; steps of a score of 1.
+PRIOR, TAIL, STEPS = 20_000, 0.02, 1000
+#: Bits of the map of trusted ids: 8 MB.
+BITS = 1 << 26
 WINDOW = 8
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -77,51 +89,111 @@ class Counted:
         return np.concatenate((self.hash & mask, both & mask)).astype(np.int64), np.concatenate((self.owner, self.owner[pair]))
 
 
-def counts(docs: DataFrame, trusted: DataFrame, id: str, text: str) -> tuple[np.ndarray, np.ndarray]:
-    """n-grams of each bucket in all of docs and in those whose id is in trusted."""
-    known = trusted.select(F.col(id)).distinct().withColumn("__trusted", F.lit(True)).hint("merge")  # grows with docs; a broadcast of it would not last
-    marked = docs.select(id, text).join(known, id, "left").select(text, F.coalesce("__trusted", F.lit(False)).alias("trusted"))
+def count_rows(texts: DataFrame) -> DataFrame:
+    """Rows (bucket, n) of all n-grams of the one column of texts."""
+
+    name = texts.columns[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        total = np.zeros((2, BUCKETS), np.int64)
-        for batch in sliced(batches, text):
-            bucket, which = Counted(batch.column(0)).ngrams()
-            good = batch.column(1).to_numpy(zero_copy_only=False)[which]
-            total[0] += np.bincount(bucket, minlength=BUCKETS)
-            total[1] += np.bincount(bucket[good], minlength=BUCKETS)
-        seen = np.flatnonzero(total[0])
-        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[0][seen]), pa.array(total[1][seen])], ["bucket", "raw", "target"])
+        total = np.zeros(BUCKETS, np.int64)
+        for batch in sliced(batches, name):
+            total += np.bincount(Counted(batch.column(0)).ngrams()[0], minlength=BUCKETS)
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen])], ["bucket", "n"])
+
+    return texts.mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+
+
+def dense(rows: DataFrame) -> np.ndarray:
+    out = np.zeros(BUCKETS)
+    found = rows.toPandas()  # one row for each bucket at most
+    out[found["bucket"]] = found["n"]
+    return out
+
+
+def bitmap(ids: DataFrame) -> np.ndarray:
+    """A map of BITS bits in 64-bit words, with the bit of each id's hash set; one row for each word comes to the driver at most."""
+    at = F.pmod(F.xxhash64(ids.columns[0]), F.lit(BITS))
+    rows = ids.select(F.shiftright(at, 6).cast("int").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int")).alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    out = np.zeros(BITS // 64, np.int64)
+    out[rows["word"]] = rows["bits"]
+    return out.view(np.uint64)
+
+
+def trusted_texts(docs: DataFrame, known: DataFrame, id: str, text: str) -> DataFrame:
+    """The texts of docs whose id is in known (__id); only those that the bitmap lets through are shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap(known))
+    rows = docs.select(F.col(id).alias("__id"), F.col(text).alias("__text"), F.pmod(F.xxhash64(id), F.lit(BITS)).alias("at"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        turn_to("")
+        for batch in batches:
+            at = batch.column(2).to_numpy()
+            hit = shared.value[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)
+            yield batch.select([0, 1]).filter(pa.array(hit == 1))
+
+    kind = docs.schema[id].dataType.simpleString()
+    return rows.mapInArrow(run, f"__id {kind}, __text string").join(known.hint("merge"), "__id", "left_semi").select("__text")  # never broadcast: the ids grow with docs
+
 
-    rows = marked.mapInArrow(run, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
-    raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    raw[rows["bucket"]], target[rows["bucket"]] = rows["raw"], rows["target"]
-    return raw, target
+class Ratios:
+    """log(p_target / p_raw) of a text's n-grams, without the text's own part in the counts."""
 
+    def __init__(self, raw: np.ndarray, target: np.ndarray):
+        self.raw, self.target, self.n_raw, self.n_target = raw, target, raw.sum(), target.sum()
 
-def log_ratios(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """log(p_target / p_raw), each with one count added to every bucket; zeros where nothing is trusted."""
-    if not target.sum():
-        return np.zeros(BUCKETS)
-    return np.log((target + 1) / (target.sum() + BUCKETS)) - np.log((raw + 1) / (raw.sum() + BUCKETS))
+    def mean(self, bucket: np.ndarray, which: np.ndarray, n: int, own: bool) -> np.ndarray:
+        """The mean of each text 0 to n - 1. own: the texts are in the target too."""
+        if not self.n_target:
+            return np.zeros(n)
+        pairs, times = np.unique(which << 16 | bucket, return_counts=True)
+        b, t = pairs & 0xFFFF, pairs >> 16
+        length = np.bincount(t, times, n)
+        share = (np.maximum(self.raw[b] - times, 0) + 1) / (np.maximum(self.n_raw - length, 0) + BUCKETS)[t]
+        mine, less = (self.target[b] - times, length) if own else (self.target[b], np.zeros(n))
+        ratio = np.log((np.maximum(mine, 0) / share + PRIOR) / (np.maximum(self.n_target - less, 0) + PRIOR)[t])
+        return np.bincount(t, times * ratio, n) / np.maximum(length, 1)
 
 
-def judge(docs: DataFrame, trusted: DataFrame, id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def judge(docs: DataFrame, trusted: DataFrame, id: str = "doc_id", text: str = "text", threshold: float | None = None, scratch: Scratch | None = None) -> DataFrame:
     """Rows (id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score, kept).
 
     trusted: the ids of trusted documents (repeated and null ids count for nothing more). Null and
     empty texts have no words and fail the base rules; repeated rows are judged alike; other columns
-    of docs are left out. Without any trusted text the scores are 0."""
-    shared = docs.sparkSession.sparkContext.broadcast(log_ratios(*counts(docs, trusted, id, text)))
+    of docs are left out; an empty table gives no rows. Without any trusted text the scores are 0 and
+    what passes the base rules is kept. threshold: in place of the one that the trusted documents set.
+    scratch: takes the table that the result reads; without it that table stays."""
+    spark = docs.sparkSession
+    known = trusted.select(F.col(id).alias("__id")).filter("__id is not null").distinct()
+    ratios = Ratios(dense(count_rows(docs.select(text))), dense(count_rows(trusted_texts(docs, known, id, text))))
+    shared = spark.sparkContext.broadcast(ratios)
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for batch in sliced(batches, text):
             c = Counted(batch.column(1))
-            bucket, which = c.ngrams()
-            n = batch.num_rows
-            score = np.bincount(which, shared.value[bucket], minlength=n) / np.maximum(np.bincount(which, minlength=n), 1)
+            grams, n = c.ngrams(), batch.num_rows
             failed = (c.n_words < 20) | (100 * c.n_repeat_words > 30 * c.n_words)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(getattr(c, x).astype(np.int64)) for x in names), pa.array(failed), pa.array(score), pa.array(~failed & (score >= threshold))], [id, *names, "base_failed", "score", "kept"])
+            scores = [np.round(shared.value.mean(*grams, n, own) * STEPS) / STEPS for own in (False, True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(getattr(c, x).astype(np.int64)) for x in names), pa.array(failed), *map(pa.array, scores)], [id, *names, "base_failed", "score", "own"])
 
     kind = docs.schema[id].dataType.simpleString()
-    return docs.select(id, text).mapInArrow(run, f"`{id}` {kind}, " + "".join(f"{x} long, " for x in names) + "base_failed boolean, score double, kept boolean")
+    rows = docs.select(id, text).mapInArrow(run, f"`{id}` {kind}, " + "".join(f"{x} long, " for x in names) + "base_failed boolean, score double, own double")
+    marked = rows.join(known.withColumn("__trusted", F.lit(True)).hint("merge"), F.col(id) == F.col("__id"), "left")
+    scored = (scratch or Scratch(spark))(marked.select(id, *names, "base_failed", F.when(F.col("__trusted"), F.col("own")).otherwise(F.col("score")).alias("score"), F.coalesce("__trusted", F.lit(False)).alias("trusted")), "scored")
+    if threshold is None:
+        threshold = cut(scored.filter("trusted and not base_failed"))
+    return scored.select(id, *names, "base_failed", "score", (~F.col("base_failed") & (F.col("score") >= threshold)).alias("kept"))
+
+
+def cut(scored: DataFrame) -> float:
+    """The greatest step that at most TAIL of the scores are below; without scores, one that all reach.
+
+    Scores are means of bounded ratios, so the steps that come to the driver are bounded in number."""
+    steps = scored.groupBy(F.round(F.col("score") * STEPS).cast("long").alias("step")).count().orderBy("step").collect()
+    total, below = sum(r["count"] for r in steps), 0
+    for r in steps:
+        below += r["count"]
+        if below > TAIL * total:
+            return r["step"] / STEPS
+    return -1e9
