@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 
+def store(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a path in the shared folder, and the path within it."""
+    return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{os.path.abspath(uri)}")
+
+
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 

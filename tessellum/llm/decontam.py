@@ -4,30 +4,36 @@ The index is cut by documents: each shard has the sorted terms of some documents
 list begins, and the positions of every token, in order. Positions of neighbouring documents are GAP
 apart, so that no phrase runs from one into the next. A phrase is looked up in each shard from its
 rarest term on: lists are shifted by the term's place in the phrase and intersected, the rarest first,
-until none is left or all agree. Nothing is shuffled; no list leaves its shard. Benchmark items are
-sent to the executors in blocks of at most BLOCK_CHARS characters of text, however many there are.
+until none is left or all agree. Nothing is shuffled; no list leaves its shard. The phrases of the
+benchmark are a table of blocks, each of about BLOCK_BYTES of text; tasks read one block after the other
+against the shards at hand, so neither the driver nor a broadcast holds them, however many there are.
 
 Words: A-Z in lower case, then runs of digits, a-z and all that is not ASCII. Terms are 64-bit hashes.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from tessellum.llm.common import sliced, written
+from tessellum.llm.common import CACHES, Scratch, sliced, store, turn_to
 from tessellum.llm.textvec import ALNUM, CODES, Texts, prefix, ranges
 
 GAP = 64
-BLOCK_CHARS = 1_000_000
+BLOCK_BYTES = 1 << 20
 SHARD_BYTES = 1 << 22
-MATCHES = "array<struct<item_id:bigint,start:int,end:int>>"
+#: Bytes of shards that a task holds while it reads the blocks, and of blocks that a worker keeps for its next shards.
+HELD_BYTES = 1 << 25
 
 
 def hashed_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -37,8 +43,10 @@ def hashed_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return ranges(prefix(CODES[texts.buf]), start, end), first
 
 
-def build_index(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Write the index of whole texts: a row for each shard. Null or empty texts have no words; repeated rows stay."""
+def build_index(docs: DataFrame, id: str = "doc_id", text: str = "text", scratch: Scratch | None = None) -> DataFrame:
+    """Write the index of whole texts: a row for each shard. Null or empty texts have no words; repeated
+    rows stay; ids are of any type. Other columns are left out; an empty table gives an empty index."""
+    kind = docs.schema[id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
@@ -51,26 +59,27 @@ def build_index(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Data
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([f"{part}-{n}"]),
-                    pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), batch.column(0).cast(pa.int64())),
+                    *(pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), batch.column(c)) for c in (0, 2)),
                     *(pa.array([x.tobytes()], pa.binary()) for x in (first.astype("<u4"), terms[new].astype("<u8"), np.append(new, len(terms)).astype("<u4"), position[order].astype("<u4"))),
                 ],
-                ["shard", "doc_ids", "first", "terms", "bounds", "postings"],
+                ["shard", "doc_ids", "text_keys", "first", "terms", "bounds", "postings"],
             )
 
-    return written(docs.select(id, text).mapInArrow(run, "shard string, doc_ids array<long>, first binary, terms binary, bounds binary, postings binary"), "postings")
+    rows = docs.select(id, text, F.xxhash64(text)).mapInArrow(run, f"shard string, doc_ids array<{kind}>, text_keys array<long>, first binary, terms binary, bounds binary, postings binary")
+    return (scratch or Scratch(docs.sparkSession))(rows, "postings")
 
 
 @dataclass
 class Phrases:
     """Windows of items: the item of each, its length, and its terms as numbers into `terms` (-1: none)."""
 
-    item: list[int]
+    item: list
     length: np.ndarray
     term: np.ndarray
     terms: np.ndarray
 
     @staticmethod
-    def of(items: list[tuple[int, str | None]], window: int) -> Phrases:
+    def of(items: list[tuple], window: int) -> Phrases:
         hashes, first = hashed_words(pa.array([t for _, t in items], pa.large_string()))
         rows, owners, lengths = [], [], []
         for (item, _), a, b in zip(items, first, first[1:]):
@@ -161,61 +170,90 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def blocks(items: DataFrame, item: str, text: str) -> Iterator[list[tuple[int, str | None]]]:
-    block, size = [], 0
-    for row in items.select(F.col(item).cast("long"), text).toLocalIterator():
-        block.append((row[0], row[1]))
-        size += len(row[1] or "")
-        if size >= BLOCK_CHARS:
-            yield block
-            block, size = [], 0
-    if block:
-        yield block
+def phrase_blocks(items: DataFrame, item: str, text: str, window: int, scratch: Scratch, block_bytes: int) -> str:
+    """Write the windows of all items as a table of blocks (block); its path. The driver sees none of them."""
 
-
-def search(index: DataFrame, items: DataFrame, item: str = "item_id", text: str = "text", window: int = 10, span: int | None = None) -> DataFrame:
-    """Rows (shard, ordinal, doc_id, n_words, matches) for every document of the index.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for batch in sliced(batches, text, block_bytes):
+            block = Phrases.of(list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())), window)
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(block)], pa.binary())], ["block"])
+
+    scratch(items.select(item, text).mapInArrow(run, "block binary"), "phrases")
+    return scratch.paths["phrases"][-1]
+
+
+_kept: dict[str, list[Phrases]] = {}
+CACHES["phrases"] = _kept.clear
+
+
+def read_blocks(path: str, held_bytes: int) -> Iterator[Phrases]:
+    """The blocks of a table, one after the other; those of a small table stay in the worker's memory."""
+    if path in _kept:
+        yield from _kept[path]
+        return
+    where, root = store(path)
+    files = sorted((f for f in where.get_file_info(pafs.FileSelector(root)) if f.path.endswith(".parquet")), key=lambda f: f.path)
+    blocks: list[Phrases] | None = [] if sum(f.size for f in files) <= held_bytes else None
+    for f in files:
+        with where.open_input_file(f.path) as source:
+            for batch in pq.ParquetFile(source).iter_batches(1, columns=["block"]):
+                for x in batch.column(0):
+                    block = pickle.loads(x.as_py())
+                    if blocks is not None:
+                        blocks.append(block)
+                    yield block
+    if blocks is not None:
+        _kept.clear()
+        _kept[path] = blocks
+
+
+def search(index: DataFrame, items: DataFrame, item: str = "item_id", text: str = "text", window: int = 10, span: int | None = None, scratch: Scratch | None = None, block_bytes: int = BLOCK_BYTES, held_bytes: int = HELD_BYTES) -> DataFrame:
+    """Rows (shard, ordinal, doc_id, text_key, n_words, matches) for every document of the index.
 
     matches: [start, end) in words of the document for each item, in runs that touch put together.
     Phrases are the windows of an item (an item of fewer words is one). span: take, in place of
     exact phrases, any range of at most so many words that has all words of a window. Items
-    without words match nothing; a null item_id is an item like others."""
+    without words match nothing; a null item is an item like others, of any type."""
     if window >= GAP or (span or 0) >= GAP:
         raise ValueError(f"windows and spans have to be under {GAP} words")
-    sc = index.sparkSession.sparkContext
-
-    def matcher(shared):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-            p: Phrases = shared.value
-            for row in (r for b in batches for r in b.to_pylist()):
-                shard = Shard(row)
-                found: dict[tuple[int, int | None], list[tuple[int, int]]] = {}
+    path = phrase_blocks(items, item, text, window, scratch or Scratch(index.sparkSession), block_bytes)
+    kind, doc_kind = items.schema[item].dataType, index.schema["doc_ids"].dataType.elementType
+    item_type = to_arrow_type(kind)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        turn_to("phrases")
+        held, size = [], 0
+        for row in (r for b in batches for i in range(b.num_rows) for r in b.slice(i, 1).to_pylist()):
+            held.append(row)
+            size += len(row["postings"]) + len(row["terms"])
+            if size >= held_bytes:
+                yield from matched(held)
+                held, size = [], 0
+        yield from matched(held)
+
+    def matched(rows: list[dict]) -> Iterable[pa.RecordBatch]:
+        shards = [Shard(row) for row in rows]
+        found: list[dict[tuple, list[tuple[int, int]]]] = [{} for _ in shards]
+        for p in read_blocks(path, held_bytes) if shards else ():
+            for shard, mine in zip(shards, found):
                 hits = ((w, [(s, s + p.length[w]) for s in starts]) for w, starts in shard.exact(p)) if span is None else ((w, [(a, b + 1) for a, b in x]) for w, x in shard.near(p, span))
                 for w, spans in hits:
                     for a, b in spans:
                         doc = int(np.searchsorted(shard.base, a, side="right")) - 1
-                        found.setdefault((doc, p.item[w]), []).append((int(a - shard.base[doc]), int(b - shard.base[doc])))
-                matches: list[list[dict]] = [[] for _ in shard.doc_ids]
-                for (doc, item_id), spans in found.items():
-                    matches[doc] += [{"item_id": item_id, "start": a, "end": b} for a, b in merged(spans)]
-                kind = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32())]))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([row["shard"]] * len(matches)), pa.array(range(len(matches)), pa.int32()), pa.array(shard.doc_ids, pa.int64()), pa.array(np.diff(shard.first)), pa.array(matches, kind)],
-                    ["shard", "ordinal", "doc_id", "n_words", "matches"],
-                )
-
-        return run
-
-    found = None
-    n = 0
-    for block in blocks(items, item, text):
-        one = index.mapInArrow(matcher(sc.broadcast(Phrases.of(block, window))), f"shard string, ordinal int, doc_id long, n_words long, matches {MATCHES}")
-        found, n = (one if found is None else found.unionByName(one)), n + 1
-    if found is None:
-        return index.mapInArrow(matcher(sc.broadcast(Phrases.of([], window))), f"shard string, ordinal int, doc_id long, n_words long, matches {MATCHES}")
-    if n == 1:
-        return found
-    return found.groupBy("shard", "ordinal").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.flatten(F.collect_list("matches")).alias("matches"))
+                        mine.setdefault((doc, p.item[w]), []).append((int(a - shard.base[doc]), int(b - shard.base[doc])))
+        for row, shard, mine in zip(rows, shards, found):
+            matches: list[list[dict]] = [[] for _ in shard.doc_ids]
+            for (doc, item_id), spans in mine.items():
+                matches[doc] += [{"item_id": item_id, "start": a, "end": b} for a, b in merged(spans)]
+            list_type = pa.list_(pa.struct([("item_id", item_type), ("start", pa.int32()), ("end", pa.int32())]))
+            n = len(matches)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([row["shard"]] * n, pa.string()), pa.array(range(n), pa.int32()), pa.array(shard.doc_ids, doc_type), pa.array(row["text_keys"], pa.int64()), pa.array(np.diff(shard.first)), pa.array(matches, list_type)],
+                ["shard", "ordinal", "doc_id", "text_key", "n_words", "matches"],
+            )
+
+    doc_type = to_arrow_type(doc_kind)
+    return index.mapInArrow(run, f"shard string, ordinal int, doc_id {doc_kind.simpleString()}, text_key long, n_words long, matches array<struct<item_id:{kind.simpleString()},start:int,end:int>>")
 
 
 def hit_words() -> Column:
@@ -226,11 +264,15 @@ def hit_words() -> Column:
     return F.aggregate(ranges_, start, step, lambda s: s["n"]).cast("long")
 
 
-def contamination(docs: DataFrame, items: DataFrame, window: int = 10, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (doc_id, n_words, n_hit, n_items, items_sha256, contaminated, matches), one for each row of docs."""
-    found = search(build_index(docs, id, text), items, window=window)
+def contamination(docs: DataFrame, items: DataFrame, window: int = 10, id: str = "doc_id", text: str = "text", scratch: Scratch | None = None, **limits: int) -> DataFrame:
+    """Rows (id, n_words, n_hit, n_items, items_sha256, contaminated, matches, text_key), one for each row of docs.
+
+    text_key: a hash of the text, which tells rows of one id apart. Null and empty texts have no words
+    and no hits; without items nothing is contaminated. Other columns of docs are left out.
+    limits: block_bytes and held_bytes of `search`."""
+    found = search(build_index(docs, id, text, scratch), items, window=window, scratch=scratch, **limits)
     ids = F.array_sort(F.array_distinct(F.transform("matches", lambda x: x["item_id"].cast("string"))))
     hit = hit_words()
     return found.select(
-        F.col("doc_id").alias(id), "n_words", hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), (F.size("matches") > 0).alias("contaminated"), "matches",
+        F.col("doc_id").alias(id), "n_words", hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), (F.size("matches") > 0).alias("contaminated"), "matches", "text_key",
     )

@@ -41,12 +41,12 @@ def op4_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that stand in a window of a benchmark item."""
-    return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("matches")
+    return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("matches", "text_key")
 
 
 def op6_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The component of near duplicates of every document."""
-    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents")).drop("text_key")
 
 
 def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

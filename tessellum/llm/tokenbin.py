@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
 from tessellum.llm.bpe import COARSE, LONG_PIECE, RUNS, WIDE
-from tessellum.llm.common import CACHES, sliced
+from tessellum.llm.common import CACHES, sliced, store
 
 #: Stands for a document id that is null; such documents come first.
 NO_ID = -(2**63)
@@ -35,10 +35,6 @@ FIRST = "\x1f"
 CACHE_BYTES, ENTRY = 260 << 20, 180
 
 
-def store(uri: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{os.path.abspath(uri)}")
-
-
 class Encoder:
     """The tokenizers library, asked once for each piece of text in the cache's memory."""
 

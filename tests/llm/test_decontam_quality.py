@@ -6,9 +6,10 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from tessellum.llm import decontam, quality
+from tessellum.llm import decontam, quality, tokenbin
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -42,19 +43,29 @@ def brute(docs, items, window=10):
     return sorted(out)
 
 
-@pytest.mark.parametrize("block", [10**6, 40])
-def test_contamination(spark, monkeypatch, block):
-    monkeypatch.setattr(decontam, "BLOCK_CHARS", block)
+@pytest.mark.parametrize("limits", [{}, {"block_bytes": 40, "held_bytes": 0}])
+def test_contamination(spark, limits):
     docs, items = corpus()
     df = spark.createDataFrame([(*d, 1) for d in docs], "doc_id long, text string, n_words int")
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = decontam.contamination(df, bench).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").collect()
+    columns = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    got = decontam.contamination(df, bench, **limits).select(*columns).collect()
     assert sorted(map(tuple, got)) == brute(docs, items)
     assert sum(r["contaminated"] for r in got) > 20
     assert decontam.contamination(df.limit(0), bench).collect() == []
     assert not any(r["n_hit"] for r in decontam.contamination(df, bench.limit(0)).collect())
 
 
+def test_ids_of_other_types(spark):
+    docs, items = corpus(30)
+    df = spark.createDataFrame([(f"d{i}", t) for i, t in docs], "doc_id string, text string")
+    bench = spark.createDataFrame([(f"i{i}", t) for i, t in items] + [(None, "zz zz")], "item_id string, text string")
+    got = decontam.contamination(df, bench).select("doc_id", "n_words", "n_hit", "n_items").collect()
+    assert sorted(map(tuple, got)) == sorted((f"d{i}", *rest[:3]) for i, *rest in brute(docs, items))
+    with pytest.raises(ValueError, match="string"):
+        tokenbin.write_tokens(df, "unused", "unused")
+
+
 def test_proximity(spark):
     docs = [(1, "red x green y blue"), (2, "blue green red"), (3, "red a b c d e f g h i j green blue"), (4, "red red green"), (5, "red blue"), (6, None)]
     index = decontam.build_index(spark.createDataFrame(docs, "doc_id long, text string"))
@@ -78,25 +89,71 @@ def quality_rows():
     return [(i, t) for i, t in enumerate([*texts, None, "", "\n", " a", "x " * 50_000])] + [(3, texts[3])]
 
 
+def plain_score(grams, raw, target, own):
+    """The mean log ratio by plain counts, without the text's own n-grams."""
+    mine = Counter(grams)
+    n_raw, n_target, total = sum(raw.values()) - len(grams), sum(target.values()) - own * len(grams), 0.0
+    for x, k in mine.items():
+        share = (raw[x] - k + 1) / (n_raw + quality.BUCKETS)
+        total += k * np.log(((target[x] - own * k) / share + quality.PRIOR) / (n_target + quality.PRIOR))
+    return total / max(len(grams), 1)
+
+
+def bucket_grams(text):
+    """n-grams as the buckets that the hash gives them."""
+    bucket, _ = quality.Counted(pa.array([text], pa.large_string())).ngrams()
+    return bucket.tolist()
+
+
 def test_quality(spark):
     rows = quality_rows()
-    df = spark.createDataFrame([(*r, 0.5) for r in rows], "doc_id long, text string, score double")
+    df = spark.createDataFrame([(*r, 0.5, "x") for r in rows], "doc_id long, text string, score double, own string")
     trusted = spark.createDataFrame([(i,) for i in range(0, 60)] + [(3,), (None,)], "doc_id long")
-    got = quality.judge(df, trusted, threshold=-0.01).collect()
+    got = quality.judge(df, trusted).collect()
     assert len(got) == len(rows)
     raw, target = Counter(), Counter()
-    grams = lambda t: [(w,) for w in re.findall(r"[^\x20\x09-\x0D]+", t or "")] + [p for w in [re.findall(r"[^\x20\x09-\x0D]+", t or "")] for p in zip(w, w[1:])]
     for i, t in rows:
-        raw.update(grams(t))
-        target.update(grams(t) if i < 60 else [])
-    nr, nt, b = sum(raw.values()), sum(target.values()), quality.BUCKETS
+        g = bucket_grams(t)
+        w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        assert len(g) == len(w) + max(len(w) - 1, 0)
+        raw.update(g)
+        target.update(g if i < 60 else [])
+    of = dict(rows)
+    scores = sorted(r["score"] for r in got if r["doc_id"] < 60 and not r["base_failed"])
+    limit = max(x for x in scores if sum(y < x for y in scores) <= quality.TAIL * len(scores))
     for r in got:
-        t = dict(rows)[r["doc_id"]]
+        t = of[r["doc_id"]]
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == brute_base(t)
         assert r["base_failed"] == (r["n_words"] < 20 or 100 * r["n_repeat_words"] > 30 * r["n_words"])
-        g = grams(t)
-        want = sum(np.log((target[x] + 1) / (nt + b)) - np.log((raw[x] + 1) / (nr + b)) for x in g) / max(len(g), 1)
-        assert abs(want - r["score"]) < 0.02  # few grams share a bucket here
-        assert r["kept"] == (not r["base_failed"] and r["score"] >= -0.01)
+        assert abs(plain_score(bucket_grams(t), raw, target, r["doc_id"] < 60) - r["score"]) <= 0.51 / quality.STEPS
+        assert r["kept"] == (not r["base_failed"] and r["score"] >= limit)
+    assert len(scores) > 3 and any(r["kept"] for r in got)
+    middle = scores[len(scores) // 2]
+    assert all(r["kept"] == (not r["base_failed"] and r["score"] >= middle) for r in quality.judge(df, trusted, threshold=middle).collect())
     assert quality.judge(df.limit(0), trusted).collect() == []
-    assert {r["score"] for r in quality.judge(df, trusted.limit(0)).collect()} == {0.0}
+    none = quality.judge(df, trusted.limit(0)).collect()
+    assert {r["score"] for r in none} == {0.0} and all(r["kept"] != r["base_failed"] for r in none)
+    assert {r["kept"] for r in quality.judge(df, trusted, threshold=99.0).collect()} == {False}
+
+
+def test_bitmap(spark):
+    ids = [-5, 0, 7, 10**12, None]
+    bits = quality.bitmap(spark.createDataFrame([(i,) for i in ids if i is not None], "doc_id long"))
+    assert 1 <= sum(int(x).bit_count() for x in bits[bits > 0]) <= 4
+    docs = spark.createDataFrame([(i, f"t{i}") for i in [*ids, 8, 9]], "doc_id long, text string")
+    known = spark.createDataFrame([(i,) for i in ids if i is not None], "__id long")
+    assert sorted(r[0] for r in quality.trusted_texts(docs, known, "doc_id", "text").collect()) == ["t-5", "t0", "t1000000000000", "t7"]
+
+
+@pytest.mark.parametrize("sf", ["/root/testdata/sf0.01"])
+def test_unlabelled_are_kept_like_labelled(spark, sf):
+    """At a small size too, documents without a label are kept about as often as labels are good, in each language."""
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    kept = {r["doc_id"]: r for r in quality.judge(docs, labels.filter("quality = 1")).collect()}
+    good = dict(labels.groupBy("doc_id").agg({"quality": "min"}).collect())
+    passed = [r for r in docs.select("doc_id", "lang").collect() if not kept[r["doc_id"]]["base_failed"]]
+    share = np.mean([good[r["doc_id"]] for r in passed if r["doc_id"] in good])
+    for lang in ("en", "fr", "de", "es"):
+        assert abs(np.mean([kept[r["doc_id"]]["kept"] for r in passed if r["lang"] == lang and r["doc_id"] not in good]) - share) < 0.1
+    bad = [kept[r["doc_id"]]["kept"] for r in passed if good.get(r["doc_id"]) == 0]
+    assert np.mean(bad) < 0.2 and np.mean([kept[r["doc_id"]]["kept"] for r in passed if good.get(r["doc_id"]) == 1]) > 0.95

@@ -54,7 +54,7 @@ def test_pipeline(spark, small):
     docs, _, items = fixture_rows()
     table = spark.read.parquet(f"{small}/documents.parquet")
     model = toxicity.train(table, spark.read.parquet(f"{small}/labels.parquet").filter(~toxicity.held_out()))
-    rows = [(i, t) for i, t in docs if model.score(toxicity.Bag(pa.array([t], pa.large_string())))[0] < toxicity.THRESHOLD]
+    rows = [(i, t) for i, t in docs if model.score(toxicity.Bag(pa.array([t], pa.large_string()), model.known))[0] < toxicity.THRESHOLD]
     assert 20 < len(docs) - len(rows) < 60
     kept = {i for i, _, _, k in brute_components(rows) if k}
     assert len(kept) < len({i for i, _ in rows})
@@ -80,6 +80,30 @@ def test_stages_keep_columns(spark, small):
         assert stage(spark, docs.limit(0), small).columns == docs.columns
 
 
+def test_stages_decide_by_row(spark, small):
+    """Rows of one id and different texts, repeated rows, null ids, and columns that operators use themselves."""
+    rng = random.Random(3)
+    words_ = lambda n: " ".join("".join(rng.choice("bcdfgklmnprstv") + rng.choice("aeiou") for _ in range(3)) for _ in range(n))
+    a, b, c = words_(60), words_(60), words_(60)
+    item = spark.read.parquet(f"{small}/benchmark.parquet").first()["text"]
+    names = "doc_id long, text string, score string, predicted string, n_removed string, n_sentences string, node string, count string, kept string"
+    extra = ("s", "p", "r", "n", "o", "c", "k")
+    rows = [(1, a), (5, a), (5, b), (5, b), (7, c), (None, words_(30)), (None, None), (9, ""), (11, item), (11, words_(30))]
+    docs = spark.createDataFrame([(*r, *extra) for r in rows] + [(7, c, "t", *extra[1:])], names)
+    once = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=repr)
+    near = corpus_pipeline.drop_near_duplicates(spark, docs, small)
+    assert once(near) == sorted([(1, a), (5, b), (7, c), rows[5], (None, None), (9, ""), rows[8], rows[9]], key=repr)
+    assert {r["score"] for r in near.filter("doc_id <> 7").collect()} == {"s"}
+    clean = corpus_pipeline.drop_contaminated(spark, docs, small)
+    assert once(clean) == sorted([(r["doc_id"], r["text"]) for r in docs.collect() if r["text"] != item], key=repr)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, small)
+        assert got.columns == docs.columns, name
+        assert {tuple(r)[3:] for r in got.collect()} == {extra[1:]}, name
+        assert stage(spark, docs.limit(0), small).collect() == []
+    assert corpus_pipeline.encode(spark, docs, small).count() == len(rows) + 1
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_oracle(spark, sf_dir, name):
     con = duckdb.connect()
