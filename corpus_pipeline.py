@@ -1,4 +1,7 @@
-"""From documents to tokens: toxicity, near-duplicate removal, span dedup, decontamination, BPE."""
+"""From documents to tokens: toxicity, near-duplicate removal, span dedup, decontamination, BPE.
+
+Stages decide for rows, not for ids: rows of one id and different texts are told apart by a hash of the
+text. Columns of the documents keep their names and values, whatever the operators call their own."""
 
 from __future__ import annotations
 
@@ -7,43 +10,59 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessellum.llm import bpe, decontam, near_dedup, span_dedup, toxicity
-from tessellum.llm.common import table, written
+from tessellum.llm.common import Scratch, modest, table
 
 VOCABULARY = "byte_bpe_50k.json"
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model doesn't reject; it learns from labels of two thirds of the ids."""
+    """Documents that the toxicity model doesn't reject; it learns from labels of two thirds of the ids.
+
+    Null and empty texts stay, repeated rows stay or go together, an empty table stays empty."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels").filter(~toxicity.held_out()))
-    return toxicity.score(docs, model).filter("predicted = 0").select(docs.columns)
+    return toxicity.score(docs, model, names=("__score", "__toxic")).filter("__toxic = 0").select(docs.columns)
+
+
+def by_row(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+    """docs joined with rows (__id, __key) on the id and the hash of the text."""
+    return docs.join(rows, docs["doc_id"].eqNullSafe(rows["__id"]) & F.xxhash64(docs["text"]).eqNullSafe(rows["__key"]), how)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each component; of equal rows one stays."""
-    kept = written(near_dedup.near_duplicates(docs).filter("kept").groupBy(F.col("doc_id").alias("__id")).count(), "kept")
-    of = lambda ids: docs.join(ids, docs["doc_id"].eqNullSafe(ids["__id"]), "left_semi")
-    many = kept.filter("count > 1")
-    if many.isEmpty():
-        return of(kept)
-    return of(kept.filter("count = 1")).unionByName(of(many).dropDuplicates(["doc_id", "text"]))
+    """The document with the least id of each component, by its row; of rows with one id and one text
+    one stays, that with the least hash of all its columns. Texts without words are copies of nothing."""
+    with Scratch(spark) as scratch:
+        found = near_dedup.near_duplicates(docs, scratch=scratch).filter("kept")
+        kept = scratch.keep(found.groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).count(), "kept")
+        many = not kept.filter("count > 1").isEmpty()
+    once = by_row(docs, kept.filter("count = 1"), "left_semi")
+    if not many:
+        return once
+    again = by_row(docs, kept.filter("count > 1"), "left_semi")
+    least = again.groupBy("doc_id", F.xxhash64("text")).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("row"))
+    return once.unionByName(least.select("row.*"))
 
 
 def cut_repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the sentences of spans that have stood before; n_chars follows the text."""
-    cut = span_dedup.remove_repeats(docs)
-    n_chars = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return cut.withColumn("n_chars", n_chars).select(docs.columns)
+    """All documents, without the words of spans that have stood before; n_chars, where there is one, follows the text."""
+    cut = span_dedup.remove_repeats(docs, counts=("__n_sentences", "__n_removed"))
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        cut = cut.withColumn("n_chars", F.when(F.col("__n_removed") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return cut.select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a window of any benchmark item."""
-    hit = decontam.contamination(docs, table(spark, sf_dir, "benchmark")).filter("contaminated").select(F.col("doc_id").alias("__id")).distinct()
-    hit = written(hit, "contaminated")
-    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["__id"]), "left_anti")
+    """Documents without a window of any benchmark item, by their rows; texts without words stay."""
+    with Scratch(spark) as scratch:
+        found = decontam.contamination(docs, table(spark, sf_dir, "benchmark"), scratch=scratch).filter("contaminated")
+        hit = scratch.keep(found.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct(), "contaminated")
+    return by_row(docs, hit, "left_anti")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, with digests of the ids and of the text decoded from them."""
+    """Token ids of every document, with digests of the ids and of the text decoded from them; null texts have none."""
+    modest(spark)
     return bpe.round_trip_digests(docs, public_tokenizers.path(VOCABULARY), keep_ids=True)
 
 
@@ -60,7 +79,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents. What a stage returns is written to the shared folder and goes when the next one is written."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+    scratch = Scratch(spark)
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        docs = scratch(stage(spark, docs, sf_dir), name)
+        if k:
+            scratch.drop(STAGES[k - 1][0])
     return STAGES[-1][1](spark, docs, sf_dir)
