@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -114,6 +116,16 @@ CACHES: dict[str, Callable[[], None]] = {}
 _turn = [""]
 
 
+_libc = ctypes.CDLL(None)
+
+
+def give_back() -> None:
+    """Hand memory that is free but still held by the allocators back to the machine."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
+
+
 def turn_to(operator: str) -> None:
     """A worker that serves several operators keeps the caches of the present one alone."""
     if _turn[0] != operator:
@@ -121,11 +133,14 @@ def turn_to(operator: str) -> None:
             if name != operator:
                 clear()
         _turn[0] = operator
-        pa.default_memory_pool().release_unused()
+        gc.collect()
+        give_back()
+
 
+def sliced(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 1 << 20, operator: str = "") -> Iterator[pa.RecordBatch]:
+    """Cut Arrow batches so that the named text column has about max_bytes at most (a longer text stands alone).
 
-def sliced(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 1 << 21, operator: str = "") -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches so that the named text column has about max_bytes at most (a longer text stands alone)."""
+    Memory that a task has used goes back to the machine at its end, as idle workers stay."""
     turn_to(operator)
     for batch in batches:
         n = batch.num_rows
@@ -144,3 +159,4 @@ def sliced(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 1 <<
                 start, used = i, 0
             used += int(size)
         yield batch.slice(start, n - start)
+    give_back()

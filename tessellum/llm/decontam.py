@@ -27,11 +27,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from tessellum.llm.common import CACHES, Scratch, sliced, store, turn_to
-from tessellum.llm.textvec import ALNUM, CODES, Texts, prefix, ranges
+from tessellum.llm.textvec import ALNUM, Texts, spans_hashed
 
 GAP = 64
 BLOCK_BYTES = 1 << 20
-SHARD_BYTES = 1 << 22
+SHARD_BYTES = 1 << 21
 #: Bytes of shards that a task holds while it reads the blocks, and of blocks that a worker keeps for its next shards.
 HELD_BYTES = 1 << 25
 
@@ -40,7 +40,7 @@ def hashed_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words, and where each text's words begin."""
     texts = Texts(column, fold=True)
     start, end, first = texts.words(ALNUM)
-    return ranges(prefix(CODES[texts.buf]), start, end), first
+    return spans_hashed(texts.buf, start, end), first
 
 
 def build_index(docs: DataFrame, id: str = "doc_id", text: str = "text", scratch: Scratch | None = None) -> DataFrame:

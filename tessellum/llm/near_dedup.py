@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from tessellum.llm.common import Scratch, sliced, turn_to
 from tessellum.llm.components import connected
-from tessellum.llm.textvec import CODES, SPACE, Texts, U, mix, owner, prefix, ranges
+from tessellum.llm.textvec import SPACE, Texts, U, mix, owner, prefix, ranges, spans_hashed
 
 WORDS, SLOTS, ROWS = 5, 128, 4
 BANDS = SLOTS // ROWS
@@ -48,7 +48,7 @@ def shingles(column: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
     """Distinct shingles of each text: their hashes and their texts' numbers, in order of the texts; the number of texts."""
     texts = Texts(column, fold=True)
     start, end, first = texts.words(~SPACE)
-    hashes = ranges(prefix(CODES[texts.buf]), start, end)
+    hashes = spans_hashed(texts.buf, start, end)
     n = np.diff(first)
     of = owner(first)
     begin = np.flatnonzero(np.arange(len(start)) + WORDS <= first[1:][of])

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessellum.llm.common import Scratch, sliced, turn_to
-from tessellum.llm.textvec import CODES, SPACE, Texts, mix, owner, prefix, ranges
+from tessellum.llm.textvec import SPACE, Texts, mix, owner, prefix, ranges, spans_hashed
 
 BUCKETS = 1 << 16
 #: n-grams of the raw corpus that smooth the target; the share of trusted documents below the threshold; steps of a score of 1.
@@ -62,8 +62,7 @@ class Counted:
         texts = Texts(column)
         n = texts.n
         start, end, self.first = texts.words(~SPACE)
-        bytes_ = prefix(CODES[texts.buf])
-        self.hash = ranges(bytes_, start, end)
+        self.hash = spans_hashed(texts.buf, start, end)
         self.owner = owner(self.first)
         self.n_words = np.diff(self.first)
         inside = ~SPACE[texts.buf]
@@ -73,7 +72,7 @@ class Counted:
         line_start = np.concatenate(([0], line_end[:-1] + 1)) if len(line_end) else line_end
         full = np.searchsorted(start, line_end) > np.searchsorted(start, line_start)
         line_start, line_end = line_start[full], line_end[full]
-        self.n_dup_lines = repeats(ranges(bytes_, line_start, line_end), np.searchsorted(texts.start, line_start, side="right") - 1, n)[1]
+        self.n_dup_lines = repeats(spans_hashed(texts.buf, line_start, line_end), np.searchsorted(texts.start, line_start, side="right") - 1, n)[1]
         windows = np.flatnonzero(np.arange(len(start)) + WINDOW <= self.first[1:][self.owner])
         twin, _ = repeats(ranges(prefix(self.hash), windows, windows + WINDOW), self.owner[windows], n)
         edge = np.zeros(len(start) + 1, np.int64)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessellum.llm.common import Scratch, sliced
-from tessellum.llm.textvec import CODES, SPACE, Texts, U, mix, prefix, ranges
+from tessellum.llm.textvec import SPACE, Texts, U, mix, prefix, ranges, spans_hashed
 
 SENTENCES, WORDS = 2, 20
 LONG, REACH, DISTINCT = 16, 13, 5
@@ -59,12 +59,12 @@ class Sentences:
         after = np.concatenate((inside[1:], [False])) if len(b) else inside
         start, end = np.flatnonzero(inside & ~before), np.flatnonzero(inside & (~after | wide)) + 1
         words = self.words = np.searchsorted(start, t.start)
-        self.hash = ranges(prefix(CODES[b]), start, end)
+        self.hash = spans_hashed(b, start, end)
         self.word_start, self.word_end = start, end
         new = np.zeros(len(start), bool)
         if len(start):
             new[words[:-1][words[:-1] < words[1:]]] = True
-            lines = np.cumsum(b == 10)
+            lines = np.cumsum(b == 10, dtype=np.int32)
             last = b[end - 1]
             stops = END[last] | wide[end - 1] | CLOSING[last] & END[b[np.maximum(end - 2, 0)]]
             new[1:] |= stops[:-1] | (lines[start[1:]] != lines[end[:-1] - 1])

@@ -61,6 +61,22 @@ def ranges(pre: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix((pre[end] - pre[start]) * down[start] + (end - start).astype(U) * U(0xD6E8FEB86659FD93))
 
 
+#: Bytes whose hashes are worked out at a time.
+BLOCK = 1 << 18
+
+
+def spans_hashed(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of [start, end) of a buffer, for ascending ranges that don't overlap: block by block, whatever the buffer's length."""
+    out = np.empty(len(start), U)
+    a = 0
+    while a < len(start):
+        b = max(a + 1, int(np.searchsorted(end, start[a] + BLOCK, side="right")))
+        base = start[a]
+        out[a:b] = ranges(prefix(CODES[buf[base : end[b - 1]]]), start[a:b] - base, end[a:b] - base)
+        a = b
+    return out
+
+
 class Texts:
     """One byte buffer of several texts, each followed by a line feed. null: whether a text is null."""
 
