@@ -6,7 +6,7 @@ import unicodedata
 from collections.abc import Iterator, Mapping, Sequence
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -170,9 +170,83 @@ def decoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield s.map(one)
 
 
+def marked_pattern(terms: Column) -> Column:
+    return F.concat(F.lit("(?iU)\\b("), F.array_join(F.transform(terms, lambda t: F.regexp_replace(t, r"([^\p{L}\p{N}])", r"\\$1")), "|"), F.lit(")\\b"))
+
+
+def highlight_whole(title: Column, terms: Column) -> Column:
+    """A whole title with the terms in em tags."""
+    return F.when(F.size(terms) > 0, F.regexp_replace(title, marked_pattern(terms), F.lit("<em>$1</em>"))).otherwise(title)
+
+
 def highlight(content: Column, terms: Column, most: int = 3, width: int = 100) -> Column:
     """Up to `most` fragments of `width` characters that have a term, the terms in em tags."""
-    pattern = F.concat(F.lit("(?iU)\\b("), F.array_join(F.transform(terms, lambda t: F.regexp_replace(t, r"([^\p{L}\p{N}])", r"\\$1")), "|"), F.lit(")\\b"))
+    pattern = marked_pattern(terms)
     parts = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.length(content) - 1) / width)).cast("int")), lambda i: F.substring(content, i * width + 1, F.lit(width)))
     hit = F.filter(parts, lambda p: F.regexp_like(p, pattern))
     return F.when(F.size(terms) > 0, F.transform(F.slice(hit, 1, most), lambda p: F.regexp_replace(p, pattern, F.lit("<em>$1</em>")))).otherwise(F.array().cast("array<string>"))
+
+
+#: Characters over which patterns and texts meet.
+GRAM = 3
+
+
+def grams(c: Column, n: int) -> Column:
+    return F.when(F.length(c) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(c, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
+
+
+def containing(rows: DataFrame, text: str, patterns: DataFrame, pattern: str) -> DataFrame:
+    """rows with every pattern that their text contains, by equal characters first and the whole pattern then.
+
+    A pattern meets the texts that have its last GRAM characters (all of a shorter one), in an equi-join
+    that neither side has to be small for. Null and empty patterns are in no text."""
+    asked = patterns.filter(F.length(pattern) > 0).select(pattern, F.when(F.length(pattern) > GRAM, F.substring(pattern, -GRAM, GRAM)).otherwise(F.col(pattern)).alias("__gram"))
+    exploded = rows.withColumn("__gram", F.explode(F.concat(*[grams(F.col(text), n) for n in range(1, GRAM + 1)])))
+    return exploded.join(asked, "__gram").filter(F.contains(F.col(text), F.col(pattern))).drop("__gram")
+
+
+def encoder_input(c: Column, most: int = 512, marks: bool = False, lower: bool = False) -> Column:
+    """A text as encoders take it: single blanks, optionally only letters, digits and blanks, optionally in lower case, its first characters, stripped."""
+    out = collapse(c)
+    if marks:
+        out = F.regexp_replace(out, r"(?U)[^\w\s一-鿿]", "")
+    if lower:
+        out = F.lower(out)
+    return strip(F.substring(out, 1, most))
+
+
+def valid_query(c: Column) -> Column:
+    """Whether a query has 1 to 1000 characters once it is stripped."""
+    return F.coalesce(F.length(strip(c)).between(1, 1000), F.lit(False))
+
+
+#: Marks of pictures, tables and charts in answers, with the class and sign that a page shows.
+REFERENCES = {"图片": ("image-ref", "🖼️"), "表格": ("table-ref", "📊"), "图表": ("chart-ref", "📈")}
+
+
+def inline_references(c: Column) -> Column:
+    """Marks like [图片:id] as the page's inline references."""
+    for mark, (kind, sign) in REFERENCES.items():
+        c = F.regexp_replace(c, rf"\[{mark}:([^\]]+)\]", f'<span class="inline-reference {kind}" data-element-id="$1">{sign} $1</span>')
+    return c
+
+
+def html_table(headers: Column, rows: Column) -> Column:
+    """Rows of cells as the page's HTML table; null cells are empty, no rows at all give an empty text."""
+    cells = lambda tag, row: F.concat(F.lit("<tr>"), F.array_join(F.transform(row, lambda x: F.concat(F.lit(f"<{tag}>"), F.coalesce(x, F.lit("")), F.lit(f"</{tag}>"))), ""), F.lit("</tr>"))
+    body = F.array_join(F.transform(rows, lambda row: cells("td", row)), "")
+    return F.when(F.coalesce(F.size(rows), F.lit(0)) < 1, "").otherwise(F.concat(F.lit('<table class="multimodal-table"><thead>'), cells("th", headers), F.lit("</thead><tbody>"), body, F.lit("</tbody></table>")))
+
+
+#: Kinds of files that the page takes, fewer than the server does, and states in which it shows a file as being processed.
+PAGE_EXTENSIONS = ["pdf", "docx", "doc", "xlsx", "xls", "pptx", "ppt", "txt", "md"]
+IN_PROCESS = ["pending", "extracting", "vectorizing", "graph_processing"]
+
+
+def page_upload(name: Column, size: Column) -> Column:
+    """Whether the page takes a file; a name without a dot is its own extension there."""
+    return F.coalesce(F.lower(F.element_at(F.split(name, r"\."), -1)).isin(*PAGE_EXTENSIONS) & (size <= MOST_BYTES), F.lit(False))
+
+
+def in_process(status: Column) -> Column:
+    return F.coalesce(status.isin(*IN_PROCESS), F.lit(False))

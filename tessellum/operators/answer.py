@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessellum.functions.text import containing, keywords
+
 #: Labels of kinds of media in references.
 MEDIA = {"image": "图片", "table": "表格", "chart": "图表"}
 
@@ -43,17 +45,38 @@ def media_of_sections(sections: DataFrame, figures: DataFrame, tables: DataFrame
     return f.unionByName(t).withColumn("order", order).drop("major")
 
 
-def expansion(sections: DataFrame, media: DataFrame, contains: DataFrame, limit: int = 20) -> DataFrame:
-    """What belongs with a section: its title, its media, and entities of its document (document, id), the first ones by id."""
+def expansion(sections: DataFrame, media: DataFrame, contains: DataFrame, limit: int = 20, names: DataFrame | None = None, per_word: int = 5) -> DataFrame:
+    """What belongs with a section: its title, its media, and entities of its document (document, id), the first ones by id.
+
+    names: entities (id, text); where a document has none, each word of the title brings the first that have it in their name."""
     own = sections.select("section_id", "title", document_of(F.col("section_id")).alias("document"))
     firsts = contains.groupBy("document").agg(F.slice(F.array_sort(F.collect_set("id")), 1, limit).alias("ids"))
     entities = own.join(firsts, "document").select("section_id", F.posexplode("ids").alias("at", "element_id")).select("section_id", F.lit(2).alias("rank"), "at", "element_id", F.lit("entity").alias("kind"))
+    if names is not None:
+        asked = own.join(firsts.select("document"), "document", "left_anti").select("section_id", F.posexplode(keywords(F.col("title"))).alias("k", "word"))
+        hits = containing(names.select("id", "text"), "text", asked.select("word").distinct(), "word").select("word", "id").distinct()
+        hits = hits.withColumn("n", F.row_number().over(W.partitionBy("word").orderBy("id"))).filter(F.col("n") <= per_word)
+        found = asked.join(hits, "word").groupBy("section_id", "id").agg(F.min("k").alias("k"))
+        at = (F.row_number().over(W.partitionBy("section_id").orderBy("k", "id")) - 1).alias("at")
+        entities = entities.unionByName(found.select("section_id", F.lit(2).alias("rank"), at, F.col("id").alias("element_id"), F.lit("entity").alias("kind")))
     titles = own.select("section_id", F.lit(0).alias("rank"), F.lit(0).alias("at"), F.col("title").alias("element_id"), F.lit("title").alias("kind"))
     pieces = media.join(own.select("section_id"), "section_id", "left_semi").select("section_id", F.lit(1).alias("rank"), F.col("order").alias("at"), F.col("elem_id").alias("element_id"), F.col("content_type").alias("kind"))
     every = titles.unionByName(pieces).unionByName(entities)
     return every.withColumn("order", F.row_number().over(W.partitionBy("section_id").orderBy("rank", "at"))).select("section_id", "order", "kind", "element_id")
 
 
+def references(hits: DataFrame) -> DataFrame:
+    """Rows (query_id, number, line): the documents of each query's hits (query_id, doc_name, title, page, media, arrival).
+
+    Documents come in the order in which they are first met, each with its first title, its pages in
+    order and how many media of each kind it has; hits without media have null there."""
+    first = F.min_by("title", "arrival").alias("title")
+    media = F.transform(F.filter(F.array_sort(F.collect_list(F.struct("arrival", "media"))), lambda x: x["media"].isNotNull()), lambda x: x["media"]).alias("media")
+    docs = hits.groupBy("query_id", "doc_name").agg(F.min("arrival").alias("first"), first, F.collect_set("page").alias("pages"), media)
+    number = F.row_number().over(W.partitionBy("query_id").orderBy("first", "doc_name"))
+    return docs.withColumn("number", number).select("query_id", "number", reference_line(F.col("number"), F.col("doc_name"), F.col("title"), F.col("pages"), F.col("media")).alias("line"))
+
+
 def reference_line(number: Column, name: Column, title: Column, pages: Column, media_types: Column) -> Column:
     """`[1] name - title 第1, 2页 (包含2个图片)`."""
     page_text = F.when(F.size(pages) > 0, F.concat(F.lit("第"), F.array_join(F.transform(F.array_sort(pages), lambda p: p.cast("string")), ", "), F.lit("页"))).otherwise(F.lit(""))

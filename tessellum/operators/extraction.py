@@ -65,10 +65,11 @@ def scan(texts: DataFrame, terms: Sequence[tuple]) -> DataFrame:
     return texts.select("doc_id", "text").mapInPandas(run, "doc_id long, start int, end int, text string, canonical string, type string, priority int")
 
 
-def scan_columns(texts: DataFrame, terms: DataFrame) -> DataFrame:
+def scan_columns(texts: DataFrame, terms: Sequence[tuple]) -> DataFrame:
     """The same by column functions, for few terms that don't overlap themselves: the text is split before every place that has the term."""
     before = F.concat(F.lit(r"(?=\Q"), "term", F.lit(r"\E)"))
-    pairs = texts.select("doc_id", F.col("text").alias("body")).crossJoin(F.broadcast(terms)).filter(F.contains(F.lower("body"), F.col("term")))
+    listed = F.array(*[F.struct(F.lit(str(t[0]).lower()).alias("term"), F.lit(t[1]).alias("canonical"), F.lit(t[2]).alias("type"), F.lit(int(t[3])).alias("priority")) for t in terms])
+    pairs = texts.select("doc_id", F.col("text").alias("body"), F.explode(F.filter(listed, lambda t: F.contains(F.lower("text"), t["term"]))).alias("t")).select("doc_id", "body", "t.*")
     pieces = pairs.select("doc_id", "term", "canonical", "type", "priority", F.posexplode(F.split("body", F.concat(F.lit("(?iu)"), before))).alias("k", "piece"))
     w = W.partitionBy("doc_id", "term").orderBy("k").rowsBetween(W.unboundedPreceding, -1)
     rows = pieces.withColumn("start", F.coalesce(F.sum(F.length("piece")).over(w), F.lit(0)).cast("int")).withColumn("n", F.length("term"))
@@ -115,6 +116,27 @@ def pattern_entities(texts: DataFrame, patterns: Sequence[tuple[str, str]] = NER
     return texts.select("doc_id", "text").mapInPandas(run, "doc_id long, pos int, start int, end int, text string, type string, confidence double")
 
 
+def statistical_entities(texts: DataFrame, patterns: Sequence[tuple[str, str]] = NER_PATTERNS, post_process: bool = True) -> DataFrame:
+    """Entities by patterns. With a tokenizer at hand (post_process) equal spans and neighbours become one and low ones fall out; else the matches as they are."""
+    found = pattern_entities(texts, patterns)
+    return with_bucket(merge_adjacent(distinct_spans(found))) if post_process else found
+
+
+def anchor_records(anchors: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Anchors as entities, sure and of a source of their own, with the block that they start in."""
+    return align(anchors, blocks).withColumn("confidence", F.lit(1.0)).withColumn("source", F.lit("rule_anchor"))
+
+
+def summary(mentions: DataFrame, relations: DataFrame) -> DataFrame:
+    """Rows (doc_id, entities, anchors, merged, linked, relations) of a document's extraction.
+
+    mentions: (doc_id, source, linking_status); relations: (doc_id, evidence_count). merged: relations of several evidences."""
+    is_ = lambda c, v: F.count_if(F.col(c) == v)
+    m = mentions.groupBy("doc_id").agg(F.count("*").alias("entities"), is_("source", "rule_anchor").alias("anchors"), is_("linking_status", "linked").alias("linked"))
+    r = relations.groupBy("doc_id").agg(F.count("*").alias("relations"), F.count_if(F.col("evidence_count") > 1).alias("merged"))
+    return m.join(r, "doc_id", "full").fillna(0).select("doc_id", "entities", "anchors", "merged", "linked", "relations")
+
+
 def distinct_spans(spans: DataFrame) -> DataFrame:
     """The first of spans with the same place and type."""
     rank = F.row_number().over(W.partitionBy("doc_id", "start", "end", "type").orderBy("pos"))
@@ -211,17 +233,14 @@ def context(text: Column, start: Column, end: Column, width: int = 50) -> Column
     return F.trim(F.concat_ws(" ", left, F.substring(text, end + 1, F.lit(width))))
 
 
-def let(value: Column, body) -> Column:
-    """body(value), with the value worked out once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+def mention_input(text: Column, around: Column) -> Column:
+    """What stands for a mention in the vectors: its text and its context."""
+    return F.trim(F.concat_ws(" ", text, around))
 
 
-def hashed_vector(text: Column, dimension: int = 64, n: int = 3) -> Column:
-    """A deterministic stand-in for an encoder: counts of hashed character n-grams at unit length."""
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.pmod(F.xxhash64(F.substring(F.lower(text), i, F.lit(n))), F.lit(dimension)))
-    counts = let(grams, lambda all_: F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda d: F.size(F.filter(all_, lambda g: g == d)).cast("double")))
-    norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x))
-    return let(counts, lambda c: let(norm(c), lambda n: F.transform(c, lambda x: F.when(n > 0, x / n).otherwise(F.lit(0.0)))))
+def entry_input(name: Column, description: Column) -> Column:
+    """What stands for an entry of the knowledge base: its name and description."""
+    return F.trim(F.concat_ws(" ", name, F.coalesce(description, F.lit(""))))
 
 
 def link(mentions: DataFrame, kb: DataFrame, k: int = 10) -> DataFrame:

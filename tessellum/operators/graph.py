@@ -8,8 +8,12 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessellum.functions.text import containing
+from tessellum.sources.scratch import written
+
 MOST_DEPTH = 5
 
 
@@ -66,20 +70,31 @@ def neighbours(edges: DataFrame, starts: DataFrame, rel_types: list[str] | None
 def distances(edges: DataFrame, starts: DataFrame, depth: int = MOST_DEPTH) -> DataFrame:
     """Rows (start, end, hops) for every node that a path of at most so many edges joins to a start; starts: (start).
 
-    Frontiers are expanded from all starts at once; a node that has been reached is not reached again."""
-    rows = both_ways(edges).select("src", "dst").distinct()
-    seen = starts.select("start").distinct().withColumn("node", F.col("start")).withColumn("hops", F.lit(0))
-    frontier = seen
+    Frontiers are expanded from all starts at once, and each is written before the next one is made, so
+    every hop is one join of its own. A neighbour of a frontier lies in it, in the one before or in the
+    next one, so only these two are taken out. The walk ends with an empty frontier."""
+    rows = written(both_ways(edges).select("src", "dst").distinct(), "both-ways")
+    hops = [written(starts.select("start").distinct().select("start", F.col("start").alias("node"), F.lit(0).alias("hops")), "hop")]
     for hop in range(1, depth + 1):
-        frontier = frontier.join(rows, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node")).distinct().join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("hops", F.lit(hop))
-        seen = seen.unionByName(frontier)
-    return seen.filter("hops > 0").select("start", F.col("node").alias("end"), "hops")
+        found = hops[-1].join(rows, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node")).distinct()
+        for last in hops[-2:]:
+            found = found.join(last.select("start", "node"), ["start", "node"], "left_anti")
+        hops.append(written(found.withColumn("hops", F.lit(hop)), "hop"))
+        if hops[-1].isEmpty():
+            break
+    return reduce(DataFrame.unionByName, hops).filter("hops > 0").select("start", F.col("node").alias("end"), "hops")
 
 
 def shortest_paths(edges: DataFrame, pairs: DataFrame, depth: int = MOST_DEPTH) -> DataFrame:
-    """Rows (start, end, hops) for the pairs (start, end) of distinct nodes that some path of at most so many edges joins."""
-    asked = pairs.filter("start <> end").distinct()
-    return asked.join(distances(edges, asked, depth), ["start", "end"])
+    """Rows (start, end, hops) for the pairs (start, end) of distinct nodes that some path of at most so many edges joins.
+
+    Paths go either way along edges, so the walk begins at the side of the pairs that has fewer nodes."""
+    asked = written(pairs.filter("start <> end").distinct(), "pairs")
+    counts = asked.agg(F.countDistinct("start"), F.countDistinct("end")).first()
+    if counts[0] <= counts[1]:
+        return asked.join(distances(edges, asked, depth), ["start", "end"])
+    back = distances(edges, asked.select(F.col("end").alias("start")), depth).select(F.col("start").alias("end"), F.col("end").alias("start"), "hops")
+    return asked.join(back, ["start", "end"])
 
 
 def statistics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -99,21 +114,47 @@ def delete_document(nodes: DataFrame, edges: DataFrame, document_id) -> tuple[Da
     return delete_nodes(nodes, edges, nodes.filter(F.col("document_id") == document_id).select("id"))
 
 
+def created_edge(edges: DataFrame, nodes: DataFrame, src: str, rel_type: str, dst: str, **properties) -> DataFrame:
+    """edges with one more between two nodes by their ids; without either node they stay as they are."""
+    ends = nodes.filter(F.col("id").isin(src, dst)).agg(F.countDistinct("id").alias("n")).filter(F.col("n") == len({src, dst}))
+    return edges.unionByName(ends.select(F.lit(src).alias("src"), F.lit(rel_type.upper()).alias("rel_type"), F.lit(dst).alias("dst"), *[F.lit(v).alias(k) for k, v in properties.items()]), allowMissingColumns=True)
+
+
+def updated_nodes(nodes: DataFrame, changes: DataFrame) -> DataFrame:
+    """Nodes with the properties of changes (id, ...) that aren't null set over their own; other ids count for nothing."""
+    props = [c for c in changes.columns if c != "id"]
+    new = changes.select("id", *[F.col(c).alias(f"__{c}") for c in props]).join(nodes.select("id"), "id", "left_semi")
+    kept = [F.coalesce(f"__{c}", c).alias(c) if c in props else F.col(c) for c in nodes.columns]
+    return nodes.join(new, "id", "left").select(*kept, *[F.col(f"__{c}").alias(c) for c in props if c not in nodes.columns])
+
+
+def cleared(rows: DataFrame) -> DataFrame:
+    """An empty table of the same columns."""
+    return rows.limit(0)
+
+
 def search_names(nodes: DataFrame, words: DataFrame, limit: int) -> DataFrame:
-    """Rows (word, id): the first nodes, by id, whose name contains a word. words: (word), a stated set."""
-    hits = nodes.join(F.broadcast(words), F.contains(F.col("text"), F.col("word"))).select("word", "id")
-    return hits.groupBy("word").agg(F.slice(F.array_sort(F.collect_set("id")), 1, limit).alias("ids")).select("word", F.explode("ids").alias("id"))
+    """Rows (word, id): the first nodes, by id, whose name contains a word. words: (word)."""
+    hits = containing(nodes.select("id", "text"), "text", words.select("word").distinct(), "word").select("word", "id")
+    return top_ids(hits, ["word"], limit)
+
+
+def top_ids(hits: DataFrame, keys: list[str], limit: int) -> DataFrame:
+    """The first distinct ids of each key; every partition is cut to so many before the shuffle."""
+    rank = F.row_number().over(W.partitionBy(*keys).orderBy("id"))
+    return hits.select(*keys, "id").distinct().withColumn("__n", rank).filter(F.col("__n") <= limit).drop("__n")
 
 
 def recall(queries: DataFrame, nodes: DataFrame, edges: DataFrame, relations: int = 5, entities: int = 3) -> DataFrame:
     """Hits (query_id, kind, name, id, score) for names (query_id, name).
 
     Each name brings its first relations; if no name of a query has any, each brings its first entities."""
-    text = nodes.select("id", "text")
-    ends = edges.join(text.select(F.col("id").alias("src"), F.col("text").alias("head")), "src").join(text.select(F.col("id").alias("dst"), F.col("text").alias("tail")), "dst").withColumn("id", F.concat_ws("|", "src", "rel_type", "dst"))
-    names = F.broadcast(queries.select("query_id", "name"))
-    found = ends.join(names, F.contains(F.col("head"), F.col("name")) | F.contains(F.col("tail"), F.col("name")))
-    firsts = lambda rows, k: rows.groupBy("query_id", "name").agg(F.slice(F.array_sort(F.collect_set("id")), 1, k).alias("ids")).select("query_id", "name", F.explode("ids").alias("id"))
-    related = firsts(found, relations).withColumn("kind", F.lit("graph")).withColumn("score", F.lit(0.8))
-    single = firsts(nodes.join(names, F.contains(F.col("text"), F.col("name"))), entities).withColumn("kind", F.lit("graph_entity")).withColumn("score", F.lit(0.6))
+    asked = queries.select("query_id", "name").distinct()
+    named = containing(nodes.select("id", "text"), "text", asked.select("name").distinct(), "name").select("name", F.col("id").alias("node"))
+    key = F.concat_ws("|", "src", "rel_type", "dst").alias("id")
+    ends = edges.join(nodes.select(F.col("id").alias("src")), "src", "left_semi").join(nodes.select(F.col("id").alias("dst")), "dst", "left_semi")
+    touching = [ends.join(named, F.col(end) == F.col("node")).select("name", key) for end in ("src", "dst")]
+    firsts = top_ids(touching[0].union(touching[1]), ["name"], relations)
+    related = asked.join(firsts, "name").select("query_id", "name", "id", F.lit("graph").alias("kind"), F.lit(0.8).alias("score"))
+    single = asked.join(top_ids(named.select("name", F.col("node").alias("id")), ["name"], entities), "name").select("query_id", "name", "id", F.lit("graph_entity").alias("kind"), F.lit(0.6).alias("score"))
     return related.unionByName(single.join(related.select("query_id").distinct(), "query_id", "left_anti"))

@@ -96,6 +96,11 @@ def structure_stats_exact(files: DataFrame, sections: DataFrame, figures: DataFr
     return out.fillna(0, ["sections_count", "figures_count", "tables_count", "table_rows_count"])
 
 
+def figure_files(figures: DataFrame, sections: DataFrame, condition: Column) -> DataFrame:
+    """Distinct rows (doc_id, image_path) of figures over their sections, where a condition on the document holds."""
+    return figures.select("section_id", "image_path").join(sections.filter(condition).select("section_id", "doc_id"), "section_id").select("doc_id", "image_path").distinct()
+
+
 def tables_with_rows(tables: DataFrame, lines: DataFrame) -> DataFrame:
     """Each table with its rows in order, by one join in place of a query for each."""
     rows = lines.groupBy("table_elem_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("row_index", "row_text"))), lambda r: r["row_text"]).alias("row_texts"))

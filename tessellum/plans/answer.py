@@ -24,9 +24,11 @@ def section_media(spark, sf_dir):
 
 
 def section_expansion(spark, sf_dir):
+    """All sections; documents without entities of their own take those that the words of their titles name."""
     parts, media = _media(spark, sf_dir)
     contains = table(spark, sf_dir, "embeddings").select((F.col("vec_id") % 50).alias("document"), F.concat(F.lit("e"), F.lpad(F.col("vec_id").cast("string"), 5, "0")).alias("id"))
-    return A.expansion(parts.filter("section_no = 1"), media, contains, 5)
+    names = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("b"), "item_id").alias("id"), "text")
+    return A.expansion(parts, media, contains, 5, names, 3)
 
 
 def table_views(spark, sf_dir):
@@ -75,8 +77,12 @@ _MEDIA = f"""with {SECTIONS}, media as (select section_id, cast(row_number() ove
 ORACLES = {
     "section_media": _MEDIA + ' select section_id, ord as "order", content_type, elem_id, content, n_rows from media',
     "section_expansion": _MEDIA
-    + """, own as (select * from s where section_no = 1), ent as (select vec_id % 50 as doc_id, 'e' || lpad(cast(vec_id as varchar), 5, '0') as id, row_number() over (partition by vec_id % 50 order by vec_id) as k from embeddings qualify k <= 5),
-x as (select section_id, 0 as rank, 0 as k, 'title' as kind, title as element_id from own union all select section_id, 1, media.ord, content_type, elem_id from media join own using (section_id) union all select section_id, 2, k, 'entity', id from ent join own using (doc_id))
+    + """, own as (select * from s), ent as (select vec_id % 50 as doc_id, 'e' || lpad(cast(vec_id as varchar), 5, '0') as id, row_number() over (partition by vec_id % 50 order by vec_id) as k from embeddings qualify k <= 5),
+lone as (select section_id, list_filter(regexp_extract_all(title, '[\\p{L}\\p{N}_]+'), lambda w: length(w) > 1)[1:10] as ws from own where doc_id not in (select doc_id from ent)),
+ask as (select section_id, unnest(ws) as word, generate_subscripts(ws, 1) as k from lone),
+hit as (select word, 'b' || item_id as id from (select distinct word from ask) join benchmark on contains(text, word) qualify row_number() over (partition by word order by 'b' || item_id) <= 3),
+fall as (select section_id, id, row_number() over (partition by section_id order by min(k), id) as k from ask join hit using (word) group by section_id, id),
+x as (select section_id, 0 as rank, 0 as k, 'title' as kind, title as element_id from own union all select section_id, 1, media.ord, content_type, elem_id from media join own using (section_id) union all select section_id, 2, k, 'entity', id from ent join own using (doc_id) union all select section_id, 2, k, 'entity', id from fall)
 select section_id, cast(row_number() over (partition by section_id order by rank, k) as int) as "order", kind, element_id from x""",
     "table_views": _MEDIA + " select section_id, elem_id, n_rows, false as enable_search, false as pagination, '/api/table/export/' || elem_id || '/csv' as export_csv_url, '/api/file/view/' || regexp_extract(section_id, '#([0-9]+)_[^#]*$', 1) || '?highlight=table' as view_url from media",
     "table_cells": f"with {SECTIONS}, c as (select section_id || '_' || elem_id as table_elem_id, list_filter(list_transform(string_split(text, '|'), lambda x: trim(x, ' ')), lambda x: x <> '') as cs from b where type = 'table') select table_elem_id, cast(len(cs) as int) as n_cells, array_to_string(cs, ';') as headers from c",

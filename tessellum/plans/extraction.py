@@ -6,13 +6,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessellum.operators import extraction as E
+from tessellum.operators import retrieval as Q
 from tessellum.operators import structure as S
-from tessellum.plans.sql import BLOCKS
+from tessellum.plans.sql import BLOCKS, ENCODED
 from tessellum.sources.fixtures import table, text_elements
 
 TERMS = [("the", "the", "Protein", 2), ("and", "and", "CellLine", 1), ("of", "of", "Metric", 5), ("than", "than", "Reagent", 3), ("ing", "ing", "Product", 4)]
 PARTS = [("th", "th", "A", 1), ("er", "er", "A", 1), ("in", "in", "B", 1), ("en", "en", "B", 1)]
-KB = [("kb1", "the", ["thee"], "Protein"), ("kb2", "thing", ["ing"], "Product"), ("kb3", "and", ["und"], "CellLine"), ("kb4", "often", ["of"], "Metric"), ("kb5", "than", [], "Reagent")]
+KB = [("kb1", "the", ["thee"], "Protein", "an article"), ("kb2", "thing", ["ing"], "Product", "an ending of words"), ("kb3", "and", ["und"], "CellLine", "a conjunction"), ("kb4", "often", ["of"], "Metric", ""), ("kb5", "than", [], "Reagent", "that hand than the")]
 
 
 def _texts(spark, sf_dir):
@@ -30,8 +31,7 @@ def mention_scan(spark, sf_dir):
 
 
 def mention_scan_columns(spark, sf_dir):
-    terms = spark.createDataFrame(TERMS, "term string, canonical string, type string, priority int")
-    return E.scan_columns(_texts(spark, sf_dir), terms)
+    return E.scan_columns(_texts(spark, sf_dir), TERMS)
 
 
 def anchors(spark, sf_dir):
@@ -54,10 +54,17 @@ def entities_beside_anchors(spark, sf_dir):
     return merged.groupBy("doc_id", "source").agg(F.count("*").alias("n"), F.sum("start").alias("starts"), F.max("pos").alias("last_pos"))
 
 
+def entities_raw(spark, sf_dir):
+    """Matches of patterns as they are, for texts without a tokenizer."""
+    found = E.statistical_entities(_texts(spark, sf_dir), [("Number", r"[0-9]+"), ("Protein", "th[ae]n?"), ("Number", "[0-9]+[.][0-9]+")], post_process=False)
+    return found.groupBy("doc_id", "type").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+
+
 def aligned_mentions(spark, sf_dir):
     offsets = S.text_offsets(S.blocks(text_elements(table(spark, sf_dir, "documents"))))
     texts = offsets.groupBy("doc_id").agg(F.array_join(S.in_order("content", "elem_index"), " ").alias("text"))
-    return E.align(E.scan(texts, TERMS[3:4]), offsets.select("doc_id", "start", "end", F.concat_ws("_", "section_id", "elem_id").alias("elem_id"), "page")).groupBy("block_id", "page").agg(F.count("*").alias("n"))
+    blocks = offsets.select("doc_id", "start", "end", F.concat_ws("_", "section_id", "elem_id").alias("elem_id"), "page")
+    return E.anchor_records(E.scan(texts, TERMS), blocks).groupBy("block_id", "page", "confidence", "source").agg(F.count("*").alias("n"))
 
 
 def sentences(spark, sf_dir):
@@ -89,22 +96,33 @@ def entity_ids(spark, sf_dir):
 
 
 def mention_context(spark, sf_dir):
-    spans = _spans(spark, sf_dir, TERMS[3:4]).select("doc_id", "start", "end")
-    return spans.join(_texts(spark, sf_dir), "doc_id").select("doc_id", "start", F.md5(E.context(F.col("text"), F.col("start"), F.col("end"))).alias("context_md5"))
+    spans = _spans(spark, sf_dir).select("doc_id", "start", "end", "text")
+    return spans.join(_texts(spark, sf_dir).withColumnRenamed("text", "body"), "doc_id").select("doc_id", "start", "text", F.md5(E.context(F.col("body"), F.col("start"), F.col("end"))).alias("context_md5"))
+
+
+def _linked(spark, sf_dir):
+    """Mentions, encoded with their contexts, linked to a small knowledge base, encoded with its descriptions."""
+    kb = spark.createDataFrame(KB, "kb_id string, name string, aliases array<string>, type string, description string")
+    kb = kb.withColumn("kb_vector", Q.encoder()(E.entry_input(F.col("name"), F.col("description"))))
+    spans = _spans(spark, sf_dir).join(_texts(spark, sf_dir).withColumnRenamed("text", "body"), "doc_id")
+    spans = spans.withColumn("vector", Q.encoder()(E.mention_input(F.col("text"), E.context(F.col("body"), F.col("start"), F.col("end")))))
+    return E.link(spans.select("doc_id", "pos", "text", "type", "vector"), kb)
 
 
 def linked_mentions(spark, sf_dir):
-    """Mentions linked to a small knowledge base through hashed vectors."""
-    kb = spark.createDataFrame(KB, "kb_id string, name string, aliases array<string>, type string").withColumn("kb_vector", E.hashed_vector(F.col("name")))
-    spans = _spans(spark, sf_dir, TERMS)
-    spans = spans.join(spans.select("text").distinct().withColumn("vector", E.hashed_vector(F.col("text"))), "text")
-    linked = E.link(spans.select("doc_id", "pos", "text", "type", "vector"), kb)
-    return linked.groupBy("doc_id", "linking_status").agg(F.count("*").alias("n"))
+    best = _linked(spark, sf_dir)
+    return best.groupBy("doc_id", "linking_status", "type").agg(F.count("*").alias("n"), F.round(F.sum("link_score"), 4).alias("scores"))
+
+
+def extraction_summary(spark, sf_dir):
+    """Counts of each document's extraction: its mentions, those that are anchors or linked, and its relations."""
+    mentions = _linked(spark, sf_dir).withColumn("source", F.when(F.col("type") == "Protein", "statistical_ner").otherwise("rule_anchor"))
+    return E.summary(mentions, E.aggregate_evidence(_relations(spark, sf_dir)))
 
 
 QUERIES = {
     f.__name__: f
-    for f in (mention_scan, mention_scan_columns, anchors, pattern_counts, merged_spans, entities_beside_anchors, aligned_mentions, sentences, cooccurrence, relation_evidence, sentence_relations, entity_ids, mention_context, linked_mentions)
+    for f in (mention_scan, mention_scan_columns, anchors, pattern_counts, merged_spans, entities_beside_anchors, entities_raw, aligned_mentions, sentences, cooccurrence, relation_evidence, sentence_relations, entity_ids, mention_context, linked_mentions, extraction_summary)
 }
 
 
@@ -132,7 +150,33 @@ i as (select m.doc_id, window_no, evidence, pos, text, type from m join w on m.d
 tp(head_type, tail_type, relation) as (values {", ".join(str(x) for x in E.TYPE_PAIRS)}),
 r as (select h.doc_id, h.text as head, h.type as head_type, t.text as tail, t.type as tail_type, relation, h.evidence, h.window_no, h.pos as hp, t.pos as tp_ from i h join i t on h.doc_id = t.doc_id and h.window_no = t.window_no and h.pos < t.pos join tp on tp.head_type = h.type and tp.tail_type = t.type)"""
 
+#: One step for each mention in order of places: the group that it is in, and that group's best so far.
+_ANCHORS = f"""with recursive {_M}, n as (select *, cast(row_number() over (partition by doc_id order by start, "end", priority, text, canonical, type) as int) as k from m),
+walk(doc_id, k, lim, grp, best, best_priority) as (
+  select doc_id, k, "end", 0, k, priority from n where k = 1
+  union all
+  select n.doc_id, n.k, case when n.start < lim then lim else n."end" end, grp + (n.start >= lim)::int, case when n.start < lim and n.priority >= best_priority then best else n.k end, case when n.start < lim and n.priority >= best_priority then best_priority else n.priority end
+  from walk join n on n.doc_id = walk.doc_id and n.k = walk.k + 1),
+chosen as (select doc_id, grp, arg_max(best, k) as k from walk group by doc_id, grp)
+select doc_id, cast(grp as int) as pos, start, "end", priority, text, canonical, type from chosen join n using (doc_id, k)"""
+_KB = ", ".join(f"('{i}', '{n}', {a!r}, '{t}', trim('{n} {d}'))" for i, n, a, t, d in KB)
+_STRING = lambda x, y: f"case when lower({x}) = lower({y}) then 1.0 when contains(lower({x}), lower({y})) or contains(lower({y}), lower({x})) then 0.8 else 0.0 end"
+_LINKED = f"""with {_M}, kb0(kb_id, name, aliases, kb_type, x) as (values {_KB}), {ENCODED("kv", "kb0", "kb_id", "lower(x)")},
+mx as (select m.doc_id, pos, m.text, type, trim(m.text || ' ' || trim(d.text[greatest(m.start - 50, 0) + 1 : m.start] || ' ' || d.text[m."end" + 1 : m."end" + 50], ' '), ' ') as x from m join documents d using (doc_id)),
+xs as (select distinct x from mx), {ENCODED("mv", "xs", "key", "lower(key)", "x as key")},
+pr as (select doc_id, pos, mx.text, type, kb0.kb_id, list_dot_product(mv.vector, kv.vector) as cos, 0.4 * list_dot_product(mv.vector, kv.vector) + 0.4 * {_STRING("mx.text", "name")} + 0.2 * coalesce(list_max(list_transform(aliases, lambda al: {_STRING("mx.text", "al")})), 0) as final
+  from mx join kb0 on kb_type = type join kv using (kb_id) join mv on mv.key = mx.x),
+bs as (select doc_id, pos, arg_max({{'cos': cos, 'final': final}}, round(final, 9)) as b from pr where final >= 0.5 group by doc_id, pos),
+linked as (select doc_id, pos, mx.text, type, case when b.cos >= 0.7 then 'linked' else 'nil' end as linking_status, b.final as final from mx left join bs using (doc_id, pos))"""
+
 ORACLES = {
+    "anchors": _ANCHORS,
+    "linked_mentions": f"{_LINKED} select doc_id, linking_status, type, count(*) as n, round(sum(final), 4) as scores from linked group by doc_id, linking_status, type",
+    "extraction_summary": f"""{_LINKED}, {_REL.removeprefix(f"with {_M}, ")}, e as (select doc_id, head, relation, tail, count(*) as k from r group by all),
+a as (select doc_id, count(*) as entities, count(*) filter (type <> 'Protein') as anchors, count(*) filter (linking_status = 'linked') as linked from linked group by doc_id),
+b as (select doc_id, count(*) as relations, count(*) filter (k > 1) as merged from e group by doc_id)
+select doc_id, coalesce(entities, 0) as entities, coalesce(anchors, 0) as anchors, coalesce(merged, 0) as merged, coalesce(linked, 0) as linked, coalesce(relations, 0) as relations from a full join b using (doc_id)""",
+    "entities_raw": "with f as (select doc_id, 'Number' as type, unnest(list_concat(regexp_extract_all(text, '[0-9]+'), regexp_extract_all(text, '[0-9]+[.][0-9]+'))) as x from documents union all select doc_id, 'Protein', unnest(regexp_extract_all(text, '(?i)th[ae]n?')) from documents) select doc_id, type, count(*) as n, cast(sum(length(x)) as bigint) as chars from f group by all",
     "mention_scan": f'with {_M} select doc_id, start, "end", text, canonical, type, priority from m',
     "mention_scan_columns": f'with {_M} select doc_id, start, "end", text, canonical, type, priority from m',
     "pattern_counts": """with f as (select doc_id, 'Number' as type, unnest(regexp_extract_all(text, '[0-9]+')) as x from documents union all select doc_id, 'Protein', unnest(regexp_extract_all(text, '(?i)th[ae]n?')) from documents union all select doc_id, 'Metric', unnest(regexp_extract_all(text, '[0-9]+[.][0-9]+')) from documents)
@@ -144,11 +188,11 @@ select doc_id, min(start) as start, max("end") as "end", string_agg(text, '' ord
 u as (select doc_id, 0 as src, start, pos from a union all select doc_id, 1, start, pos from e), n as (select *, row_number() over (partition by doc_id order by src, start, pos) - 1 as p from u)
 select doc_id, case src when 0 then 'rule_anchor' else 'statistical_ner' end as source, count(*) as n, cast(sum(start) as bigint) as starts, cast(max(p) as int) as last_pos from n group by doc_id, src""",
     "aligned_mentions": f"""with {BLOCKS}, o as (select *, coalesce(sum(length(text) + 1) over (partition by doc_id order by elem_index rows between unbounded preceding and 1 preceding), 0) as o_start from b),
-joined as (select doc_id, string_agg(text, ' ' order by elem_index) as text from b group by doc_id), {_spans_sql(TERMS[3:4], "joined")}
-select o.section_id || '_' || o.elem_id as block_id, o.page, count(*) as n from m left join o on o.doc_id = m.doc_id and m.start >= o.o_start and m.start < o.o_start + length(o.text) group by all""",
+joined as (select doc_id, string_agg(text, ' ' order by elem_index) as text from b group by doc_id), {_spans_sql(TERMS, "joined")}
+select o.section_id || '_' || o.elem_id as block_id, o.page, cast(1.0 as double) as confidence, 'rule_anchor' as source, count(*) as n from m left join o on o.doc_id = m.doc_id and m.start >= o.o_start and m.start < o.o_start + length(o.text) group by all""",
     "sentences": f'with {_SENT} select doc_id, sent_no, sentence, start, "end" from sent',
     "cooccurrence": f"{_REL} select doc_id, relation, count(*) as n from r group by all",
     "relation_evidence": f"{_REL} select doc_id, head, relation, tail, arg_min(head_type, (window_no, hp, tp_)) as head_type, arg_min(tail_type, (window_no, hp, tp_)) as tail_type, cast(0.6 as double) as confidence, count(*) as evidence_count, md5(string_agg(evidence, ' | ' order by window_no, hp, tp_, evidence)) as evidence_md5 from r group by doc_id, head, relation, tail",
     "entity_ids": f"with {_M} select doc_id, text, arg_max('local_' || doc_id || '_' || start || '_' || \"end\", pos) as id, arg_max(type, pos) as type from m group by doc_id, text",
-    "mention_context": f"with {_spans_sql(TERMS[3:4])} select m.doc_id, m.start, md5(trim(d.text[greatest(m.start - 50, 0) + 1 : m.start] || ' ' || d.text[m.\"end\" + 1 : m.\"end\" + 50], ' ')) as context_md5 from m join documents d using (doc_id)",
+    "mention_context": f"with {_M} select m.doc_id, m.start, m.text, md5(trim(d.text[greatest(m.start - 50, 0) + 1 : m.start] || ' ' || d.text[m.\"end\" + 1 : m.\"end\" + 50], ' ')) as context_md5 from m join documents d using (doc_id)",
 }

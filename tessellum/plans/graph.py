@@ -27,20 +27,12 @@ def graph_upsert_nodes(spark, sf_dir):
     return G.upsert_nodes(rows).select("id", F.array_join("labels", ",").alias("labels"), "value", "props")
 
 
-def _sales(spark, sf_dir, parts):
-    nodes = table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("id")).union(parts.select(F.concat(F.lit("p"), "p_partkey")))
+def graph_upsert_edges(spark, sf_dir):
+    nodes = table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("id")).union(table(spark, sf_dir, "part").select(F.concat(F.lit("p"), "p_partkey")))
     rows = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("s"), "l_suppkey").alias("src"), F.concat(F.lit("flag_"), F.lower("l_returnflag")).alias("rel_type"), F.concat(F.lit("p"), "l_partkey").alias("dst"), F.struct("l_orderkey", "l_linenumber", "l_quantity").alias("version"), "l_quantity")
     return G.upsert_edges(rows, nodes)
 
 
-def graph_upsert_edges(spark, sf_dir):
-    return _sales(spark, sf_dir, table(spark, sf_dir, "part").filter("p_partkey % 2 = 0"))
-
-
-def graph_upsert_all_edges(spark, sf_dir):
-    return _sales(spark, sf_dir, table(spark, sf_dir, "part"))
-
-
 def graph_document_counts(spark, sf_dir):
     return G.document_nodes(*_graph(spark, sf_dir))
 
@@ -60,10 +52,11 @@ def graph_neighbours(spark, sf_dir):
 
 
 def graph_shortest_paths(spark, sf_dir):
+    """Paths between a stated set, the suppliers whose number is divisible by 50, and all customers."""
     _, edges = _graph(spark, sf_dir)
-    supplier, customer = table(spark, sf_dir, "supplier").filter("s_suppkey <= 5"), table(spark, sf_dir, "customer").filter("c_custkey <= 40")
-    pairs = supplier.crossJoin(customer).select(F.concat(F.lit("s"), "s_suppkey").alias("start"), F.concat(F.lit("c"), "c_custkey").alias("end"))
-    return G.shortest_paths(edges, pairs)
+    asked = table(spark, sf_dir, "supplier").filter("s_suppkey % 50 = 0").select(F.concat(F.lit("s"), "s_suppkey").alias("start"))
+    pairs = table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("end")).crossJoin(F.broadcast(asked))
+    return G.shortest_paths(edges, pairs.select("start", "end"))
 
 
 def graph_distances(spark, sf_dir):
@@ -79,17 +72,28 @@ def graph_delete_document(spark, sf_dir):
 
 def graph_name_search(spark, sf_dir):
     words = spark.createDataFrame([("1",), ("2",), ("zzz",)], "word string")
-    return G.search_names(G.find_nodes(_graph(spark, sf_dir)[0], "Nation"), words, 5)
+    return G.search_names(_graph(spark, sf_dir)[0], words, 5)
 
 
 def graph_recall(spark, sf_dir):
-    """Relations for names of nations; for names that only entities without edges have, those entities."""
+    """Relations for the first letters of the names of nations and regions, over the whole graph."""
+    nodes, edges = _graph(spark, sf_dir)
+    names = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("query_id"), F.substring("n_name", 1, 4).alias("name")).union(table(spark, sf_dir, "region").select(F.col("r_regionkey") + 100, F.substring("r_name", 1, 4)))
+    return G.recall(names, nodes, edges)
+
+
+def graph_updated(spark, sf_dir):
+    """The graph after one more edge and new properties of some nodes: what nodes and edges it has by kind."""
     nodes, edges = _graph(spark, sf_dir)
-    names = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("query_id"), F.substring("n_name", 1, 4).alias("name"))
-    return G.recall(names, nodes, edges.filter("rel_type = 'PART_OF' and dst <> 'r1'"))
+    changes = table(spark, sf_dir, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("id"), F.upper("n_name").alias("text"), F.length("n_name").alias("size"))
+    more = G.updated_nodes(nodes, changes.unionByName(spark.createDataFrame([("none", "x", 1)], changes.schema)))
+    edges = G.created_edge(edges, nodes, "r0", "beside", "r1", document_id=0)
+    edges = G.created_edge(edges, nodes, "r0", "beside", "nowhere", document_id=0)
+    kinds = more.select(F.element_at("labels", -1).alias("kind"), F.when(F.col("text") == F.upper("text"), 1).otherwise(0).alias("upper"), "size").groupBy("kind").agg(F.count("*").alias("n"), F.sum("upper").alias("uppers"), F.sum("size").alias("sizes"))
+    return kinds.unionByName(edges.groupBy(F.col("rel_type").alias("kind")).agg(F.count("*").alias("n")), allowMissingColumns=True).unionByName(G.cleared(kinds))
 
 
-QUERIES = {f.__name__: f for f in (graph_statistics, graph_upsert_nodes, graph_upsert_edges, graph_upsert_all_edges, graph_document_counts, graph_contains, graph_find, graph_neighbours, graph_shortest_paths, graph_distances, graph_delete_document, graph_name_search, graph_recall)}
+QUERIES = {f.__name__: f for f in (graph_statistics, graph_upsert_nodes, graph_upsert_edges, graph_document_counts, graph_contains, graph_find, graph_neighbours, graph_shortest_paths, graph_distances, graph_delete_document, graph_name_search, graph_recall, graph_updated)}
 
 _G = """with nodes as (
   select 'r' || r_regionkey as id, ['Place', 'Region'] as labels, r_name as text, cast(null as bigint) as document_id from region
@@ -102,22 +106,25 @@ both_ways as (select src, dst, rel_type from edges union all select dst, src, re
 ORACLES = {
     "graph_statistics": _G + " select (select count(*) from nodes) as nodes, (select array_to_string(list_sort(list(distinct l)), ',') from (select unnest(labels) as l from nodes)) as labels, (select count(*) from edges) as edges, (select array_to_string(list_sort(list(distinct rel_type)), ',') from edges) as rel_types",
     "graph_upsert_nodes": "select user_id as id, array_to_string(list_sort(list(distinct event_type)), ',') as labels, arg_max(value, event_id) filter (event_type <> 'view' and value is not null) as value, arg_max(props, event_id) filter (props is not null) as props from events group by user_id",
-    "graph_upsert_edges": "select 's' || l_suppkey as src, upper('flag_' || l_returnflag) as rel_type, 'p' || l_partkey as dst, arg_max(l_quantity, (l_orderkey, l_linenumber, l_quantity)) as l_quantity from lineitem where l_suppkey in (select s_suppkey from supplier) and l_partkey in (select p_partkey from part where p_partkey % 2 = 0) group by all",
-    "graph_upsert_all_edges": "select 's' || l_suppkey as src, upper('flag_' || l_returnflag) as rel_type, 'p' || l_partkey as dst, arg_max(l_quantity, (l_orderkey, l_linenumber, l_quantity)) as l_quantity from lineitem where l_suppkey in (select s_suppkey from supplier) and l_partkey in (select p_partkey from part) group by all",
+    "graph_upsert_edges": "select 's' || l_suppkey as src, upper('flag_' || l_returnflag) as rel_type, 'p' || l_partkey as dst, arg_max(l_quantity, (l_orderkey, l_linenumber, l_quantity)) as l_quantity from lineitem where l_suppkey in (select s_suppkey from supplier) and l_partkey in (select p_partkey from part) group by all",
     "graph_document_counts": _G + ", a as (select document_id, count(*) as n from nodes group by 1), b as (select document_id, count(*) as n from edges group by 1) select document_id, coalesce(a.n, 0) as entity_count, coalesce(b.n, 0) as relation_count from a full join b using (document_id) where document_id is not null",
     "graph_contains": _G + " select cast(document_id as varchar) as src, 'CONTAINS' as rel_type, id as dst from nodes where document_id is not null",
     "graph_find": _G + " select src, dst, rel_type from edges where rel_type = 'BASED_IN' and dst in (select id from nodes where list_contains(labels, 'Place') and document_id = 1)",
     "graph_neighbours": _G + " select distinct src as id, dst as neighbour from both_ways where rel_type in ('BASED_IN', 'PART_OF') and src like 'n%'",
-    "graph_shortest_paths": "with p as (select 's' || s_suppkey as start, 'c' || c_custkey as \"end\", case when s_nationkey = c_nationkey then 2 when a.n_regionkey = b.n_regionkey then 4 end as hops from supplier join nation a on a.n_nationkey = s_nationkey, customer join nation b on b.n_nationkey = c_nationkey where s_suppkey <= 5 and c_custkey <= 40) select * from p where hops is not null",
+    "graph_shortest_paths": "select 's' || s_suppkey as start, 'c' || c_custkey as \"end\", case when s_nationkey = c_nationkey then 2 else 4 end as hops from supplier join nation a on a.n_nationkey = s_nationkey, customer join nation b on b.n_nationkey = c_nationkey where s_suppkey % 50 = 0 and (s_nationkey = c_nationkey or a.n_regionkey = b.n_regionkey)",
     "graph_distances": _G.replace("with nodes", "with recursive nodes")
     + """, walk(start, node, hops) as (select id, id, 0 from nodes where cast(id[2:] as bigint) % 50 = 0 union select start, dst, hops + 1 from walk join both_ways on src = node where hops < 5)
 select start, node as "end", cast(min(hops) as int) as hops from walk where start <> node group by start, node""",
     "graph_delete_document": _G + ", gone as (select id from nodes where document_id = 3) select (select count(*) from nodes where id not in (from gone)) as nodes, (select count(*) from edges where src not in (from gone) and dst not in (from gone)) as edges",
-    "graph_name_search": _G + ", w(word) as (values ('1'), ('2'), ('zzz')) select word, id from w join nodes on contains(text, word) and list_contains(labels, 'Nation') qualify row_number() over (partition by word order by id) <= 5",
+    "graph_name_search": _G + ", w(word) as (values ('1'), ('2'), ('zzz')) select word, id from w join nodes on contains(text, word) qualify row_number() over (partition by word order by id) <= 5",
     "graph_recall": _G
-    + """, e as (select e.src || '|' || rel_type || '|' || e.dst as id, h.text as head, t.text as tail from edges e join nodes h on h.id = e.src join nodes t on t.id = e.dst where rel_type = 'PART_OF' and e.dst <> 'r1'),
-names as (select n_nationkey as query_id, n_name[1:4] as name from nation),
+    + """, e as (select e.src || '|' || rel_type || '|' || e.dst as id, h.text as head, t.text as tail from edges e join nodes h on h.id = e.src join nodes t on t.id = e.dst),
+names as (select n_nationkey as query_id, n_name[1:4] as name from nation union all select r_regionkey + 100, r_name[1:4] from region),
 rel as (select query_id, name, id, 'graph' as kind, cast(0.8 as double) as score from names join e on contains(head, name) or contains(tail, name) qualify row_number() over (partition by query_id, name order by id) <= 5),
 ent as (select query_id, name, id, 'graph_entity' as kind, cast(0.6 as double) as score from names join nodes on contains(text, name) where query_id not in (select query_id from rel) qualify row_number() over (partition by query_id, name order by id) <= 3)
 select * from rel union all select * from ent""",
+    "graph_updated": _G
+    + """, n2 as (select labels[-1] as kind, case when labels[-1] = 'Nation' then upper(text) else text end as text, case when labels[-1] = 'Nation' then length(text) end as size from nodes)
+select kind, count(*) as n, sum((text = upper(text))::int) as uppers, sum(size) as sizes from n2 group by kind
+union all select rel_type, count(*), null, null from (select rel_type from edges union all select 'BESIDE') group by rel_type""",
 }

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessellum.plans import answer, extraction, graph, relational, retrieval, structure
+from tessellum.plans import answer, extraction, graph, relational, retrieval, stores, structure
 
-FAMILIES = [structure, relational, retrieval, extraction, graph, answer]
+FAMILIES = [structure, relational, retrieval, extraction, graph, answer, stores]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

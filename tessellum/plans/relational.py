@@ -128,11 +128,6 @@ def _vector_documents(spark, sf_dir):
 
 
 def document_names(spark, sf_dir):
-    """The stem of each vector's document, or a default name; of files with even ids only."""
-    return _names(_vector_documents(spark, sf_dir), _files(spark, sf_dir).filter("id % 2 = 0"))
-
-
-def document_names_all(spark, sf_dir):
     """The stem of each vector's document, or a default name."""
     return _names(_vector_documents(spark, sf_dir), _files(spark, sf_dir))
 
@@ -157,7 +152,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         file_catalogue, stats_overview, stats_by_type, stats_by_status, document_stats, status_shares, file_list_page, file_list_search, file_by_hash, structure_stats, structure_stats_of_one, structure_stats_exact,
-        tables_with_rows, file_progress, first_uploads, upload_validation, status_update, cascade_delete, deletion_log, log_retention, parameterised_query, document_names, document_names_all, batch_tally, supplier_part_outline, order_page,
+        tables_with_rows, file_progress, first_uploads, upload_validation, status_update, cascade_delete, deletion_log, log_retention, parameterised_query, document_names, batch_tally, supplier_part_outline, order_page,
     )
 }
 
@@ -192,8 +187,7 @@ ORACLES = {
     "deletion_log": _CAT + "select 'document_delete' as operation_type, 'document_id:' || id as operation_target, 'filename:' || filename || ', file_size:' || file_size as operation_detail, 'success' as status from cat where process_status = 'extract_failed'",
     "log_retention": "select count(*) as kept, min(event_id) as first_id from events where ts >= timestamp '2024-01-31' - interval 14 day",
     "parameterised_query": _CAT + "select file_type, count(*) as n, max(file_size) as largest from cat where file_size >= 500 group by file_type",
-    "document_names": _CAT + "select v.document_id, coalesce(max('doc_' || v.document_id) filter (cat.id is not null), '文档' || v.document_id) as name, count(*) as vectors from (select vec_id % 200 as document_id from embeddings) v left join cat on cat.id = v.document_id and cat.id % 2 = 0 group by v.document_id",
-    "document_names_all": _CAT + "select v.document_id, coalesce(max('doc_' || v.document_id) filter (cat.id is not null), '文档' || v.document_id) as name, count(*) as vectors from (select vec_id % 200 as document_id from embeddings) v left join cat on cat.id = v.document_id group by v.document_id",
+    "document_names": _CAT + "select v.document_id, coalesce(max('doc_' || v.document_id) filter (cat.id is not null), '文档' || v.document_id) as name, count(*) as vectors from (select vec_id % 200 as document_id from embeddings) v left join cat on cat.id = v.document_id group by v.document_id",
     "batch_tally": _CAT + "select count(*) filter (process_status = 'completed') as succeeded, count(*) filter (process_status <> 'completed') as failed, count(*) as total from cat",
     "supplier_part_outline": "with p as (select l_suppkey as s_suppkey, count(*) as lines, sum(l_quantity) as quantity from lineitem group by 1) select n_name, count(s_suppkey) as suppliers, cast(sum(lines) as bigint) as lines, round(sum(quantity), 2) as quantity from nation left join supplier on n_nationkey = s_nationkey left join p using (s_suppkey) group by n_name",
     "order_page": "select o_orderkey, o_custkey, o_orderdate from orders where o_orderstatus = 'O' order by o_orderdate desc, o_orderkey desc limit 20 offset 40",

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from tessellum.functions import text as X
 from tessellum.operators import retrieval as Q
 from tessellum.operators import structure as S
-from tessellum.plans.sql import SECTIONS
+from tessellum.plans.sql import ENCODED, SECTIONS
 from tessellum.sources.fixtures import benchmark_queries, table, text_elements, vector_rows
+from tessellum.sources.scratch import file_state, fresh_path
 
 N_DOCS = 200
 
@@ -17,8 +18,24 @@ def _queries(spark, sf_dir):
     return benchmark_queries(table(spark, sf_dir, "benchmark"))
 
 
-def _docs(spark, sf_dir):
-    return S.search_documents(S.blocks(text_elements(table(spark, sf_dir, "documents"))))
+def _made_docs(spark, sf_dir):
+    """Search documents with the kind of their file."""
+    docs = table(spark, sf_dir, "documents")
+    kinds = docs.select("doc_id", F.col("lang").alias("doc_type"))
+    return S.search_documents(S.blocks(text_elements(docs))).join(kinds, "doc_id")
+
+
+_stored: dict[tuple[str, str], str] = {}
+
+
+def _index(spark, sf_dir) -> Q.Index:
+    """The stored index of the documents, made once for each state of their files."""
+    key = spark.sparkContext.applicationId, file_state(spark, f"{sf_dir}/documents.parquet")
+    if key not in _stored:
+        path = fresh_path(spark, "index")
+        Q.stored(Q.index(_made_docs(spark, sf_dir)), path)
+        _stored[key] = path
+    return Q.opened(spark, _stored[key])
 
 
 def _vectors(spark, sf_dir):
@@ -31,17 +48,28 @@ def _query_vectors(spark, sf_dir):
 
 
 def posting_statistics(spark, sf_dir):
-    _, frequencies, statistics = Q.index(_docs(spark, sf_dir))
-    top = frequencies.groupBy("field").agg(F.count("*").alias("terms"), F.max("df").alias("max_df"))
-    return top.join(statistics, "field").select("field", "terms", "max_df", "n", F.round("avgdl", 6).alias("avgdl"))
+    made = _index(spark, sf_dir)
+    top = made.frequencies.groupBy("field").agg(F.count("*").alias("terms"), F.max("df").alias("max_df"))
+    return top.join(made.statistics, "field").select("field", "terms", "max_df", "n", F.round("avgdl", 6).alias("avgdl"))
 
 
 def bm25_topk(spark, sf_dir):
-    return Q.bm25(_queries(spark, sf_dir), _docs(spark, sf_dir), 10).select("query_id", "_id", F.round("score", 6).alias("score"), "rank")
+    return Q.bm25(_queries(spark, sf_dir), _index(spark, sf_dir), 10).select("query_id", "_id", F.round("score", 6).alias("score"), "rank")
 
 
 def bm25_topk_filtered(spark, sf_dir):
-    return Q.bm25(_queries(spark, sf_dir), _docs(spark, sf_dir), 5, content_types=["section"]).select("query_id", "_id", F.round("score", 6).alias("score"), "rank")
+    return Q.bm25(_queries(spark, sf_dir), _index(spark, sf_dir), 5, content_types=["section"]).select("query_id", "_id", F.round("score", 6).alias("score"), "rank")
+
+
+def bm25_topk_doc_types(spark, sf_dir):
+    return Q.bm25(_queries(spark, sf_dir), _index(spark, sf_dir), 5, doc_types=["fr", "de"], content_types=["fragment"]).select("query_id", "_id", F.round("score", 6).alias("score"), "rank")
+
+
+def index_after_deletion(spark, sf_dir):
+    """Statistics of the stored index, and the best documents, once all documents of files that failed are deleted from it."""
+    failed = table(spark, sf_dir, "labels").filter("quality = 0").select("doc_id")
+    left = Q.without_documents(_index(spark, sf_dir), failed, fresh_path(spark, "index"))
+    return Q.bm25(_queries(spark, sf_dir), left, 3).select("query_id", "_id", F.round("score", 6).alias("score"), "rank")
 
 
 def vector_topk(spark, sf_dir):
@@ -56,7 +84,7 @@ def vector_topk_probed(spark, sf_dir):
     """The approximate index over all vectors; tests measure its recall."""
     vectors = _vectors(spark, sf_dir)
     model = Q.cells(vectors)
-    return Q.vector_top_probed(_query_vectors(spark, sf_dir), Q.assign(vectors, model), model, 10, probes=12).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+    return Q.vector_top_probed(_query_vectors(spark, sf_dir), Q.assign(vectors, model), model, 10).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
 def vector_intent(spark, sf_dir):
@@ -78,8 +106,9 @@ def vectors_without_document(spark, sf_dir):
 
 def _hits(spark, sf_dir, intent="fragment"):
     """Hits of the lexical and the vector branch: vectors stand for sections of their documents."""
-    docs = _docs(spark, sf_dir)
-    lexical = Q.bm25(_queries(spark, sf_dir), docs, Q.BREADTH[intent]).join(docs, "_id").withColumn("source", F.lit("bm25")).withColumn("arrival", F.col("rank"))
+    made = _index(spark, sf_dir)
+    docs = made.docs
+    lexical = Q.bm25(_queries(spark, sf_dir), made, Q.BREADTH[intent]).join(docs, "_id").withColumn("source", F.lit("bm25")).withColumn("arrival", F.col("rank"))
     first = docs.filter("content_type = 'section'").groupBy(F.col("doc_id").alias("document_id")).agg(F.min("section_id").alias("section_id"))
     near = Q.vector_top(_query_vectors(spark, sf_dir), _vectors(spark, sf_dir), Q.BREADTH[intent]).join(_vectors(spark, sf_dir).drop("vector"), "id").join(first, "document_id")
     near = near.select("query_id", "section_id", F.col("document_id").alias("doc_id"), F.col("id").alias("element_id"), F.lit("").alias("title"), F.lit("").alias("content"), "content_type", F.lit(1).alias("page"), "score", F.lit("vector").alias("source"), (F.col("rank") + 1000).alias("arrival"))
@@ -113,21 +142,45 @@ def query_keywords(spark, sf_dir):
 
 
 def suggestions(spark, sf_dir):
-    """Section titles that contain what has been typed, most frequent first."""
-    titles = S.sections(S.blocks(text_elements(table(spark, sf_dir, "documents")))).filter(F.contains(F.lower("title"), F.lit("the")))
-    return titles.groupBy("title").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "title").limit(10)
+    """For the first word of each query: section titles that contain it, most frequent first."""
+    titles = S.sections(S.blocks(text_elements(table(spark, sf_dir, "documents")))).groupBy("title").agg(F.count("*").alias("n")).withColumn("low", F.lower("title"))
+    typed = _queries(spark, sf_dir).select("query_id", F.lower(F.split("query", " ")[0]).alias("typed"))
+    hits = X.containing(titles, "low", typed.select("typed").distinct(), "typed").join(typed, "typed")
+    return Q.top(hits, 10, F.desc("n"), F.asc("title")).select("query_id", "typed", "title", "n", "rank")
 
 
 def highlights(spark, sf_dir):
-    hits = Q.bm25(_queries(spark, sf_dir), _docs(spark, sf_dir), 1).join(_docs(spark, sf_dir), "_id").join(_queries(spark, sf_dir), "query_id")
-    return hits.select("query_id", "_id", F.array_join(X.highlight(F.col("content"), F.array_distinct(X.tokens(F.col("query")))), " ... ").alias("highlight"))
+    """The best document of each query: its title and the fragments of its content with the query's words marked."""
+    made = _index(spark, sf_dir)
+    hits = Q.bm25(_queries(spark, sf_dir), made, 1).join(made.docs, "_id").join(_queries(spark, sf_dir), "query_id")
+    terms = F.array_distinct(X.tokens(F.col("query")))
+    return hits.select("query_id", "_id", X.highlight_whole(F.col("title"), terms).alias("title"), F.array_join(X.highlight(F.col("content"), terms), " ... ").alias("highlight"))
+
+
+def _titles(spark, sf_dir):
+    titles = S.sections(S.blocks(text_elements(table(spark, sf_dir, "documents")))).select("section_id", "title")
+    return titles.withColumn("vector", Q.encoder()(X.encoder_input(F.col("title"), marks=True, lower=True)))
+
+
+def encoded_titles(spark, sf_dir):
+    """Vectors of section titles, as the sum of each component times its place."""
+    check = F.aggregate(F.zip_with("vector", F.sequence(F.lit(1), F.lit(64)), lambda v, i: v * i), F.lit(0.0), lambda s, x: s + x)
+    return _titles(spark, sf_dir).select("section_id", F.round(check, 6).alias("checksum"), F.size("vector").alias("dimension"))
+
+
+def encoded_search(spark, sf_dir):
+    """Section titles nearest to each query, both encoded; the query is rewritten by its intent first. Equal titles have equal scores, so titles are ranked."""
+    q = F.col("query")
+    asked = _queries(spark, sf_dir).filter(X.valid_query(q)).select("query_id", Q.encoder()(X.encoder_input(X.vector_query(q, X.lexical_intent(q)), marks=True, lower=True)).alias("query_vector"))
+    titles = _titles(spark, sf_dir).groupBy("title").agg(F.min("section_id").alias("section_id"), F.first("vector").alias("vector")).withColumn("id", F.col("section_id"))
+    return Q.vector_top(asked, titles, 5).select("query_id", F.col("id").alias("section_id"), F.round("score", 6).alias("score"), "rank")
 
 
 QUERIES = {
     f.__name__: f
     for f in (
-        posting_statistics, bm25_topk, bm25_topk_filtered, vector_topk, vector_topk_filtered, vector_topk_probed, vector_intent, fallback_intent, vector_statistics, vectors_without_document, score_fusion, title_fusion, lexical_rerank,
-        query_understanding, query_keywords, suggestions, highlights,
+        posting_statistics, bm25_topk, bm25_topk_filtered, bm25_topk_doc_types, index_after_deletion, vector_topk, vector_topk_filtered, vector_topk_probed, vector_intent, fallback_intent, vector_statistics, vectors_without_document, score_fusion, title_fusion, lexical_rerank,
+        query_understanding, query_keywords, suggestions, highlights, encoded_titles, encoded_search,
     )
 }
 
@@ -176,8 +229,16 @@ g as (
 r as (select *, {wb} * bm25_score + {wv} * vector_score as final_score, row_number() over (partition by query_id order by round({wb} * bm25_score + {wv} * vector_score, 9) desc, arrival) as rank from g)"""
 
 
+#: A text as encoders take it, and the hashed vectors (key, vector) of a table's texts.
+_INPUT = lambda c: f"regexp_replace(lower(regexp_replace(regexp_replace({c}, '[ \\t\\n\\r\\f\\v]+', ' ', 'g'), '[^\\p{{L}}\\p{{N}}\\p{{M}}_ 一-鿿]', '', 'g'))[1:512], '^ +| +$', '', 'g')"
+
+
 _WORDS = lambda c: f"list_distinct(list_filter(regexp_split_to_array(lower({c}), '[ \\t\\n\\r\\f\\v]+'), lambda x: x <> ''))"
 
+_KEYWORDS = f"""select query_id, array_to_string(list_filter(regexp_extract_all(query, '[\\p{{L}}\\p{{N}}_]+'), lambda w: length(w) > 1)[1:10], ' ') as keywords,
+  round(least(len(list_intersect(ws, tw)) / len(list_distinct(list_concat(ws, tw))) + case when length(query) <= 5 then 0.1 when length(query) > 20 then -0.1 else 0 end, 1.0), 6) as similarity from (select query_id, query, list_distinct(list_filter(string_split(query, ' '), lambda x: x <> '')) as ws, {X.TITLE_WORDS!r} as tw from q)"""
+
+
 ORACLES = {
     "posting_statistics": f"with {_DOCS} select field, count(*) as terms, max(df) as max_df, any_value(n) as n, round(any_value(avgdl), 6) as avgdl from df join st using (field) group by field",
     "bm25_topk": _BM25 + " select query_id, _id, round(score, 6) as score, cast(row_number() over (partition by query_id order by round(score, 9) desc, _id) as int) as rank from sc qualify rank <= 10",
@@ -196,8 +257,16 @@ select query_id, round(max_title, 6) as max_title, round(mean_title, 6) as mean_
     "lexical_rerank": _fused("fragment")
     + f""", m as (select r.*, q.query, len(list_intersect({_WORDS("q.query")}, {_WORDS("r.title")})) / len({_WORDS("q.query")}) as tm, len(list_intersect({_WORDS("q.query")}, {_WORDS("r.evidence")})) / len({_WORDS("q.query")}) as em from r join q using (query_id) where rank <= 50)
 select query_id, section_id, title, round(tm * 1.5 + em, 5) as rerank_score, round(final_score * 0.5 + (tm * 1.5 + em) * 0.5, 5) as final_score from m qualify row_number() over (partition by query_id order by round(final_score * 0.5 + (tm * 1.5 + em) * 0.5, 9) desc, arrival) = 1""",
-    "query_keywords": f"""with {_QUERY}, u as (select query_id, query, list_distinct(list_filter(string_split(query, ' '), lambda x: x <> '')) as ws, {X.TITLE_WORDS!r} as tw from q)
-select query_id, array_to_string(list_filter(regexp_extract_all(query, '[\\p{{L}}\\p{{N}}_]+'), lambda w: length(w) > 1)[1:10], ' ') as keywords,
-  round(least(len(list_intersect(ws, tw)) / len(list_distinct(list_concat(ws, tw))) + case when length(query) <= 5 then 0.1 when length(query) > 20 then -0.1 else 0 end, 1.0), 6) as similarity from u""",
-    "suggestions": f"with {SECTIONS} select title, count(*) as n from s where contains(lower(title), 'the') group by title order by n desc, title limit 10",
+    "query_keywords": f"with {_QUERY} {_KEYWORDS}",
+    "suggestions": f"""with {SECTIONS}, {_QUERY}, t as (select title, count(*) as n from s group by title), u as (select query_id, lower(string_split(query, ' ')[1]) as typed from q)
+select query_id, typed, title, n, cast(row_number() over (partition by query_id order by n desc, title) as int) as rank from t join u on typed <> '' and contains(lower(title), typed) qualify rank <= 10""",
+    "bm25_topk_doc_types": _BM25 + ", ok as (select _id from d join documents using (doc_id) where content_type = 'fragment' and lang in ('fr', 'de')) select query_id, _id, round(score, 6) as score, cast(row_number() over (partition by query_id order by round(score, 9) desc, _id) as int) as rank from sc where _id in (from ok) qualify rank <= 5",
+    "index_after_deletion": _BM25.replace("\nd as (", "\nd0 as (").replace("\nf as (", "\nd as (select * from d0 where doc_id not in (select doc_id from labels where quality = 0)),\nf as (")
+    + " select query_id, _id, round(score, 6) as score, cast(row_number() over (partition by query_id order by round(score, 9) desc, _id) as int) as rank from sc qualify rank <= 3",
+    "encoded_titles": f"""with {SECTIONS}, {ENCODED("t", "s", "section_id", _INPUT("title"))}
+select section_id, round(list_dot_product(vector, list_transform(range(1, 65), lambda i: cast(i as double))), 6) as checksum, 64 as dimension from t""",
+    "encoded_search": f"""with {SECTIONS}, {_QUERY}, kw as ({_KEYWORDS}), qs as (select query_id, query || case when similarity >= 0.45 then {X.VECTOR_SUFFIX["title"]!r} when similarity >= 0.40 then '' else {X.VECTOR_SUFFIX["fragment"]!r} end as text from kw join q using (query_id)),
+{ENCODED("a", "qs", "query_id", _INPUT("text"))}, st as (select title, min(section_id) as section_id from s group by title), {ENCODED("t", "st", "section_id", _INPUT("title"))},
+sc as (select query_id, t.section_id, list_dot_product(a.vector, t.vector) as score from a, t)
+select query_id, section_id, round(score, 6) as score, cast(row_number() over (partition by query_id order by round(score, 9) desc, section_id) as int) as rank from sc qualify rank <= 5""",
 }

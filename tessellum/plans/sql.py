@@ -31,3 +31,10 @@ cat as (
   select d.doc_id as id, 'doc_' || d.doc_id || '.' || d.lang as filename, d.lang as file_type, d.n_chars as file_size, timestamp '2024-01-01' + d.doc_id * interval 1 minute as upload_time,
     case when l.quality = 1 then 'completed' when l.quality = 0 then 'extract_failed' else 'pending' end as process_status, sha256(d.text) as content_hash, d.source as metadata
   from documents d left join labels l using (doc_id))"""
+
+
+def ENCODED(name: str, source: str, key: str, text: str, columns: str = "") -> str:  # noqa: N802
+    """Tables that end in `name` (key, vector): the hashed vectors of a table's texts."""
+    return f"""{name}_g as (select {key}, list_transform(range(1, greatest(length(x) - 2, 1) + 1), lambda i: (ord(x[i:i]) * 961 + case when length(x) > 1 then ord(x[i+1:i+1]) else 0 end * 31 + case when length(x) > 2 then ord(x[i+2:i+2]) else 0 end) % 64) as g from (select {key}, {text} as x from (select {columns or "*"} from {source})) where x <> ''),
+{name}_c as (select {key}, list_transform(range(64), lambda k: cast(len(list_filter(g, lambda y: y = k)) as double)) as c from {name}_g),
+{name} as (select {key}, list_transform(c, lambda y: y / sqrt(list_dot_product(c, c))) as vector from {name}_c)"""

@@ -28,9 +28,8 @@ def test_scan_and_resolve(spark):
     texts = spark.createDataFrame([(1, "CHO-K1 produces HCP"), (2, "HCP试剂盒kit"), (3, "available"), (4, "x ab试剂ab"), (5, None), (6, "")], "doc_id long, text string")
     got = sorted((r["doc_id"], r["start"], r["end"], r["canonical"]) for r in E.resolve(E.scan(texts, LEXICON)).collect())
     assert got == [(1, 0, 3, "cho"), (1, 16, 19, "hcp"), (2, 0, 3, "hcp"), (2, 3, 5, "试剂"), (2, 6, 9, "kit"), (3, 5, 7, "ab"), (4, 2, 4, "ab"), (4, 4, 6, "试剂"), (4, 6, 8, "ab")]
-    terms = spark.createDataFrame(LEXICON, "term string, canonical string, type string, priority int")
     spans = lambda df: sorted(tuple(r) for r in df.collect())
-    assert spans(E.scan_columns(texts, terms)) == spans(E.scan(texts, LEXICON))
+    assert spans(E.scan_columns(texts, LEXICON)) == spans(E.scan(texts, LEXICON))
 
 
 def test_resolve_is_the_fold(spark):
@@ -192,8 +191,8 @@ def test_mutation(spark):
 
 
 def test_link(spark):
-    kb = spark.createDataFrame([("k1", "idea", ["ideas"], "T"), ("k2", "zebra", [], "T"), ("k3", "idea", [], "U")], "kb_id string, name string, aliases array<string>, type string").withColumn("kb_vector", E.hashed_vector(F.col("name")))
-    mentions = spark.createDataFrame([(1, 0, "Idea", "T"), (1, 1, "quark", "T"), (1, 2, "x", "none")], "doc_id long, pos int, text string, type string").withColumn("vector", E.hashed_vector(F.col("text")))
+    kb = spark.createDataFrame([("k1", "idea", ["ideas"], "T"), ("k2", "zebra", [], "T"), ("k3", "idea", [], "U")], "kb_id string, name string, aliases array<string>, type string").withColumn("kb_vector", Q.encoder()(F.col("name")))
+    mentions = spark.createDataFrame([(1, 0, "Idea", "T"), (1, 1, "quark", "T"), (1, 2, "x", "none")], "doc_id long, pos int, text string, type string").withColumn("vector", Q.encoder()(F.col("text")))
     assert [(r["pos"], r["linked_id"], r["linking_status"]) for r in E.link(mentions, kb).orderBy("pos").collect()] == [(0, "k1", "linked"), (1, None, "nil"), (2, None, "nil")]
 
 
@@ -212,6 +211,69 @@ def test_stream_is_the_batch(spark, sf_dir, tmp_path):
 
 
 
+def test_store(spark, tmp_path):
+    from tessellum.operators import stores as T
+
+    store = T.Store(spark, f"file://{tmp_path}/store")
+    assert store.tables() == [] and not store.exists("a")
+    one = spark.createDataFrame([(1, "x")], "id int, v string")
+    store.commit({"a": one, "b": one.withColumn("v", F.lit("y"))})
+    before = store.read("a")
+    store.commit({"a": one.limit(0)}, drop=("b",))
+    assert store.tables() == ["a"] and store.read("a").count() == 0 and before.count() == 1 and store.size() >= 0
+    store.append("a", one)
+    assert [tuple(r) for r in store.describe("a").collect()] == [("id", "int"), ("v", "string")] and store.read("a").count() == 1
+    assert T.collection(store, "vectors") and not T.collection(store, "vectors")
+    with pytest.raises(ValueError, match="strings"):
+        T.insert_vectors(store, "vectors", one)
+    rows = spark.createDataFrame([("1", [1.0], '{"content_type": "title"}'), ("2", [2.0], None)], "id string, vector array<float>, metadata string")
+    T.insert_vectors(store, "vectors", rows)
+    assert {(r["id"], r["content_type"]) for r in store.read("vectors").collect()} == {("1", "title"), ("2", "fragment")}
+    with pytest.raises(Exception, match="too long"):
+        T.insert_vectors(store, "vectors", rows.withColumn("element_id", F.repeat(F.lit("x"), 101)))
+    store.commit({"vectors": one})
+    assert T.collection(store, "vectors") and sorted(store.read("vectors").columns) == sorted(T.VECTOR_FIELDS.names)
+
+
+def test_ingestion_by_stages(spark, tmp_path):
+    from tessellum.operators.stores import Store
+
+    docs = spark.createDataFrame([(1, "a b c", 5), (2, " ", 5), (3, "a", 900), (4, None, 1), (4, None, 1)], "doc_id long, text string, n long")
+    docs.write.parquet(str(tmp_path / "in"))
+    store = Store(spark, f"file://{tmp_path}/store")
+    checks = {"extract_failed": F.length(F.trim("text")) > 0, "vectorize_failed": F.col("n") < 100}
+    batch = status.ingest_into(store, "states", checks)
+    status.ingest(spark.readStream.schema(docs.schema).parquet(str(tmp_path / "in")), batch, str(tmp_path / "checkpoint")).awaitTermination(120)
+    want = [(1, "completed"), (2, "extract_failed"), (3, "vectorize_failed"), (4, "extract_failed")]
+    assert sorted(map(tuple, store.read("states").collect())) == want
+    batch(docs, 0)
+    assert sorted(map(tuple, store.read("states").collect())) == want
+
+
+def test_containing(spark):
+    from tessellum.functions.text import containing
+
+    names = ["abcabc", "xbc", "c", "", None, "a.b", "zzabc"]
+    words = ["abc", "bc", "c", "", "a.b", "abcabcd", None, "zabc"]
+    rows = spark.createDataFrame(list(enumerate(names)), "id int, text string")
+    got = containing(rows, "text", spark.createDataFrame([(w,) for w in words], "word string"), "word").select("id", "word").collect()
+    assert sorted(map(tuple, got)) == sorted((i, w) for i, n in enumerate(names) for w in words if n and w and w in n)
+
+
+def test_recall_without_relations(spark):
+    nodes = spark.createDataFrame([("a", "Ann"), ("b", "Bob"), ("c", "Cyd"), ("d", "Annabel")], "id string, text string")
+    edges = spark.createDataFrame([("a", "KNOWS", "b"), ("a", "KNOWS", "gone")], "src string, rel_type string, dst string")
+    queries = spark.createDataFrame([(1, "Ann"), (2, "Cyd"), (3, "none"), (4, "Bob"), (4, "Cyd")], "query_id int, name string")
+    got = {(r["query_id"], r["kind"], r["name"], r["id"]) for r in G.recall(queries, nodes, edges).collect()}
+    assert got == {(1, "graph", "Ann", "a|KNOWS|b"), (2, "graph_entity", "Cyd", "c"), (4, "graph", "Bob", "a|KNOWS|b")}
+
+
+def test_plan_of_paths_is_linear(spark):
+    edges = spark.createDataFrame([("a", "R", "b"), ("b", "R", "c")], "src string, rel_type string, dst string")
+    plan = G.distances(edges, spark.createDataFrame([("a",)], "start string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 0  # each hop has been written
+
+
 def test_distances_reach_all_nodes(spark):
     import random
 
@@ -247,7 +309,7 @@ def test_missing_ends_and_names(spark):
 def test_odd_ids_are_not_left_out(spark, sf_dir):
     from tessellum.plans import graph, relational
 
-    dst = {int(r["dst"][1:]) % 2 for r in graph.graph_upsert_all_edges(spark, sf_dir).select("dst").distinct().collect()}
+    dst = {int(r["dst"][1:]) % 2 for r in graph.graph_upsert_edges(spark, sf_dir).select("dst").distinct().collect()}
     assert dst == {0, 1}
-    names = relational.document_names_all(spark, sf_dir).collect()
+    names = relational.document_names(spark, sf_dir).collect()
     assert any(r["document_id"] % 2 for r in names) and all(r["name"].startswith("doc_") for r in names)
