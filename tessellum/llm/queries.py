@@ -36,7 +36,7 @@ def op3_likelihood_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every dialogue from the perspective of each participant; masks as start-end pairs."""
     mask = F.array_join(F.transform("mask", lambda x: F.concat_ws("-", x["start"], x["end"])), ",").alias("mask")
-    return chat.rotate(table(spark, sf_dir, "conversations")).select("conv_id", "perspective", "block", "n_turns", "n_trained", "rendered", mask)
+    return chat.rotate(table(spark, sf_dir, "conversations")).select("conv_id", "perspective", "block", F.array_join(F.col("part").cast("array<string>"), "/").alias("part"), "n_turns", "n_trained", "rendered", mask)
 
 
 def op5_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,13 +80,13 @@ with parties as (select distinct conv_id, role as perspective from conversations
 m as (
   select c.conv_id, p.perspective, cast(floor(c.turn / 64) as bigint) as block, c.turn, c.role, coalesce(c.text, '') as text, c.role = p.perspective as own,
     case when c.role = p.perspective then '<|assistant|>' || chr(10) when c.role = 'system' then '<|system|>' || chr(10)
-         else '<|user name=' || coalesce(c.role, 'unknown') || '|>' || chr(10) end as head,
-    coalesce(c.text, '') || '<|end|>' || chr(10) as body
+         else '<|user name=' || translate(coalesce(c.role, 'unknown'), '|' || chr(10) || chr(13), '/  ') || '|>' || chr(10) end as head,
+    replace(coalesce(c.text, ''), '<|', '<||') || '<|end|>' || chr(10) as body
   from conversations c join parties p using (conv_id)),
 n as (
   select *, coalesce(sum(length(head) + length(body)) over (partition by conv_id, perspective, block order by turn, role, text rows between unbounded preceding and 1 preceding), 0) + length(head) as begin_at
   from m)
-select conv_id, perspective, block, cast(count(*) as int) as n_turns, cast(count(*) filter (own) as int) as n_trained,
+select conv_id, perspective, block, '' as part, cast(count(*) as int) as n_turns, cast(count(*) filter (own) as int) as n_trained,
   string_agg(head || body, '' order by turn, role, text) as rendered,
   coalesce(string_agg(cast(begin_at as bigint) || '-' || cast(begin_at + length(body) as bigint), ',' order by turn, role, text) filter (own), '') as mask
 from n group by all
