@@ -110,29 +110,38 @@ def encoder(path: str) -> Encoder:
 CACHES["tokenbin"] = encoder.cache_clear
 
 
-def ranged(df: DataFrame, id: str, parts: int) -> DataFrame:
-    """df dealt into parts of ascending ids, in order within each. The limits come from the ids alone, so texts are read once."""
+def ranged(df: DataFrame, id: str, text: str, parts: int) -> DataFrame:
+    """df (id, text) dealt into parts of ascending ids, in order within each; null ids come first.
+
+    The limits come from the ids alone, so texts are read once. An id that is the limit of several parts,
+    as one with many rows is, has its rows dealt among these by ranges of a hash of their texts, so no task
+    gets all of them; rows of one id stand in the order of that hash, then of their texts."""
+    key, hashed = F.coalesce(F.col(id).cast("long"), F.lit(NO_ID)), F.xxhash64(text)
+    rows = df.select(id, text)
     shares = [i / parts for i in range(1, parts)]
-    limits = df.agg(F.percentile_approx(id, shares, max(10_000, 20 * parts)).alias("x")).first()["x"] if shares else None
+    limits = df.agg(F.percentile_approx(key, shares, max(10_000, 20 * parts)).alias("x")).first()["x"] if shares else None
     if not limits:
-        return df.repartitionById(1, F.lit(0)).sortWithinPartitions(*df.columns)
-    table = F.array(*[F.lit(int(x)).cast("long") for x in limits])
+        return rows.repartitionById(1, F.lit(0)).sortWithinPartitions(key, hashed, text)
+    ends = sorted(set(limits))
+    table, first, times = (F.array(*[F.lit(int(x)).cast("long") for x in xs]) for xs in (ends, [*map(limits.index, ends), len(limits)], [*map(limits.count, ends), 1]))
     middle = lambda s: F.floor((s["lo"] + s["hi"]) / 2).cast("int")
 
     def halve(s, _):  # the first limit that is not below the id
-        over = F.try_element_at(table, middle(s) + 1) >= F.col(id)
+        over = F.try_element_at(table, middle(s) + 1) >= key
         done = s["lo"] >= s["hi"]
         return F.struct(F.when(done | over, s["lo"]).otherwise(middle(s) + 1).alias("lo"), F.when(~done & over, middle(s)).otherwise(s["hi"]).alias("hi"))
 
-    steps = F.sequence(F.lit(1), F.lit(len(limits).bit_length() + 1))
-    part = F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.lit(len(limits)).alias("hi")), halve, lambda s: s["lo"])
-    return df.repartitionById(parts, F.when(F.col(id).isNull(), F.lit(0)).otherwise(part)).sortWithinPartitions(*df.columns)
+    steps = F.sequence(F.lit(1), F.lit(len(ends).bit_length() + 1))
+    found = F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.lit(len(ends)).alias("hi")), halve, lambda s: s["lo"])
+    share = (F.shiftrightunsigned(hashed, 33) + (1 << 30)) % (1 << 31) / (1 << 31)  # ascends with the hash
+    within = F.when(F.try_element_at(table, found + 1) == key, F.floor(share * F.element_at(times, found + 1))).otherwise(F.lit(0))
+    return rows.repartitionById(parts, (F.element_at(first, found + 1) + within).cast("int")).sortWithinPartitions(key, hashed, text)
 
 
 def write_tokens(df: DataFrame, out: str, tokenizer: str, end_id: int = 0, id: str = "doc_id", text: str = "text", parts: int | None = None) -> dict:
     """Encode every whole text (null: empty) and an end id after each into files under `out`; the manifest.
 
-    Equal document ids stand next to each other, in order of their texts. Only the parts' lengths
+    Equal document ids stand next to each other, in order of a hash of their texts. Only the parts' lengths
     come to the driver. An empty table gives a manifest without parts. Ids have to be integers of any
     size up to 64 bits (a null one is kept as NO_ID); others are refused. Other columns are left out."""
     if not isinstance(df.schema[id].dataType, IntegralType):
@@ -171,7 +180,7 @@ def write_tokens(df: DataFrame, out: str, tokenizer: str, end_id: int = 0, id: s
             where.move(temporary, final)
         yield pa.RecordBatch.from_pylist([{"part": part, "n_docs": sum(map(len, docs)), "n_ids": at, "width": enc.width.itemsize}], schema=pa.schema([("part", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("width", pa.int32())]))
 
-    written = sorted(ranged(df.select(id, text), id, parts).mapInArrow(run, "part int, n_docs long, n_ids long, width int").collect())
+    written = sorted(ranged(df.select(id, text), id, text, parts).mapInArrow(run, "part int, n_docs long, n_ids long, width int").collect())
     manifest: dict = {"width": written[0]["width"] if written else 2, "parts": []}
     total = 0
     for row in written:

@@ -3,10 +3,13 @@
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tessellum.llm import bpe, tokenbin
@@ -19,6 +22,11 @@ ODD = [
 ]
 
 
+def text_hash(t):
+    h = xxhash.xxh64(t.encode(), seed=42).intdigest() if t is not None else 42
+    return h - (1 << 64 if h >= 1 << 63 else 0)
+
+
 @pytest.fixture(scope="module")
 def library():
     return Tokenizer.from_file(PATH)
@@ -70,7 +78,7 @@ def test_token_files(spark, library):
     got = sorted(tokenbin.read_tokens(spark, out).collect(), key=lambda r: r["start"])
     digests = sorted(tokenbin.read_tokens(spark, out, digests=True).collect(), key=lambda r: r["start"])
     at = 0
-    for (i, t), r, d in zip(sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")), got, digests, strict=True):
+    for (i, t), r, d in zip(sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, text_hash(r[1]), r[1] is not None, r[1] or "")), got, digests, strict=True):
         ids = [*library.encode(t or "", add_special_tokens=False).ids, 0]
         assert (r["doc_id"], r["start"], r["n_tokens"], r["ids"]) == (i, at, len(ids), ids)
         assert d["ids_crc32"] == zlib.crc32(np.array(ids, "<u4").tobytes())
@@ -83,3 +91,13 @@ def test_empty_table(spark):
     assert tokenbin.write_tokens(df, out, PATH)["n_ids"] == 0
     assert tokenbin.read_tokens(spark, out).collect() == []
     assert bpe.bpe_encode(df, PATH).collect() == []
+
+
+def test_rows_of_one_id_are_dealt_among_parts(spark):
+    rows = [(i, f"t{i}") for i in range(60)] + [(7, f"many {k}") for k in range(300)] + [(None, f"none {k}") for k in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = tokenbin.ranged(df, "doc_id", "text", 16).select("doc_id", "text", F.spark_partition_id().alias("part")).collect()
+    sizes = Counter(r["part"] for r in got)
+    assert max(sizes.values()) < 120 and len(sizes) > 8
+    order = [(r["part"], r["doc_id"] is not None, r["doc_id"] or 0, text_hash(r["text"])) for r in got]
+    assert sorted(order) == sorted(order, key=lambda x: (x[1:], x[0])) and len(got) == len(rows)
