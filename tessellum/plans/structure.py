@@ -86,6 +86,14 @@ f as (select b.doc_id, b.section_no, b.section_id, b.elem_id, s.title, b.text as
 """
 
 ORACLES = {
+    "page_elements": r"""with f as (select page_id, regexp_extract_all(html, '(?is)<(?:h1|li|p)\b[^>]*>.*?</(?:h1|li|p)>') as found from pages),
+r as (select page_id, unnest(found) as raw, cast(generate_subscripts(found, 1) - 1 as int) as elem_index from f),
+t as (select *, lower(regexp_extract(raw, '^<([a-zA-Z0-9]+)', 1)) as tag from r),
+x as (select page_id, elem_index, tag, case tag when 'h1' then regexp_extract(raw, '(?is)<h1\b[^>]*>(.*?)</h1>', 1) when 'li' then regexp_extract(raw, '(?is)<li\b[^>]*>(.*?)</li>', 1) else regexp_extract(raw, '(?is)<p\b[^>]*>(.*?)</p>', 1) end as inner_html from t)
+select page_id, elem_index, case tag when 'h1' then 'Title' when 'li' then 'ListItem' else 'NarrativeText' end as elem_type, trim(regexp_replace(regexp_replace(inner_html, '(?s)<[^>]*>', ' ', 'g'), '[ \t\n\r\f\v]+', ' ', 'g'), ' ') as text
+from x where trim(regexp_replace(regexp_replace(inner_html, '(?s)<[^>]*>', ' ', 'g'), '[ \t\n\r\f\v]+', ' ', 'g'), ' ') <> ''""",
+    "document_json": f"""with {SECTIONS}, parts as (select doc_id, section_no, section_id, list({{'order': ord, 'elem_id': elem_id, 'type': type, 'page': page, 'text': text}} order by ord) as blocks from b group by all)
+select doc_id, cast(to_json({{'total_sections': count(*), 'sections': list({{'section_no': section_no, 'section_id': section_id, 'blocks': blocks}} order by section_no)}}) as varchar) as document, count(*) as total_sections from parts group by doc_id""",
     "elements": f"with {BLOCKS} select doc_id, cast(elem_index as int) as elem_index, elem_type, l.line as text, page from (select doc_id, elem_index, elem_type, page from el) join (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as elem_index from documents) l using (doc_id, elem_index)",
     "blocks": f'with {BLOCKS} select doc_id, section_id, ord as "order", elem_id, type, page, text from b',
     "sections": f"with {SECTIONS} select doc_id, section_id, title, page_start, page_end, full_text, n_blocks from s",
