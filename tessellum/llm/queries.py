@@ -74,6 +74,9 @@ def op10_slot_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_subsequence_kernel, op2_sentence_spans, op3_likelihood_ratio, op4_perspective_rotation, op5_positional_index, op6_superminhash, op7_url_rules, op8_token_files, op9_bpe_round_trip, op10_slot_sharding)}
 
+#: A text with A-Z in lower case.
+_FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 ORACLES = {
     "op4_perspective_rotation": """
 with parties as (select distinct conv_id, role as perspective from conversations where role <> 'system'),
@@ -102,5 +105,26 @@ f as (
     row_number() over (partition by page_id order by length(r.host || r.path) desc nulls last, length(r.host) desc, r.action desc) as n
   from p left join r on (p.host = r.host or ends_with(p.host, '.' || r.host)) and starts_with(p.path, r.path))
 select page_id, host, path, rule, coalesce(action, 'allow') as verdict from f where n = 1
+""",
+    "op5_positional_index": f"""
+with d as (select doc_id, regexp_extract_all({_FOLDED}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from documents),
+t as (select item_id, regexp_extract_all({_FOLDED}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from benchmark),
+iw as (select distinct item_id, n, array_to_string(w[i:i + n - 1], ' ') as g from (select item_id, w, n, unnest(range(1, len(w) - n + 2)) as i from (select *, least(10, len(w)) as n from t where len(w) > 0))),
+dw as (select doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') as g from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as i from d, (select distinct n from iw) where len(w) >= n)),
+hits as (select doc_id, i, n, item_id from dw join iw using (n, g)),
+covered as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + n)) as p from hits) group by doc_id),
+found as (select doc_id, count(*) as n_items, string_agg(id, ',' order by id) as ids from (select distinct doc_id, cast(item_id as varchar) as id from hits) group by doc_id)
+select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join covered using (doc_id) left join found using (doc_id)
+""",
+    "op6_superminhash": f"""
+with recursive d as (select doc_id, regexp_extract_all({_FOLDED}, '[^\\x20\\x09-\\x0D]+') as w from documents),
+s as (select doc_id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')] else list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) end as g from d),
+e as (select doc_id, len(g) as n, unnest(g) as x from s),
+c as (select a.doc_id as a, b.doc_id as b, count(*) as k, any_value(a.n) + any_value(b.n) as n from e a join e b on a.x = b.x and a.doc_id < b.doc_id group by all),
+l as (select a, b from c where 100 * k >= 75 * (n - k) union all select b, a from c where 100 * k >= 75 * (n - k)),
+reach(doc_id, r) as (select doc_id, doc_id from s union select doc_id, l.b from reach join l on reach.r = l.a),
+m as (select doc_id, min(r) as component_id from reach group by doc_id)
+select doc_id, cast(len(g) as bigint) as n_shingles, component_id, doc_id = component_id as kept from s join m using (doc_id)
 """,
 }

@@ -107,7 +107,7 @@ def test_stages_decide_by_row(spark, small):
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_oracle(spark, sf_dir, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "conversations"):
+    for t in ("documents", "pages", "conversations", "benchmark"):
         con.execute(f"create view {t} as select * from '{sf_dir}/{t}.parquet'")
     cursor = con.execute(queries.ORACLES[name])
     columns = [c[0] for c in cursor.description]
