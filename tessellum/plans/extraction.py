@@ -193,6 +193,10 @@ select o.section_id || '_' || o.elem_id as block_id, o.page, cast(1.0 as double)
     "sentences": f'with {_SENT} select doc_id, sent_no, sentence, start, "end" from sent',
     "cooccurrence": f"{_REL} select doc_id, relation, count(*) as n from r group by all",
     "relation_evidence": f"{_REL} select doc_id, head, relation, tail, arg_min(head_type, (window_no, hp, tp_)) as head_type, arg_min(tail_type, (window_no, hp, tp_)) as tail_type, cast(0.6 as double) as confidence, count(*) as evidence_count, md5(string_agg(evidence, ' | ' order by window_no, hp, tp_, evidence)) as evidence_md5 from r group by doc_id, head, relation, tail",
+    "sentence_relations": f"""with {_M}, {_SENT}, i as (select sent.doc_id, sent_no, sentence, m.text, row_number() over (partition by sent.doc_id, sent_no order by pos) as k from m join sent on sent.doc_id = m.doc_id and m.start >= sent.start and m.start < sent."end"),
+f as (select doc_id, sent_no, sentence, max(text) filter (k = 1) as head, max(text) filter (k = 2) as tail from i group by all having count(*) > 1),
+r as (select doc_id, head, 'joins' as relation, tail, len(regexp_extract_all(sentence, '(?i)[\\p{{L}}\\p{{N}}_]+\\s*and\\s*[\\p{{L}}\\p{{N}}_]+')) as times from f union all select doc_id, head, 'is_of', tail, len(regexp_extract_all(sentence, '(?i)[\\p{{L}}\\p{{N}}_]+\\s+of\\s+[\\p{{L}}\\p{{N}}_]+')) from f)
+select doc_id, head, relation, tail, cast(sum(times) as bigint) as n from r where times > 0 group by all""",
     "entity_ids": f"with {_M} select doc_id, text, arg_max('local_' || doc_id || '_' || start || '_' || \"end\", pos) as id, arg_max(type, pos) as type from m group by doc_id, text",
     "mention_context": f"with {_M} select m.doc_id, m.start, m.text, md5(trim(d.text[greatest(m.start - 50, 0) + 1 : m.start] || ' ' || d.text[m.\"end\" + 1 : m.\"end\" + 50], ' ')) as context_md5 from m join documents d using (doc_id)",
 }

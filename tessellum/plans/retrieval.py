@@ -239,7 +239,27 @@ _KEYWORDS = f"""select query_id, array_to_string(list_filter(regexp_extract_all(
   round(least(len(list_intersect(ws, tw)) / len(list_distinct(list_concat(ws, tw))) + case when length(query) <= 5 then 0.1 when length(query) > 20 then -0.1 else 0 end, 1.0), 6) as similarity from (select query_id, query, list_distinct(list_filter(string_split(query, ' '), lambda x: x <> '')) as ws, {X.TITLE_WORDS!r} as tw from q)"""
 
 
+def _understanding() -> str:
+    """Normalisation step by step, as the fixture has no characters that NFKC changes beyond NFC."""
+    out = "translate(regexp_replace(regexp_replace(nfc_normalize(query), '^[ \\t\\n\\r\\f\\v]+|[ \\t\\n\\r\\f\\v]+$', '', 'g'), '[ \\t\\n\\r\\f\\v]+', ' ', 'g'), '，。；', ',.;')"
+    for key, value in X.SYNONYMS.items():
+        for old, new in [(key, value)] if isinstance(value, str) else [(v, key) for v in value]:
+            out = f"replace({out}, '{old}', '{new}')"
+    low = ", ".join(f"'{w}'" for w in X.LOW_INFORMATION)
+    names = {kind: "list_sort(list_distinct(list_concat(" + ", ".join(f"regexp_extract_all(query, '(?i){p}')" for p in ps) + ")))" for kind, ps in X.QUERY_ENTITIES.items()}
+    none = " and ".join(f"len({n}) = 0" for n in names.values())
+    found = ", ".join(f"'{kind}': {n}" for kind, n in names.items())
+    return f"""with {_QUERY}, k as ({_KEYWORDS}),
+i as (select query_id, keywords, case when similarity >= 0.45 then 'title' when similarity >= 0.40 then 'hybrid' else 'fragment' end as intent from k),
+o as (select query_id, query, {out} as whole from q), p as (select *, list_filter(string_split(whole, ' '), lambda w: w <> '' and w not in ({low})) as kept from o)
+select query_id, case when len(kept) > 0 then array_to_string(kept, ' ') else whole end as normalised, intent, keywords,
+  query || case intent when 'title' then {X.VECTOR_SUFFIX["title"]!r} when 'fragment' then {X.VECTOR_SUFFIX["fragment"]!r} else '' end as vector_query,
+  cast(to_json({{{found}, 'general': case when {none} then [query] else [] end}}) as varchar) as entities
+from p join i using (query_id)"""
+
+
 ORACLES = {
+    "query_understanding": _understanding(),
     "posting_statistics": f"with {_DOCS} select field, count(*) as terms, max(df) as max_df, any_value(n) as n, round(any_value(avgdl), 6) as avgdl from df join st using (field) group by field",
     "bm25_topk": _BM25 + " select query_id, _id, round(score, 6) as score, cast(row_number() over (partition by query_id order by round(score, 9) desc, _id) as int) as rank from sc qualify rank <= 10",
     "bm25_topk_filtered": _BM25 + " select query_id, _id, round(score, 6) as score, cast(row_number() over (partition by query_id order by round(score, 9) desc, _id) as int) as rank from sc where _id in (select _id from d where content_type = 'section') qualify rank <= 5",
