@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessellum.operators import structure as S
 from tessellum.plans.sql import BLOCKS, SECTIONS
+from tessellum.sources.files import partition_files
 from tessellum.sources.fixtures import html_elements, table, text_elements
 
 
@@ -22,6 +23,13 @@ def page_elements(spark, sf_dir):
     return html_elements(table(spark, sf_dir, "pages"))
 
 
+def partitioned_files(spark, sf_dir):
+    """Elements of files by their kinds: pages as HTML, documents as plain text, and bytes of a kind without a model."""
+    pages = table(spark, sf_dir, "pages").select(F.concat(F.lit("p/"), "page_id", F.lit(".HTML")).alias("path"), F.encode("html", "UTF-8").alias("content"))
+    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("d/"), "doc_id", F.when(F.col("doc_id") % 2 == 0, ".txt").otherwise(".pdf")).alias("path"), F.encode("text", "UTF-8").alias("content"))
+    return partition_files(pages.union(docs))
+
+
 def blocks(spark, sf_dir):
     return _blocks(spark, sf_dir).select("doc_id", "section_id", "order", "elem_id", "type", "page", "text")
 
@@ -70,7 +78,7 @@ def document_json(spark, sf_dir):
     return parts.groupBy("doc_id").agg(F.to_json(F.struct(F.count("*").alias("total_sections"), F.array_sort(F.collect_list(section)).alias("sections"))).alias("document"), F.count("*").alias("total_sections"))
 
 
-QUERIES = {f.__name__: f for f in (elements, page_elements, blocks, sections, content_units, search_documents, search_documents_colliding, text_offsets, section_rows, table_heads, table_lines, text_chunks, document_json)}
+QUERIES = {f.__name__: f for f in (elements, page_elements, partitioned_files, blocks, sections, content_units, search_documents, search_documents_colliding, text_offsets, section_rows, table_heads, table_lines, text_chunks, document_json)}
 
 _UNITS = f"""with {SECTIONS},
 u as (
@@ -85,13 +93,16 @@ w as (select doc_id || '_section_' || section_id as _id, doc_id, section_id, sec
 f as (select b.doc_id, b.section_no, b.section_id, b.elem_id, s.title, b.text as content, case when length(b.text) > 200 then b.text[1:200] || '...' else b.text end as summary, b.page from b join s using (section_id))
 """
 
-ORACLES = {
-    "page_elements": r"""with f as (select page_id, regexp_extract_all(html, '(?is)<(?:h1|li|p)\b[^>]*>.*?</(?:h1|li|p)>') as found from pages),
+_PAGES = r"""with f as (select page_id, regexp_extract_all(html, '(?is)<(?:h1|li|p)\b[^>]*>.*?</(?:h1|li|p)>') as found from pages),
 r as (select page_id, unnest(found) as raw, cast(generate_subscripts(found, 1) - 1 as int) as elem_index from f),
 t as (select *, lower(regexp_extract(raw, '^<([a-zA-Z0-9]+)', 1)) as tag from r),
 x as (select page_id, elem_index, tag, case tag when 'h1' then regexp_extract(raw, '(?is)<h1\b[^>]*>(.*?)</h1>', 1) when 'li' then regexp_extract(raw, '(?is)<li\b[^>]*>(.*?)</li>', 1) else regexp_extract(raw, '(?is)<p\b[^>]*>(.*?)</p>', 1) end as inner_html from t)
 select page_id, elem_index, case tag when 'h1' then 'Title' when 'li' then 'ListItem' else 'NarrativeText' end as elem_type, trim(regexp_replace(regexp_replace(inner_html, '(?s)<[^>]*>', ' ', 'g'), '[ \t\n\r\f\v]+', ' ', 'g'), ' ') as text
-from x where trim(regexp_replace(regexp_replace(inner_html, '(?s)<[^>]*>', ' ', 'g'), '[ \t\n\r\f\v]+', ' ', 'g'), ' ') <> ''""",
+from x where trim(regexp_replace(regexp_replace(inner_html, '(?s)<[^>]*>', ' ', 'g'), '[ \t\n\r\f\v]+', ' ', 'g'), ' ') <> ''"""
+
+ORACLES = {
+    "page_elements": _PAGES,
+    "partitioned_files": f"with {BLOCKS}, g as ({_PAGES}) select 'd/' || doc_id || '.txt' as path, cast(elem_index as int) as elem_index, elem_type, text, page from el where doc_id % 2 = 0 union all select 'p/' || page_id || '.HTML', elem_index, elem_type, text, 1 from g",
     "document_json": f"""with {SECTIONS}, parts as (select doc_id, section_no, section_id, list({{'order': ord, 'elem_id': elem_id, 'type': type, 'page': page, 'text': text}} order by ord) as blocks from b group by all)
 select doc_id, cast(to_json({{'total_sections': count(*), 'sections': list({{'section_no': section_no, 'section_id': section_id, 'blocks': blocks}} order by section_no)}}) as varchar) as document, count(*) as total_sections from parts group by doc_id""",
     "elements": f"with {BLOCKS} select doc_id, cast(elem_index as int) as elem_index, elem_type, l.line as text, page from (select doc_id, elem_index, elem_type, page from el) join (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as elem_index from documents) l using (doc_id, elem_index)",

@@ -250,6 +250,20 @@ def test_ingestion_by_stages(spark, tmp_path):
     assert sorted(map(tuple, store.read("states").collect())) == want
 
 
+def test_files_of_a_folder(spark, tmp_path):
+    from tessellum.sources.files import partition_files, read_files
+
+    (tmp_path / "a.html").write_text("<h1>One &amp; x</h1><p>two <b>three</b></p><p> </p>", encoding="utf-8")
+    (tmp_path / "b.txt").write_bytes("测试 a line of a text that is longer than any title is\n\n| c |".encode("gbk"))
+    (tmp_path / "c.pdf").write_bytes(b"%PDF")
+    (tmp_path / "d.md").write_bytes(b"\n")
+    files = read_files(spark, str(tmp_path))
+    assert files.count() == 4
+    got = sorted((r["path"][-6:], r["elem_index"], r["elem_type"], r["text"], r["page"]) for r in partition_files(files).collect())
+    assert [g[:3] for g in got] == [("/b.txt", 0, "NarrativeText"), ("/b.txt", 2, "Table"), ("a.html", 0, "Title"), ("a.html", 1, "NarrativeText")]
+    assert {g[3] for g in got} >= {"two three", "| c |"} and any(g[3].startswith("测试") for g in got)
+
+
 def test_containing(spark):
     from tessellum.functions.text import containing
 
