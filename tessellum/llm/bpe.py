@@ -212,7 +212,8 @@ def decimal_table(size: int) -> tuple[np.ndarray, np.ndarray]:
 def round_trip_digests(df: DataFrame, path: str, id: str = "doc_id", text: str = "text", keep_ids: bool = False) -> DataFrame:
     """Rows (id, n_tokens, ids_sha256, decoded_sha256): every text encoded, then decoded from its ids; keep_ids adds the ids.
 
-    Null or empty text: no tokens, both digests of the empty string."""
+    Null or empty text: no tokens, both digests of the empty string. Rows that repeat stay, other columns
+    are left out, whatever their names; an empty table gives no rows."""
     from hashlib import sha256
 
     names = [id, "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * keep_ids]

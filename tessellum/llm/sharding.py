@@ -49,7 +49,8 @@ def lookup_table(shards: Sequence[str], slots: int = SLOTS) -> list[int]:
 def place(df: DataFrame, keys: Sequence[str], shards: Sequence[str], slots: int = SLOTS, slot: str = "slot", shard: str = "shard") -> DataFrame:
     """df with the slot and the shard of each row's keys.
 
-    Equal keys go to the same shard; null is a key like any other; clashing columns are replaced."""
+    Equal keys go to the same shard; null is a key like any other; clashing columns are replaced;
+    rows that repeat stay; an empty table stays empty."""
     spark = df.sparkSession
     table = spark.createDataFrame([(i, shards[s]) for i, s in enumerate(lookup_table(shards, slots))], "__slot int, __shard string")
     rows = df.drop(*({slot, shard} - set(keys))).withColumn("__slot", F.pmod(F.xxhash64(*[F.col(f"`{k}`") for k in keys]), F.lit(slots)).cast("int"))

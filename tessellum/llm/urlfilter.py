@@ -31,7 +31,8 @@ def judge(urls: DataFrame, rules: DataFrame, url: str = "url", default: str = "a
 
     rules: (action, host, path), in lower-case hosts. Every row stays, also repeated ones. A null URL,
     or one without ://, has an empty host and path, so no rule fits and the default holds. Columns of
-    urls that are named like the new ones are replaced."""
+    urls that are named like the new ones are replaced. An empty table of urls stays empty; without
+    rules the default holds for all."""
     ours = ["host", "path", "rule", "verdict"]
     expression = F.concat("host", "path")
     rules = rules.select(
