@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessellum.llm import bpe, chat, decontam, near_dedup, quality, sharding, span_dedup, tokenbin, toxicity, urlfilter
+from tessellum.llm import bpe, chat, decontam, near_dedup, oracles, quality, repair, secrets, sharding, span_dedup, tokenbin, toxicity, trie, urlfilter
 from tessellum.llm.common import fresh_path, table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -72,7 +72,23 @@ def op10_slot_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(table(spark, sf_dir, "documents").select("doc_id"), ["doc_id"], SHARDS)
 
 
-QUERIES = {f.__name__: f for f in (op1_subsequence_kernel, op2_sentence_spans, op3_likelihood_ratio, op4_perspective_rotation, op5_positional_index, op6_superminhash, op7_url_rules, op8_token_files, op9_bpe_round_trip, op10_slot_sharding)}
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of rebuilt conversations."""
+    return trie.rebuilt_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cheapest repair of every conversation after planted damage."""
+    conversations = table(spark, sf_dir, "conversations")
+    return repair.repair(conversations, repair.damaged(repair.spaced(conversations)))
+
+
+def op13_secret_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The secrets of every document; a source is an owner, with a repository for each language."""
+    return secrets.find(table(spark, sf_dir, "documents"), F.concat_ws("/", "source", "lang"), F.col("source"))
+
+
+QUERIES = {f.__name__: f for f in (op1_subsequence_kernel, op2_sentence_spans, op3_likelihood_ratio, op4_perspective_rotation, op5_positional_index, op6_superminhash, op7_url_rules, op8_token_files, op9_bpe_round_trip, op10_slot_sharding, op11_prefix_trie, op12_turn_repair, op13_secret_owners)}
 
 #: A text with A-Z in lower case.
 _FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -127,4 +143,7 @@ reach(doc_id, r) as (select doc_id, doc_id from s union select doc_id, l.b from
 m as (select doc_id, min(r) as component_id from reach group by doc_id)
 select doc_id, cast(len(g) as bigint) as n_shingles, component_id, doc_id = component_id as kept from s join m using (doc_id)
 """,
+    "op11_prefix_trie": oracles.TRIE,
+    "op12_turn_repair": oracles.REPAIR,
+    "op13_secret_owners": oracles.SECRETS,
 }
