@@ -10,11 +10,13 @@ import re
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessellum.functions.text import fold_width
+from tessellum.operators.intervals import containing_point, overlapping
 from tessellum.operators.retrieval import cosine
 
 #: Rule patterns of entities, patterns of relations, and relations by the kinds of their ends.
@@ -78,23 +80,42 @@ def scan_columns(texts: DataFrame, terms: Sequence[tuple]) -> DataFrame:
 
 
 def resolve(spans: DataFrame) -> DataFrame:
-    """One span of each conflict: in order of starts and ends, a group is a span and all later ones that begin before its end; its first of the least priority number stays."""
+    """One span of each conflict: in order of starts and ends, a group is a span and all later ones that begin before its end; its first of the least priority number stays.
+
+    Sorted spans go by one after the other, and a task keeps the group at hand alone, so a document may
+    have any number of them. Spans without a start or end are left out."""
     fields = ["start", "end", "priority", "text", "canonical", "type"]
-    kind = spans.select(*fields).schema
-    ordered = spans.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("s"))
-    item = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in kind)
-    none = F.lit(None).cast(f"struct<{item}>")
-    start = F.struct(F.lit(-1).alias("limit"), none.alias("best"), F.array().cast(f"array<struct<{item}>>").alias("done"))
+    schema = spans.select("doc_id", F.lit(0).alias("pos"), *fields).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc, open_group, limit, pos, lead, held = None, False, 0, 0, None, None
 
-    def step(acc, x):
-        within = x["start"] < acc["limit"]
-        better = x["priority"] < acc["best"]["priority"]
-        joined = F.struct(acc["limit"].alias("limit"), F.when(better, x).otherwise(acc["best"]).alias("best"), acc["done"].alias("done"))
-        opened = F.struct(x["end"].alias("limit"), x.alias("best"), F.when(acc["best"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["best"]))).alias("done"))
-        return F.when(within, joined).otherwise(opened)
+        def shaped(rows: pa.RecordBatch, places: list[int]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([rows.column(0), pa.array(places, pa.int32()), *rows.columns[1:]], schema.names)
 
-    done = F.aggregate("s", start, step, lambda acc: F.concat(acc["done"], F.array(acc["best"])))
-    return ordered.select("doc_id", F.posexplode(done).alias("pos", "m")).select("doc_id", "pos", "m.*")
+        for batch in batches:
+            best, kept, places = None, [], []  # best: the row in this batch that leads the group; held: the one of an earlier batch
+            for i, (d, start, end, priority) in enumerate(zip(*[batch.column(c).to_pylist() for c in ("doc_id", "start", "end", "priority")])):
+                if open_group and d == doc and start < limit:
+                    if priority is not None and lead is not None and priority < lead:
+                        best, lead, held = i, priority, None
+                    continue
+                if held is not None:
+                    yield shaped(held, [pos])
+                    held = None
+                elif best is not None:
+                    kept.append(best), places.append(pos)
+                pos = pos + 1 if open_group and d == doc else 0
+                doc, open_group, limit, lead, best = d, True, end, priority, i
+            if kept:
+                yield shaped(batch.take(pa.array(kept)), places)
+            if best is not None:
+                held = batch.take(pa.array([best]))
+        if held is not None:
+            yield shaped(held, [pos])
+
+    rows = spans.select("doc_id", *fields).filter("start is not null and end is not null")
+    return rows.repartition("doc_id").sortWithinPartitions("doc_id", *fields).mapInArrow(run, schema)
 
 
 def pattern_entities(texts: DataFrame, patterns: Sequence[tuple[str, str]] = NER_PATTERNS, confidence: float = 0.8) -> DataFrame:
@@ -161,9 +182,9 @@ def with_bucket(spans: DataFrame, least: float = 0.5) -> DataFrame:
 
 def merge_with_anchors(anchors: DataFrame, entities: DataFrame) -> DataFrame:
     """All anchors, then entities that overlap none, each in order of starts; `pos` counts through both."""
-    a, e = anchors.alias("a"), entities.alias("e")
-    overlap = (F.col("a.doc_id") == F.col("e.doc_id")) & (F.col("a.start") < F.col("e.end")) & (F.col("a.end") > F.col("e.start"))
-    free = e.join(a, overlap, "left_anti")
+    places = ["doc_id", "start", "end"]
+    taken = overlapping(entities.select(*places).distinct(), anchors.select("doc_id", F.col("start").alias("a_start"), F.col("end").alias("a_end")), ["doc_id"], right_span=("a_start", "a_end"))
+    free = entities.join(taken.select(*places).distinct(), places, "left_anti")
     both = anchors.select("doc_id", F.lit(0).alias("src"), "pos", "start", "end", "text", "type", F.lit(1.0).alias("confidence"), F.lit("rule_anchor").alias("source")).unionByName(free.select("doc_id", F.lit(1).alias("src"), "pos", "start", "end", "text", "type", "confidence", F.lit("statistical_ner").alias("source")))
     pos = (F.row_number().over(W.partitionBy("doc_id").orderBy("src", "start", "pos")) - 1).alias("pos")
     return both.select("doc_id", pos, "start", "end", "text", "type", "confidence", "source")
@@ -171,8 +192,9 @@ def merge_with_anchors(anchors: DataFrame, entities: DataFrame) -> DataFrame:
 
 def align(spans: DataFrame, blocks: DataFrame) -> DataFrame:
     """Spans with the block they start in; blocks: (doc_id, start, end, ...) that don't overlap."""
-    b = blocks.select(F.col("doc_id").alias("b_doc"), F.col("start").alias("b_start"), F.col("end").alias("b_end"), F.col("elem_id").alias("block_id"), F.col("page").alias("page"))
-    return spans.join(b, (F.col("doc_id") == F.col("b_doc")) & (F.col("start") >= F.col("b_start")) & (F.col("start") < F.col("b_end")), "left").drop("b_doc", "b_start", "b_end")
+    b = blocks.select("doc_id", F.col("start").alias("b_start"), F.col("end").alias("b_end"), F.col("elem_id").alias("block_id"), "page")
+    found = containing_point(spans.select("doc_id", "start").distinct(), b, ["doc_id"], "start", ("b_start", "b_end")).drop("b_start", "b_end")
+    return spans.join(found, ["doc_id", "start"], "left").select(*spans.columns, "block_id", "page")
 
 
 def sentences(texts: DataFrame) -> DataFrame:
@@ -184,30 +206,44 @@ def sentences(texts: DataFrame) -> DataFrame:
     return rows.select("doc_id", (F.row_number().over(w) - 1).alias("sent_no"), "sentence", "start", "end")
 
 
-def in_sentences(mentions: DataFrame, sentences_: DataFrame) -> DataFrame:
-    s = sentences_.select(F.col("doc_id").alias("s_doc"), "sent_no", "sentence", F.col("start").alias("s_start"), F.col("end").alias("s_end"))
-    return mentions.join(s, (F.col("doc_id") == F.col("s_doc")) & (F.col("start") >= F.col("s_start")) & (F.col("start") < F.col("s_end"))).drop("s_doc")
+def in_spans(mentions: DataFrame, spans: DataFrame, number: str) -> DataFrame:
+    """Mentions with the number of each span of their document that they start in; spans: (doc_id, number, start, end)."""
+    s = spans.select("doc_id", number, F.col("start").alias("s_start"), F.col("end").alias("s_end"))
+    found = containing_point(mentions.select("doc_id", "start").distinct(), s, ["doc_id"], "start", ("s_start", "s_end")).drop("s_start", "s_end")
+    return mentions.join(found, ["doc_id", "start"])
 
 
 def sentence_relations(mentions: DataFrame, sentences_: DataFrame, patterns: Sequence[tuple[str, str]] = RELATION_PATTERNS, confidence: float = 0.8) -> DataFrame:
     """For every match of a pattern in a sentence with two mentions: a relation of its first two mentions."""
-    rows = in_sentences(mentions, sentences_)
+    rows = in_spans(mentions, sentences_, "sent_no")
     rank = F.row_number().over(W.partitionBy("doc_id", "sent_no").orderBy("pos"))
-    firsts = rows.withColumn("n", rank).filter("n <= 2").groupBy("doc_id", "sent_no", "sentence").agg(F.max(F.when(F.col("n") == 1, F.struct("text", "type", "start", "end"))).alias("head"), F.max(F.when(F.col("n") == 2, F.struct("text", "type", "start", "end"))).alias("tail")).filter("tail is not null")
+    firsts = rows.withColumn("n", rank).filter("n <= 2").groupBy("doc_id", "sent_no").agg(F.max(F.when(F.col("n") == 1, F.struct("text", "type", "start", "end"))).alias("head"), F.max(F.when(F.col("n") == 2, F.struct("text", "type", "start", "end"))).alias("tail")).filter("tail is not null")
+    firsts = firsts.join(sentences_.select("doc_id", "sent_no", "sentence"), ["doc_id", "sent_no"])  # texts of sentences with two mentions alone
     rules = F.array(*[F.struct(F.lit(i).alias("rule"), F.lit(kind).alias("relation"), F.regexp_count("sentence", F.lit(f"(?iU){p}")).alias("times")) for i, (kind, p) in enumerate(patterns)])
     hits = firsts.select("*", F.explode(F.filter(rules, lambda r: r["times"] > 0)).alias("r")).select("*", F.posexplode(F.sequence(F.lit(1), F.col("r.times"))).alias("nth", "__i"))
     return hits.select("doc_id", F.col("head.text").alias("head"), F.col("head.type").alias("head_type"), F.col("tail.text").alias("tail"), F.col("tail.type").alias("tail_type"), F.col("r.relation").alias("relation"), F.lit(confidence).alias("confidence"), F.col("sentence").alias("evidence"), F.struct("sent_no", F.col("r.rule").alias("a"), F.col("nth").alias("b")).alias("at"), F.lit("sentence").alias("method"))
 
 
-def window_relations(mentions: DataFrame, sentences_: DataFrame, pairs: Sequence[tuple[str, str, str]] = TYPE_PAIRS, confidence: float = 0.6) -> DataFrame:
-    """For every two neighbouring sentences: all ordered pairs of mentions whose types make a relation."""
+def sentence_windows(sentences_: DataFrame) -> DataFrame:
+    """Every two neighbouring sentences: (doc_id, window, evidence, start, end)."""
     w = W.partitionBy("doc_id").orderBy("sent_no")
-    windows = sentences_.withColumn("next", F.lead("sentence").over(w)).withColumn("w_end", F.lead("end").over(w)).filter("next is not null").select(F.col("doc_id").alias("w_doc"), F.col("sent_no").alias("window"), F.concat_ws(" ", "sentence", "next").alias("evidence"), F.col("start").alias("w_start"), "w_end")
-    inside = mentions.join(windows, (F.col("doc_id") == F.col("w_doc")) & (F.col("start") >= F.col("w_start")) & (F.col("start") < F.col("w_end"))).select("doc_id", "window", "evidence", "pos", "text", "type")
+    rows = sentences_.withColumn("next", F.lead("sentence").over(w)).withColumn("w_end", F.lead("end").over(w)).filter("next is not null")
+    return rows.select("doc_id", F.col("sent_no").alias("window"), F.concat_ws(" ", "sentence", "next").alias("evidence"), "start", F.col("w_end").alias("end"))
+
+
+def window_pairs(mentions: DataFrame, windows: DataFrame, pairs: Sequence[tuple[str, str, str]] = TYPE_PAIRS) -> DataFrame:
+    """All ordered pairs of mentions in a window whose types make a relation, without texts of windows."""
+    inside = in_spans(mentions.select("doc_id", "start", "pos", "text", "type"), windows, "window")
     kinds = mentions.sparkSession.createDataFrame(list(pairs), "head_type string, tail_type string, relation string")
-    h = inside.select("doc_id", "window", "evidence", F.col("pos").alias("h"), F.col("text").alias("head"), F.col("type").alias("head_type")).join(F.broadcast(kinds), "head_type")
+    h = inside.select("doc_id", "window", F.col("pos").alias("h"), F.col("text").alias("head"), F.col("type").alias("head_type")).join(F.broadcast(kinds), "head_type")
     t = inside.select("doc_id", "window", F.col("pos").alias("t"), F.col("text").alias("tail"), F.col("type").alias("tail_type"))
-    rows = h.join(t, ["doc_id", "window", "tail_type"]).filter("h < t")
+    return h.join(t, ["doc_id", "window", "tail_type"]).filter("h < t")
+
+
+def window_relations(mentions: DataFrame, sentences_: DataFrame, pairs: Sequence[tuple[str, str, str]] = TYPE_PAIRS, confidence: float = 0.6) -> DataFrame:
+    """For every two neighbouring sentences: all ordered pairs of mentions whose types make a relation."""
+    windows = sentence_windows(sentences_)
+    rows = window_pairs(mentions, windows, pairs).join(windows.select("doc_id", "window", "evidence"), ["doc_id", "window"])
     return rows.select("doc_id", "head", "head_type", "tail", "tail_type", "relation", F.lit(confidence).alias("confidence"), "evidence", F.struct(F.col("window").alias("sent_no"), F.col("h").alias("a"), F.col("t").alias("b")).alias("at"), F.lit("window").alias("method"))
 
 

@@ -77,7 +77,8 @@ def _relations(spark, sf_dir):
 
 
 def cooccurrence(spark, sf_dir):
-    return _relations(spark, sf_dir).groupBy("doc_id", "relation").agg(F.count("*").alias("n"))
+    windows = E.sentence_windows(E.sentences(_texts(spark, sf_dir)))
+    return E.window_pairs(_spans(spark, sf_dir), windows).groupBy("doc_id", "relation").agg(F.count("*").alias("n"))
 
 
 def relation_evidence(spark, sf_dir):
