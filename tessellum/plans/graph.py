@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessellum.operators import graph as G
+from tessellum.operators import paths as P
 from tessellum.sources.fixtures import table
 
 
@@ -65,6 +66,33 @@ def graph_distances(spark, sf_dir):
     return G.distances(edges, nodes.filter("cast(substring(id, 2) as long) % 50 = 0").select(F.col("id").alias("start")))
 
 
+def graph_paths(spark, sf_dir):
+    """The path between each customer and supplier that traded in one order, for the suppliers whose number is divisible by 50."""
+    _, edges = _graph(spark, sf_dir)
+    traded = table(spark, sf_dir, "lineitem").filter("l_suppkey % 50 = 0").select("l_orderkey", "l_suppkey").join(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    pairs = traded.select(F.concat(F.lit("s"), "l_suppkey").alias("start"), F.concat(F.lit("c"), "o_custkey").alias("end")).distinct()
+    return P.shortest_path_rows(edges, pairs).select("start", "end", "hops", F.array_join("nodes", "/").alias("nodes"), F.array_join("vias", "/").alias("vias"))
+
+
+def graph_pattern_one_hop(spark, sf_dir):
+    """(a:Supplier)-[:BASED_IN]->(b:Nation {document_id: 2})"""
+    nodes, edges = _graph(spark, sf_dir)
+    return P.match(nodes, edges, P.Node("a", "Supplier"), P.Edge(["BASED_IN"]), P.Node("b", "Nation", {"document_id": 2}))
+
+
+def graph_pattern_two_hops(spark, sf_dir):
+    """(a:Supplier)-[:BASED_IN]->(b)-[:PART_OF]->(c:Region) where the region's name begins with A"""
+    nodes, edges = _graph(spark, sf_dir)
+    return P.match(nodes, edges, P.Node("a", "Supplier"), P.Edge(["BASED_IN"]), P.Node("b"), P.Edge(["PART_OF"]), P.Node("c", "Region", where=F.startswith("text", F.lit("A"))))
+
+
+def graph_pattern_any_way(spark, sf_dir):
+    """(a:Supplier)-[]-(b:Nation)-[:LIVES_IN]-(c:Customer) where both numbers are divisible by 25"""
+    nodes, edges = _graph(spark, sf_dir)
+    fits = F.expr("cast(substring(id, 2) as long) % 25 = 0")
+    return P.match(nodes, edges, P.Node("a", "Supplier", where=fits), P.Edge(direction="any"), P.Node("b", "Nation"), P.Edge(["LIVES_IN"], "in"), P.Node("c", "Customer", where=fits))
+
+
 def graph_delete_document(spark, sf_dir):
     nodes, edges = G.delete_document(*_graph(spark, sf_dir), 3)
     return nodes.agg(F.count("*").alias("nodes")).crossJoin(edges.agg(F.count("*").alias("edges")))
@@ -93,7 +121,7 @@ def graph_updated(spark, sf_dir):
     return kinds.unionByName(edges.groupBy(F.col("rel_type").alias("kind")).agg(F.count("*").alias("n")), allowMissingColumns=True).unionByName(G.cleared(kinds))
 
 
-QUERIES = {f.__name__: f for f in (graph_statistics, graph_upsert_nodes, graph_upsert_edges, graph_document_counts, graph_contains, graph_find, graph_neighbours, graph_shortest_paths, graph_distances, graph_delete_document, graph_name_search, graph_recall, graph_updated)}
+QUERIES = {f.__name__: f for f in (graph_statistics, graph_upsert_nodes, graph_upsert_edges, graph_document_counts, graph_contains, graph_find, graph_neighbours, graph_shortest_paths, graph_distances, graph_delete_document, graph_name_search, graph_recall, graph_updated, graph_paths, graph_pattern_one_hop, graph_pattern_two_hops, graph_pattern_any_way)}
 
 _G = """with nodes as (
   select 'r' || r_regionkey as id, ['Place', 'Region'] as labels, r_name as text, cast(null as bigint) as document_id from region
@@ -123,6 +151,17 @@ names as (select n_nationkey as query_id, n_name[1:4] as name from nation union
 rel as (select query_id, name, id, 'graph' as kind, cast(0.8 as double) as score from names join e on contains(head, name) or contains(tail, name) qualify row_number() over (partition by query_id, name order by id) <= 5),
 ent as (select query_id, name, id, 'graph_entity' as kind, cast(0.6 as double) as score from names join nodes on contains(text, name) where query_id not in (select query_id from rel) qualify row_number() over (partition by query_id, name order by id) <= 3)
 select * from rel union all select * from ent""",
+    "graph_paths": _G.replace("with nodes", "with recursive nodes")
+    + """, pairs as (select distinct 's' || l_suppkey as a, 'c' || o_custkey as z from lineitem join orders on l_orderkey = o_orderkey where l_suppkey % 50 = 0),
+ways as (select src, dst, min(via) as via from (select src, dst, '>' || rel_type as via from edges union all select dst, src, '<' || rel_type from edges) group by src, dst),
+walk(a, node, hops, nodes, vias) as (
+  select distinct a, a, 0, [a], cast([] as varchar[]) from pairs
+  union all select a, dst, hops + 1, list_append(nodes, dst), list_append(vias, via) from walk join ways on src = node where hops < 5 and not list_contains(nodes, dst))
+select a as start, z as "end", cast(hops as int) as hops, array_to_string(nodes, '/') as nodes, array_to_string(vias, '/') as vias
+from walk join pairs using (a) where node = z qualify row_number() over (partition by a, z order by hops, walk.nodes, walk.vias) = 1""",
+    "graph_pattern_one_hop": _G + " select e.src as a, e.dst as b, rel_type as rel_1 from edges e join nodes b on b.id = e.dst where rel_type = 'BASED_IN' and list_contains(b.labels, 'Nation') and b.document_id = 2",
+    "graph_pattern_two_hops": _G + " select e.src as a, e.dst as b, f.dst as c, e.rel_type as rel_1, f.rel_type as rel_2 from edges e join edges f on f.src = e.dst join nodes c on c.id = f.dst where e.rel_type = 'BASED_IN' and f.rel_type = 'PART_OF' and starts_with(c.text, 'A')",
+    "graph_pattern_any_way": _G + " select e.src as a, e.dst as b, f.src as c, e.rel_type as rel_1, f.rel_type as rel_2 from edges e join edges f on f.dst = e.dst where e.rel_type = 'BASED_IN' and f.rel_type = 'LIVES_IN' and cast(e.src[2:] as bigint) % 25 = 0 and cast(f.src[2:] as bigint) % 25 = 0",
     "graph_updated": _G
     + """, n2 as (select labels[-1] as kind, case when labels[-1] = 'Nation' then upper(text) else text end as text, case when labels[-1] = 'Nation' then length(text) end as size from nodes)
 select kind, count(*) as n, sum((text = upper(text))::int) as uppers, sum(size) as sizes from n2 group by kind
