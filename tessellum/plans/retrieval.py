@@ -34,7 +34,7 @@ def _index(spark, sf_dir) -> Q.Index:
     key = spark.sparkContext.applicationId, file_state(spark, f"{sf_dir}/documents.parquet")
     if key not in _stored:
         path = fresh_path(spark, "index")
-        Q.stored(Q.index(_made_docs(spark, sf_dir)), path)
+        Q.add_documents(_made_docs(spark, sf_dir), path)
         _stored[key] = path
     return Q.opened(spark, _stored[key])
 
@@ -67,9 +67,11 @@ def bm25_topk_doc_types(spark, sf_dir):
 
 
 def index_after_deletion(spark, sf_dir):
-    """Statistics of the stored index, and the best documents, once all documents of files that failed are deleted from it."""
+    """The best documents of the index once all documents of files that failed are deleted from it."""
     failed = table(spark, sf_dir, "labels").filter("quality = 0").select("doc_id")
-    left = Q.without_documents(_index(spark, sf_dir), failed, fresh_path(spark, "index"))
+    path = fresh_path(spark, "index")
+    Q.add_documents(_made_docs(spark, sf_dir), path)
+    left = Q.delete_documents(Q.opened(spark, path), failed, path)
     return Q.bm25(_queries(spark, sf_dir), left, 3).select("query_id", "_id", F.round("score", 6).alias("score"), "rank")
 
 
