@@ -248,11 +248,18 @@ def window_relations(mentions: DataFrame, sentences_: DataFrame, pairs: Sequence
 
 
 def aggregate_evidence(relations: DataFrame, least: float = 0.5) -> DataFrame:
-    """One row of each (head, relation, tail) in a document: evidences in order, the highest confidence, their number."""
-    order = F.struct(F.when(F.col("method") == "sentence", 0).otherwise(1).alias("m"), "at")
-    first = F.min_by(F.struct("head_type", "tail_type", "method"), order).alias("first")
-    evidences = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), "evidence"))), lambda x: x["evidence"]), " | ")
-    rows = relations.groupBy("doc_id", "head", "relation", "tail").agg(first, evidences.alias("evidence"), F.max("confidence").alias("confidence"), F.count("*").alias("evidence_count"))
+    """One row of each (head, relation, tail) in a document: evidences in order, the highest confidence, their number.
+
+    Relations of one sentence or window have one evidence, so they are counted before anything is listed,
+    and a list holds each text once, with how often it is to stand there."""
+    method = F.when(F.col("method") == "sentence", 0).otherwise(1).alias("m")
+    keys = ["doc_id", "head", "relation", "tail"]
+    counted = relations.groupBy(*keys, method, F.col("at.sent_no").alias("place"), "evidence").agg(F.min(F.struct("at", "head_type", "tail_type", "method")).alias("lead"), F.max("confidence").alias("confidence"), F.count("*").alias("n"))
+    order = F.struct("m", "lead.at")
+    first = F.min_by(F.struct("lead.head_type", "lead.tail_type", "lead.method"), order).alias("first")
+    listed = F.array_sort(F.collect_list(F.struct(order.alias("o"), "evidence", F.col("n").cast("int").alias("n"))))
+    evidences = F.array_join(F.flatten(F.transform(listed, lambda x: F.array_repeat(x["evidence"], x["n"]))), " | ")
+    rows = counted.groupBy(*keys).agg(first, evidences.alias("evidence"), F.max("confidence").alias("confidence"), F.sum("n").alias("evidence_count"))
     return rows.filter(F.col("confidence") >= least).select("doc_id", "head", "first.head_type", "relation", "tail", "first.tail_type", "confidence", "evidence", "evidence_count", F.col("first.method").alias("method"))
 
 
