@@ -11,6 +11,7 @@ of the least hashes of their ids); every vector is indexed."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -109,9 +110,11 @@ class VectorIndex:
         return self.spark.read.parquet(f"{self.path}/vectors")
 
 
-def insert(index: VectorIndex, vectors: DataFrame) -> None:
+def insert(index: VectorIndex, vectors: DataFrame, name: str | None = None) -> None:
     """Append vectors (id, vector) to their cells; nothing that is stored is written again.
 
+    name: of the addition; one that comes again under its name takes its own place.
+
     Vectors that are null, empty, all zero, not finite or of another length are in no cell."""
     model, kind = index.model, vectors.schema["id"].dataType
     shared = index.spark.sparkContext.broadcast(model)  # bounded by nlist
@@ -145,21 +148,22 @@ def insert(index: VectorIndex, vectors: DataFrame) -> None:
             yield row(*kept)
 
     id_type, shift = to_arrow_type(kind), model.shift
+    part = f"part=p-{name or uuid.uuid4().hex}"
     rows = vectors.select("id", "vector").mapInArrow(assigned, f"folder int, cell int, id {kind.simpleString()}, code binary, vector array<float>")
     dealt = rows.repartition("folder", "cell", F.pmod(F.xxhash64("id"), F.lit(SALTS))).sortWithinPartitions("folder", "cell", "id")
     # codes and vectors are written by one job each; ids and vectors alone decide where rows go, so both are whole
-    dealt.select("folder", "cell", "id", "code").mapInArrow(segments, f"folder int, cell int, ids array<{kind.simpleString()}>, codes binary").write.mode("append").partitionBy("folder").parquet(f"{index.path}/lists")
-    dealt.select("folder", "cell", "id", "vector").write.mode("append").partitionBy("folder").parquet(f"{index.path}/vectors")
+    dealt.select("folder", "cell", "id", "code").mapInArrow(segments, f"folder int, cell int, ids array<{kind.simpleString()}>, codes binary").write.mode("overwrite").partitionBy("folder").parquet(f"{index.path}/lists/{part}")
+    dealt.select("folder", "cell", "id", "vector").write.mode("overwrite").partitionBy("folder").parquet(f"{index.path}/vectors/{part}")
 
 
-def build(vectors: DataFrame, path: str, nlist: int = 1024, parts: int = 16, sample: int = 50_000, seed: int = 1) -> VectorIndex:
-    """Fit an index and write all vectors (id, vector) into it."""
+def build(vectors: DataFrame, path: str, nlist: int = 1024, parts: int = 16, sample: int = 50_000, seed: int = 1, name: str | None = None) -> VectorIndex:
+    """Fit an index and write all vectors (id, vector) into it. name: as in `insert`."""
     spark = vectors.sparkSession
     model = train(vectors, nlist, parts, sample, seed=seed)
     index = VectorIndex(spark, path, model)
     rows = [("centre", 0, i, [float(v) for v in c]) for i, c in enumerate(model.centres)] + [("code", p, i, [float(v) for v in c]) for p, part in enumerate(model.codes) for i, c in enumerate(part)]
-    spark.createDataFrame(rows, "kind string, part int, n int, vector array<double>").coalesce(1).write.parquet(f"{path}/model")
-    insert(index, vectors)
+    spark.createDataFrame(rows, "kind string, part int, n int, vector array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/model")
+    insert(index, vectors, name)
     return index
 
 

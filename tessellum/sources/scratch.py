@@ -37,3 +37,10 @@ def file_state(spark: SparkSession, path: str) -> str:
     system = where.getFileSystem(context._jsc.hadoopConfiguration())
     found = system.listStatus(where) if system.getFileStatus(where).isDirectory() else [system.getFileStatus(where)]
     return ";".join(sorted(f"{f.getPath()}|{f.getLen()}|{f.getModificationTime()}" for f in found))
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder of that name."""
+    context = spark.sparkContext
+    where = context._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(context._jsc.hadoopConfiguration()).exists(where)
