@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessellum.operators import answer as A
@@ -10,6 +11,8 @@ from tessellum.operators import structure as S
 from tessellum.plans.retrieval import _hits, _queries
 from tessellum.plans.sql import SECTIONS
 from tessellum.sources.fixtures import status_events, table, text_elements
+from tessellum.sources.scratch import fresh_path
+from tessellum.streaming import ingestion, keyed
 from tessellum.streaming.status import latest_status
 
 
@@ -50,6 +53,23 @@ def status_latest(spark, sf_dir):
     return latest_status(status_events(table(spark, sf_dir, "events")))
 
 
+def session_answers(spark, sf_dir):
+    """Results of each user's search, users' events as results in order: what a caller that doesn't listen to the stream is given."""
+    kind = F.when(F.col("event_type") == "purchase", "final_answer").when(F.col("event_type") == "error", "error").when(F.col("event_type") == "view", "stage_update").otherwise("answer_chunk")
+    seq = F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")) - 1
+    results = table(spark, sf_dir, "events").select(F.col("user_id").alias("query_id"), seq.alias("seq"), kind.alias("type"), F.to_json(F.struct("event_id")).alias("payload"))
+    return keyed.answers(results)
+
+
+def ingested_files(spark, sf_dir):
+    """Documents through the stages that make structure and rows of tables: the state of each, its sections and its blocks."""
+    stages = [s for s in ingestion.file_stages([]) if s.name in ("structure", "tables")]
+    store = ingestion.Ingested(spark, fresh_path(spark, "ingested"), stages)
+    store.ingest(table(spark, sf_dir, "documents"), 0)
+    sections = store.table("sections", "tables").groupBy("doc_id").agg(F.count("*").alias("n_sections"), F.sum("n_blocks").alias("n_blocks"))
+    return store.states().join(sections, "doc_id", "left").select("doc_id", "status", F.coalesce("n_sections", F.lit(0)).alias("n_sections"), F.coalesce("n_blocks", F.lit(0)).alias("n_blocks"))
+
+
 def session_list(spark, sf_dir):
     """Conversations by their last turn: count, and a title of 30 characters at most."""
     turns = table(spark, sf_dir, "conversations")
@@ -70,7 +90,7 @@ def changed_messages(spark, sf_dir):
     return turns.filter("turn % 2 = 0").select("h").exceptAll(turns.filter("turn % 2 = 1").select("h")).agg(F.count("*").alias("changed"))
 
 
-QUERIES = {f.__name__: f for f in (section_media, section_expansion, table_views, search_answers, table_cells, status_latest, session_list, relative_times, changed_messages)}
+QUERIES = {f.__name__: f for f in (section_media, section_expansion, table_views, search_answers, table_cells, status_latest, session_answers, ingested_files, session_list, relative_times, changed_messages)}
 
 _MEDIA = f"""with {SECTIONS}, media as (select section_id, cast(row_number() over (partition by section_id order by section_id || '_' || elem_id) as int) as ord, 'table' as content_type, section_id || '_' || elem_id as elem_id, text as content, 1 as n_rows from b where type = 'table')"""
 
@@ -86,6 +106,8 @@ x as (select section_id, 0 as rank, 0 as k, 'title' as kind, title as element_id
 select section_id, cast(row_number() over (partition by section_id order by rank, k) as int) as "order", kind, element_id from x""",
     "table_views": _MEDIA + " select section_id, elem_id, n_rows, false as enable_search, false as pagination, '/api/table/export/' || elem_id || '/csv' as export_csv_url, '/api/file/view/' || regexp_extract(section_id, '#([0-9]+)_[^#]*$', 1) || '?highlight=table' as view_url from media",
     "table_cells": f"with {SECTIONS}, c as (select section_id || '_' || elem_id as table_elem_id, list_filter(list_transform(string_split(text, '|'), lambda x: trim(x, ' ')), lambda x: x <> '') as cs from b where type = 'table') select table_elem_id, cast(len(cs) as int) as n_cells, array_to_string(cs, ';') as headers from c",
+    "session_answers": "with r as (select user_id as query_id, row_number() over (partition by user_id order by ts, event_id) - 1 as seq, case event_type when 'purchase' then 'final_answer' when 'error' then 'error' when 'view' then 'stage_update' else 'answer_chunk' end as type, '{\"event_id\":' || event_id || '}' as payload from events), a as (select query_id, arg_max(payload, seq) filter (type = 'final_answer') as answer, count(*) as chunks, count(*) filter (type = 'error') as errors from r group by 1) select query_id, answer is not null or errors = 0 as success, coalesce(answer, '{}') as answer, chunks from a",
+    "ingested_files": f"with {SECTIONS}, n as (select doc_id, count(*) as n_sections, sum(n_blocks) as n_blocks from s group by 1) select doc_id, case when n_sections is null then 'extract_failed' else 'completed' end as status, coalesce(n_sections, 0) as n_sections, cast(coalesce(n_blocks, 0) as bigint) as n_blocks from documents left join n using (doc_id)",
     "status_latest": "with e as (select user_id as file_id, case event_type when 'purchase' then 'completed' when 'error' then 'extract_failed' when 'signup' then 'pending' when 'view' then 'extracting' else 'vectorizing' end as status, ts, event_id from events) select file_id, arg_max(status, (ts, event_id)) as status, max(ts) as updated_at, count(*) as events, case arg_max(status, (ts, event_id)) when 'completed' then 100 when 'extract_failed' then 40 when 'pending' then 10 when 'extracting' then 25 else 50 end as progress from e group by file_id",
     "session_list": "select conv_id, max(turn) as last_turn, count(*) as messages, case when length(arg_min(text, turn)) > 30 then arg_min(text, turn)[1:30] || '...' else arg_min(text, turn) end as title from conversations group by conv_id",
     "relative_times": "with m as (select floor((epoch(timestamp '2024-02-01') - floor(epoch(ts))) / 60) as n from events) select case when n < 1 then 'now' when n < 60 then 'minutes' when n < 1440 then 'hours' when n < 10080 then 'days' else 'date' end as bucket, count(*) as n from m group by 1",
