@@ -199,10 +199,12 @@ def containing(rows: DataFrame, text: str, patterns: DataFrame, pattern: str) ->
     """rows with every pattern that their text contains, by equal characters first and the whole pattern then.
 
     A pattern meets the texts that have its last GRAM characters (all of a shorter one), in an equi-join
-    that neither side has to be small for. Null and empty patterns are in no text."""
-    asked = patterns.filter(F.length(pattern) > 0).select(pattern, F.when(F.length(pattern) > GRAM, F.substring(pattern, -GRAM, GRAM)).otherwise(F.col(pattern)).alias("__gram"))
-    exploded = rows.withColumn("__gram", F.explode(F.concat(*[grams(F.col(text), n) for n in range(1, GRAM + 1)])))
-    return exploded.join(asked, "__gram").filter(F.contains(F.col(text), F.col(pattern))).drop("__gram")
+    that neither side has to be small for. Grams go with a hash of their text; texts join once for each
+    pattern that may be in them. Patterns count once; null and empty ones are in no text."""
+    asked = patterns.filter(F.length(pattern) > 0).select(pattern, F.when(F.length(pattern) > GRAM, F.substring(pattern, -GRAM, GRAM)).otherwise(F.col(pattern)).alias("__gram")).distinct()
+    exploded = rows.select(F.xxhash64(text).alias("__text"), F.explode(F.concat(*[grams(F.col(text), n) for n in range(1, GRAM + 1)])).alias("__gram"))
+    candidates = exploded.join(asked, "__gram").select("__text", pattern).distinct()
+    return rows.withColumn("__text", F.xxhash64(text)).join(candidates, "__text").filter(F.contains(F.col(text), F.col(pattern))).drop("__text")
 
 
 def encoder_input(c: Column, most: int = 512, marks: bool = False, lower: bool = False) -> Column:

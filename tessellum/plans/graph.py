@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from tessellum.operators import graph as G
 from tessellum.operators import paths as P
+from tessellum.operators.names import NameIndex, add_names, search_substring
 from tessellum.sources.fixtures import table
+from tessellum.sources.scratch import fresh_path
 
 
 def _graph(spark, sf_dir):
@@ -103,6 +105,16 @@ def graph_name_search(spark, sf_dir):
     return G.search_names(_graph(spark, sf_dir)[0], words, 5)
 
 
+def name_index_hits(spark, sf_dir):
+    """How many names have the last four characters of each supplier's, from a stored index that is made in two additions."""
+    nodes = _graph(spark, sf_dir)[0].select("id", "text")
+    index = NameIndex(spark, fresh_path(spark, "names"))
+    add_names(index, nodes.filter("id not like 'c%'"))
+    add_names(index, nodes.filter("id like 'c%'"))
+    patterns = table(spark, sf_dir, "supplier").select(F.substring("s_name", -4, 4).alias("pattern"))
+    return search_substring(index, patterns).groupBy("pattern").agg(F.count("*").alias("n"), F.max("id").alias("last_id"))
+
+
 def graph_recall(spark, sf_dir):
     """Relations for the first letters of the names of nations and regions, over the whole graph."""
     nodes, edges = _graph(spark, sf_dir)
@@ -121,7 +133,7 @@ def graph_updated(spark, sf_dir):
     return kinds.unionByName(edges.groupBy(F.col("rel_type").alias("kind")).agg(F.count("*").alias("n")), allowMissingColumns=True).unionByName(G.cleared(kinds))
 
 
-QUERIES = {f.__name__: f for f in (graph_statistics, graph_upsert_nodes, graph_upsert_edges, graph_document_counts, graph_contains, graph_find, graph_neighbours, graph_shortest_paths, graph_distances, graph_delete_document, graph_name_search, graph_recall, graph_updated, graph_paths, graph_pattern_one_hop, graph_pattern_two_hops, graph_pattern_any_way)}
+QUERIES = {f.__name__: f for f in (graph_statistics, graph_upsert_nodes, graph_upsert_edges, graph_document_counts, graph_contains, graph_find, graph_neighbours, graph_shortest_paths, graph_distances, graph_delete_document, graph_name_search, name_index_hits, graph_recall, graph_updated, graph_paths, graph_pattern_one_hop, graph_pattern_two_hops, graph_pattern_any_way)}
 
 _G = """with nodes as (
   select 'r' || r_regionkey as id, ['Place', 'Region'] as labels, r_name as text, cast(null as bigint) as document_id from region
@@ -145,6 +157,7 @@ ORACLES = {
 select start, node as "end", cast(min(hops) as int) as hops from walk where start <> node group by start, node""",
     "graph_delete_document": _G + ", gone as (select id from nodes where document_id = 3) select (select count(*) from nodes where id not in (from gone)) as nodes, (select count(*) from edges where src not in (from gone) and dst not in (from gone)) as edges",
     "graph_name_search": _G + ", w(word) as (values ('1'), ('2'), ('zzz')) select word, id from w join nodes on contains(text, word) qualify row_number() over (partition by word order by id) <= 5",
+    "name_index_hits": _G + ", p as (select distinct right(s_name, 4) as pattern from supplier) select pattern, count(*) as n, max(id) as last_id from p join nodes on contains(text, pattern) group by 1",
     "graph_recall": _G
     + """, e as (select e.src || '|' || rel_type || '|' || e.dst as id, h.text as head, t.text as tail from edges e join nodes h on h.id = e.src join nodes t on t.id = e.dst),
 names as (select n_nationkey as query_id, n_name[1:4] as name from nation union all select r_regionkey + 100, r_name[1:4] from region),
