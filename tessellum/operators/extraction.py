@@ -79,6 +79,50 @@ def scan_columns(texts: DataFrame, terms: Sequence[tuple]) -> DataFrame:
     return rows.select("doc_id", "start", (F.col("start") + F.col("n")).alias("end"), F.substring("text", F.lit(1), F.col("n")).alias("text"), "canonical", "type", "priority")
 
 
+#: Characters of a piece of text, and of the grams over which terms and texts meet.
+PIECE, TERM_GRAM = 4096, 4
+
+
+def low(c: Column) -> Column:
+    """In lower case, a character for a character: what would become longer, or hangs on its neighbours, goes by itself."""
+    each = F.array_join(F.transform(F.split(c, ""), lambda x: F.when(F.length(F.lower(x)) == 1, F.lower(x)).otherwise(x)), "")
+    return F.when(F.regexp_like(c, F.lit("[\u0130\u03a3]")), each).otherwise(F.lower(c))
+
+
+def scan_table(texts: DataFrame, terms: DataFrame) -> DataFrame:
+    """`scan` with a dictionary of any size in a table (term, canonical, type, priority), of which no task holds the whole.
+
+    Texts are cut into pieces that overlap by the longest term. A term is looked for by the rarest of its
+    grams in all texts: grams meet in a join, and the places where a term may begin go back to their piece,
+    which is compared with it. Equal terms: each gives its rows. Terms
+    with U+0130, which `scan` can't find, are found. Empty terms and null texts give none."""
+    listed = terms.select(low(F.col("term")).alias("term"), "canonical", "type", "priority").filter("length(term) > 0")
+    sizes = listed.agg(F.max(F.length("term")).alias("most"), F.collect_set(F.least(F.length("term"), F.lit(TERM_GRAM))).alias("sizes")).first()  # TERM_GRAM sizes at most
+    most, own = sizes["most"] or 0, sorted(sizes["sizes"])
+    rows = texts.select("doc_id", F.xxhash64("text").alias("row"), "text").filter("length(text) > 0")
+    pieces = rows.select("doc_id", "row", "text", F.explode(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / PIECE).cast("int"))).alias("piece"))
+    pieces = pieces.select("doc_id", "row", "piece", F.substring("text", F.col("piece") * PIECE + 1, F.lit(PIECE + max(0, most - 1))).alias("body")).withColumn("plain", low(F.col("body")))
+
+    def placed(c: str, n: int) -> Column:
+        found = F.transform(F.sequence(F.lit(0), F.length(c) - n), lambda i: F.struct(i.alias("at"), F.substring(c, i + 1, F.lit(n)).alias("gram")))
+        return F.when(F.length(c) >= n, found).otherwise(F.array().cast("array<struct<at:int,gram:string>>"))
+
+    of_term = F.when(F.length("term") >= TERM_GRAM, placed("term", TERM_GRAM)).otherwise(F.array(F.struct(F.lit(0).alias("at"), F.col("term").alias("gram"))))
+    of_terms = listed.select("term").distinct().select("term", F.explode(of_term).alias("g")).select("term", "g.at", "g.gram")
+    places = F.flatten(F.array(*[placed("plain", n) for n in own])) if own else F.array().cast("array<struct<at:int,gram:string>>")
+    grams = pieces.select("doc_id", "row", "piece", F.explode(places).alias("g")).select("doc_id", "row", "piece", F.col("g.at").alias("place"), "g.gram")
+    counts = grams.groupBy("gram").agg(F.count("*").alias("n"))
+    chosen = of_terms.join(counts, "gram").groupBy("term").agg(F.count_distinct("at").alias("grams"), F.min_by(F.struct("at", "gram"), F.struct("n", "at")).alias("g"))
+    chosen = chosen.filter(F.col("grams") == F.greatest(F.length("term") - TERM_GRAM + 1, F.lit(1))).select("term", "g.at", "g.gram")  # all of its grams are somewhere
+    maybe = grams.join(chosen, "gram").select("doc_id", "row", "piece", (F.col("place") - F.col("at")).alias("begin"), "term").filter(F.col("begin").between(0, PIECE - 1))
+    asked = maybe.groupBy("doc_id", "row", "piece").agg(F.collect_set(F.struct("begin", "term")).alias("asked"))
+    asked = asked.select(F.col("doc_id").alias("__doc"), F.col("row").alias("__row"), F.col("piece").alias("__piece"), "asked")
+    met = pieces.join(asked, (F.col("row") == F.col("__row")) & (F.col("piece") == F.col("__piece")) & F.col("doc_id").eqNullSafe(F.col("__doc")))
+    met = met.select("doc_id", "piece", "body", F.explode(F.filter("asked", lambda a: F.substring("plain", a["begin"] + 1, F.length(a["term"])) == a["term"])).alias("a"))
+    found = met.select("doc_id", (F.col("piece") * PIECE + F.col("a.begin")).alias("start"), F.col("a.term").alias("term"), F.substring("body", F.col("a.begin") + 1, F.length("a.term")).alias("text"))
+    return found.join(listed, "term").select("doc_id", F.col("start").cast("int").alias("start"), (F.col("start") + F.length("term")).cast("int").alias("end"), "text", "canonical", "type", "priority")
+
+
 def resolve(spans: DataFrame) -> DataFrame:
     """One span of each conflict: in order of starts and ends, a group is a span and all later ones that begin before its end; its first of the least priority number stays.
 

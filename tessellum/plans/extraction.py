@@ -34,6 +34,13 @@ def mention_scan_columns(spark, sf_dir):
     return E.scan_columns(_texts(spark, sf_dir), TERMS)
 
 
+def mention_dictionary(spark, sf_dir):
+    """Where each word of six letters or more of the benchmark stands first and last in each document; the words are a table."""
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{6,}"), F.lit(0))).alias("term")).distinct()
+    terms = words.select("term", F.col("term").alias("canonical"), F.lit("Word").alias("type"), F.lit(9).alias("priority"))
+    return E.scan_table(_texts(spark, sf_dir), terms).groupBy("doc_id", "canonical").agg(F.min("start").alias("first_start"), F.max("end").alias("last_end"))
+
+
 def anchors(spark, sf_dir):
     """Mentions without conflicts; tests hold the fold against a plain loop."""
     return E.resolve(E.scan(_texts(spark, sf_dir), TERMS))
@@ -123,7 +130,7 @@ def extraction_summary(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (mention_scan, mention_scan_columns, anchors, pattern_counts, merged_spans, entities_beside_anchors, entities_raw, aligned_mentions, sentences, cooccurrence, relation_evidence, sentence_relations, entity_ids, mention_context, linked_mentions, extraction_summary)
+    for f in (mention_scan, mention_scan_columns, mention_dictionary, anchors, pattern_counts, merged_spans, entities_beside_anchors, entities_raw, aligned_mentions, sentences, cooccurrence, relation_evidence, sentence_relations, entity_ids, mention_context, linked_mentions, extraction_summary)
 }
 
 
@@ -179,6 +186,7 @@ b as (select doc_id, count(*) as relations, count(*) filter (k > 1) as merged fr
 select doc_id, coalesce(entities, 0) as entities, coalesce(anchors, 0) as anchors, coalesce(merged, 0) as merged, coalesce(linked, 0) as linked, coalesce(relations, 0) as relations from a full join b using (doc_id)""",
     "entities_raw": "with f as (select doc_id, 'Number' as type, unnest(list_concat(regexp_extract_all(text, '[0-9]+'), regexp_extract_all(text, '[0-9]+[.][0-9]+'))) as x from documents union all select doc_id, 'Protein', unnest(regexp_extract_all(text, '(?i)th[ae]n?')) from documents) select doc_id, type, count(*) as n, cast(sum(length(x)) as bigint) as chars from f group by all",
     "mention_scan": f'with {_M} select doc_id, start, "end", text, canonical, type, priority from m',
+    "mention_dictionary": "with t as (select distinct unnest(regexp_extract_all(lower(text), '[a-z]{6,}')) as term from benchmark) select doc_id, term as canonical, cast(strpos(lower(text), term) - 1 as int) as first_start, cast(length(text) - strpos(reverse(lower(text)), reverse(term)) + 1 as int) as last_end from documents join t on contains(lower(text), term)",
     "mention_scan_columns": f'with {_M} select doc_id, start, "end", text, canonical, type, priority from m',
     "pattern_counts": """with f as (select doc_id, 'Number' as type, unnest(regexp_extract_all(text, '[0-9]+')) as x from documents union all select doc_id, 'Protein', unnest(regexp_extract_all(text, '(?i)th[ae]n?')) from documents union all select doc_id, 'Metric', unnest(regexp_extract_all(text, '[0-9]+[.][0-9]+')) from documents)
 select doc_id, type, 'medium' as bucket, count(*) as n, cast(sum(length(x)) as bigint) as chars from f group by all""",
