@@ -179,7 +179,7 @@ def ingestion_states(spark, sf_dir):
 def section_references(spark, sf_dir):
     """Reference lines of the documents that each word of a region's name leads to, in the order in which they are met."""
     blocks = S.blocks(text_elements(table(spark, sf_dir, "documents")))
-    hits = S.sections(blocks).filter("section_no <= 3").select((F.col("doc_id") % 10).alias("query_id"), F.concat(F.lit("doc_"), "doc_id").alias("doc_name"), "title", F.col("page_start").alias("page"), (F.col("doc_id") * 10 + F.col("section_no")).alias("arrival"), F.when(F.col("n_blocks") > 3, "table").when(F.col("n_blocks") > 2, "image").alias("media"))
+    hits = S.sections(blocks).select((F.col("doc_id") % 10).alias("query_id"), F.concat(F.lit("doc_"), "doc_id").alias("doc_name"), "title", F.col("page_start").alias("page"), (F.col("doc_id") * 10 + F.col("section_no")).alias("arrival"), F.when(F.col("n_blocks") > 3, "table").when(F.col("n_blocks") > 2, "image").alias("media"))
     return A.references(hits)
 
 
@@ -229,7 +229,7 @@ select term, arg_max(canonical, (ord, a)) as canonical, arg_max(type, (ord, a))
     "valid_queries": "select doc_id, doc_id % 9 <> 0 and length(regexp_replace(text, '^[ \\t\\n\\r\\f\\v]+|[ \\t\\n\\r\\f\\v]+$', '', 'g')) between 1 and 1000 as valid from documents",
     "status_codes": f"select * from (values {_STATES}) t(status, progress, stage, label)",
     "ingestion_states": "with t as (select *, len(list_filter(regexp_extract_all(lower(text), '\\p{Han}|(?:[^\\P{L}\\p{Han}]|\\p{N})+'), lambda x: x not in (" + ", ".join(f"'{w}'" for w in X.STOP_WORDS) + "))) as n from documents) select case when regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', '', 'g') = '' then 'extract_failed' when n_chars > 5000 then 'vectorize_failed' when n <= 3 then 'bm25_failed' when lang = 'es' then 'graph_failed' else 'completed' end as status, count(*) as n from t group by 1",
-    "section_references": f"""with {SECTIONS}, h as (select doc_id % 10 as query_id, 'doc_' || doc_id as doc_name, title, page_start as page, doc_id * 10 + section_no as arrival, case when n_blocks > 3 then '表格' when n_blocks > 2 then '图片' end as media from s where section_no <= 3),
+    "section_references": f"""with {SECTIONS}, h as (select doc_id % 10 as query_id, 'doc_' || doc_id as doc_name, title, page_start as page, doc_id * 10 + section_no as arrival, case when n_blocks > 3 then '表格' when n_blocks > 2 then '图片' end as media from s),
 k as (select query_id, doc_name, media, count(*) as n, min(arrival) as first from h where media is not null group by all), ks as (select query_id, doc_name, string_agg(n || '个' || media, ', ' order by first) as kinds from k group by all),
 g as (select query_id, doc_name, arg_min(title, arrival) as title, array_to_string(list_sort(list(distinct page)), ', ') as pages, min(arrival) as first from h group by all),
 o as (select *, row_number() over (partition by query_id order by first) as number from g)
