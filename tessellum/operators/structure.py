@@ -111,17 +111,25 @@ def content_units(blocks_: DataFrame) -> DataFrame:
 
 def search_documents(blocks_: DataFrame, collide: bool = False) -> DataFrame:
     """A document for each section and for each block. collide: block keys without their section, of which the last one stays."""
-    rows = blocks_.withColumn("content", block_text()).filter(~blank(F.col("content")))
-    parts = sections(blocks_).select("section_id", "title", "page_start")
-    first_page = F.min_by("page", "order").alias("page")
-    whole = rows.groupBy("doc_id", "section_no", "section_id").agg(F.array_join(in_order("content", "order"), " ").alias("content"), first_page).join(parts, "section_id")
-    whole = whole.select(F.concat(F.col("doc_id").cast("string"), F.lit("_section_"), "section_id").alias("_id"), "doc_id", "section_id", F.col("section_id").alias("element_id"), "title", "content", F.col("title").alias("summary"), F.lit("section").alias("content_type"), "page")
-    key = F.col("elem_id") if collide else F.concat("section_id", F.lit("_"), "elem_id")
-    summary = F.when(F.length("content") > 200, F.concat(F.substring("content", 1, 200), F.lit("..."))).otherwise(F.col("content"))
-    parts_of = rows.join(parts, "section_id").select(F.concat(F.col("doc_id").cast("string"), F.lit("_fragment_"), key).alias("_id"), "doc_id", "section_id", F.col("elem_id").alias("element_id"), "title", "content", summary.alias("summary"), F.lit("fragment").alias("content_type"), "page", "section_no")
+    rows = blocks_.withColumn("content", block_text())
+    says = ~blank(F.col("content"))
+    title = F.coalesce(F.max(F.when((F.col("order") == 1) & (F.col("type") == "title"), F.col("text"))), F.lit(DEFAULT_TITLE))
+    # one group for each section makes all of its documents, so texts are shuffled once, by the windows of `blocks`
+    parts = F.array_sort(F.collect_list(F.when(says, F.struct("order", "content", "elem_id", "page")))).alias("parts")
+    made = rows.groupBy("doc_id", "section_no", "section_id").agg(title.alias("title"), parts).filter("size(parts) > 0")
+    doc = F.col("doc_id").cast("string")
+    whole = F.struct(
+        F.concat(doc, F.lit("_section_"), "section_id").alias("_id"), F.col("section_id").alias("element_id"), F.array_join(F.transform("parts", lambda p: p["content"]), " ").alias("content"),
+        F.col("title").alias("summary"), F.lit("section").alias("content_type"), F.col("parts")[0]["page"].alias("page"),
+    )
+    key = lambda p: p["elem_id"] if collide else F.concat("section_id", F.lit("_"), p["elem_id"])
+    summary = lambda c: F.when(F.length(c) > 200, F.concat(F.substring(c, 1, 200), F.lit("..."))).otherwise(c)
+    each = F.transform("parts", lambda p: F.struct(F.concat(doc, F.lit("_fragment_"), key(p)).alias("_id"), p["elem_id"].alias("element_id"), p["content"].alias("content"), summary(p["content"]).alias("summary"), F.lit("fragment").alias("content_type"), p["page"].alias("page")))
+    columns = ["_id", "doc_id", "section_id", "element_id", "title", "content", "summary", "content_type", "page"]
+    out = made.select("doc_id", "section_no", "section_id", "title", F.explode(F.concat(F.array(whole), each)).alias("d")).select("doc_id", "section_no", "section_id", "title", "d.*").select(*columns, "section_no")
     if collide:
-        parts_of = latest(parts_of, ["_id"], "section_no")
-    return whole.unionByName(parts_of.drop("section_no"))
+        out = out.filter("content_type = 'section'").unionByName(latest(out.filter("content_type = 'fragment'"), ["_id"], "section_no"))
+    return out.select(*columns)
 
 
 def latest(df: DataFrame, keys: list[str], version: str) -> DataFrame:
