@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator, Sequence
+from itertools import islice
 
 import pandas as pd
 import pyarrow as pa
@@ -42,10 +43,21 @@ def lexicon(entries: DataFrame) -> DataFrame:
     return rows.groupBy(F.lower("t.term").alias("term")).agg(last).select("term", "last.canonical", F.col("last.type").alias("type")).withColumn("priority", priority)
 
 
-def scan(texts: DataFrame, terms: Sequence[tuple]) -> DataFrame:
+#: Rows that a scan holds before it sends them on, however many a batch of texts gives.
+HELD = 16_384
+
+
+def _sent(rows: Iterator[tuple], columns: list[str]) -> Iterator[pd.DataFrame]:
+    """Rows in frames of HELD."""
+    while part := list(islice(rows, HELD)):
+        yield pd.DataFrame(part, columns=columns)
+
+
+def scan(texts: DataFrame, terms: Sequence[tuple], around: int = 0) -> DataFrame:
     """Every occurrence of every term (term, canonical, type, priority), overlapping ones and those within words too.
 
-    The terms are a dictionary that goes along with the plan; the automaton runs over Arrow batches."""
+    The terms are a dictionary that goes along with the plan; the automaton runs over Arrow batches.
+    around: with the `context` of each of so many characters on both sides, so that texts need not meet their mentions again."""
     rows = [(str(t[0]).lower(), t[1], t[2], int(t[3])) for t in terms]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -55,16 +67,21 @@ def scan(texts: DataFrame, terms: Sequence[tuple]) -> DataFrame:
         for i, row in enumerate(rows):
             automaton.add_word(row[0], i)
         automaton.make_automaton()
-        for batch in batches:
-            out = []
+
+        def found(batch: pd.DataFrame) -> Iterator[tuple]:
             for doc, text in zip(batch["doc_id"], batch["text"]):
                 low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text or "")
                 for last, i in automaton.iter(low) if rows else ():
                     term, canonical, kind, priority = rows[i]
-                    out.append((doc, last + 1 - len(term), last + 1, text[last + 1 - len(term) : last + 1], canonical, kind, priority))
-            yield pd.DataFrame(out, columns=["doc_id", "start", "end", "text", "canonical", "type", "priority"])
+                    start, end = last + 1 - len(term), last + 1
+                    beside = (f"{text[max(start - around, 0) : start]} {text[end : end + around]}".strip(" "),) if around else ()
+                    yield (doc, start, end, text[start:end], canonical, kind, priority, *beside)
 
-    return texts.select("doc_id", "text").mapInPandas(run, "doc_id long, start int, end int, text string, canonical string, type string, priority int")
+        for batch in batches:
+            yield from _sent(found(batch), names)
+
+    names = ["doc_id", "start", "end", "text", "canonical", "type", "priority", *(["context"] if around else [])]
+    return texts.select("doc_id", "text").mapInPandas(run, "doc_id long, start int, end int, text string, canonical string, type string, priority int" + (", context string" if around else ""))
 
 
 def scan_columns(texts: DataFrame, terms: Sequence[tuple]) -> DataFrame:
@@ -168,15 +185,15 @@ def pattern_entities(texts: DataFrame, patterns: Sequence[tuple[str, str]] = NER
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rules = [(kind, re.compile(p, re.IGNORECASE)) for kind, p in compiled]
-        for batch in batches:
-            out = []
+
+        def found(batch: pd.DataFrame) -> Iterator[tuple]:
             for doc, text in zip(batch["doc_id"], batch["text"]):
-                n = 0
-                for kind, rule in rules:
-                    for m in rule.finditer(text or ""):
-                        out.append((doc, n, m.start(), m.end(), m.group(), kind, confidence))
-                        n += 1
-            yield pd.DataFrame(out, columns=["doc_id", "pos", "start", "end", "text", "type", "confidence"])
+                matches = ((kind, m) for kind, rule in rules for m in rule.finditer(text or ""))
+                for n, (kind, m) in enumerate(matches):
+                    yield doc, n, m.start(), m.end(), m.group(), kind, confidence
+
+        for batch in batches:
+            yield from _sent(found(batch), ["doc_id", "pos", "start", "end", "text", "type", "confidence"])
 
     return texts.select("doc_id", "text").mapInPandas(run, "doc_id long, pos int, start int, end int, text string, type string, confidence double")
 
@@ -336,12 +353,14 @@ def link(mentions: DataFrame, kb: DataFrame, k: int = 10) -> DataFrame:
     Candidates share the type; the k nearest are blended with name and alias scores; a best one under
     NIL_SCORE is none. Whether it counts as linked hangs on its cosine alone."""
     entry = kb.select("kb_id", "name", "aliases", F.col("type").alias("kb_type"), "kb_vector")
-    pairs = mentions.join(entry, F.col("type") == F.col("kb_type")).withColumn("cos", cosine(F.col("vector"), F.col("kb_vector")))
+    pairs = mentions.join(entry, F.col("type") == F.col("kb_type"), "left").withColumn("cos", cosine(F.col("vector"), F.col("kb_vector"))).drop("kb_vector", "kb_type")
     near = pairs.withColumn("n", F.row_number().over(W.partitionBy("doc_id", "pos").orderBy(F.desc(F.round("cos", 9)), "kb_id"))).filter(F.col("n") <= k)
     within = lambda a, b: F.contains(F.lower(a), F.lower(b)) | F.contains(F.lower(b), F.lower(a))
     string = lambda a, b: F.when(F.lower(a) == F.lower(b), 1.0).when(within(a, b), 0.8).otherwise(0.0)
     alias = F.coalesce(F.array_max(F.transform("aliases", lambda a: string(F.col("text"), a))), F.lit(0.0))
     blended = near.withColumn("final", 0.4 * F.col("cos") + 0.4 * string(F.col("text"), F.col("name")) + 0.2 * alias)
-    best = blended.filter(F.col("final") >= NIL_SCORE).groupBy("doc_id", "pos").agg(F.max_by(F.struct("kb_id", "cos", "final"), F.struct(F.round("final", 9), F.round("cos", 9))).alias("best"))
+    # a mention is one group with its candidates, so it need not be joined with them again; vectors end before the shuffle where nothing asks for them
+    best = F.max_by(F.struct("kb_id", "cos", "final"), F.when(F.col("final") >= NIL_SCORE, F.struct(F.round("final", 9), F.round("cos", 9)))).alias("best")
+    rows = blended.groupBy("doc_id", "pos").agg(*[F.first(c).alias(c) for c in mentions.columns if c not in ("doc_id", "pos")], best)
     linked = F.coalesce(F.col("best.cos") >= LINK_SCORE, F.lit(False))
-    return mentions.join(best, ["doc_id", "pos"], "left").withColumn("linked_id", F.when(linked, F.col("best.kb_id"))).withColumn("linking_status", F.when(linked, "linked").otherwise("nil")).withColumn("link_score", F.col("best.final")).drop("best")
+    return rows.select(*mentions.columns, "best").withColumn("linked_id", F.when(linked, F.col("best.kb_id"))).withColumn("linking_status", F.when(linked, "linked").otherwise("nil")).withColumn("link_score", F.col("best.final")).drop("best")
