@@ -70,8 +70,7 @@ def scan(texts: DataFrame, terms: Sequence[tuple], around: int = 0) -> DataFrame
 
         def found(batch: pd.DataFrame) -> Iterator[tuple]:
             for doc, text in zip(batch["doc_id"], batch["text"]):
-                low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text or "")
-                for last, i in automaton.iter(low) if rows else ():
+                for last, i in automaton.iter(low(text or "")) if rows else ():
                     term, canonical, kind, priority = rows[i]
                     start, end = last + 1 - len(term), last + 1
                     beside = (f"{text[max(start - around, 0) : start]} {text[end : end + around]}".strip(" "),) if around else ()
@@ -96,48 +95,74 @@ def scan_columns(texts: DataFrame, terms: Sequence[tuple]) -> DataFrame:
     return rows.select("doc_id", "start", (F.col("start") + F.col("n")).alias("end"), F.substring("text", F.lit(1), F.col("n")).alias("text"), "canonical", "type", "priority")
 
 
-#: Characters of a piece of text, and of the grams over which terms and texts meet.
-PIECE, TERM_GRAM = 4096, 4
+#: Characters of a piece of text, terms of a part of a dictionary, and pieces of a share of the texts.
+PIECE, PART, SHARE = 4096, 100_000, 2000
 
 
-def low(c: Column) -> Column:
+def low(text: str) -> str:
     """In lower case, a character for a character: what would become longer, or hangs on its neighbours, goes by itself."""
-    each = F.array_join(F.transform(F.split(c, ""), lambda x: F.when(F.length(F.lower(x)) == 1, F.lower(x)).otherwise(x)), "")
-    return F.when(F.regexp_like(c, F.lit("[\u0130\u03a3]")), each).otherwise(F.lower(c))
+    if "\u0130" not in text and "\u03a3" not in text:
+        return text.lower()
+    return "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
 
 
 def scan_table(texts: DataFrame, terms: DataFrame) -> DataFrame:
     """`scan` with a dictionary of any size in a table (term, canonical, type, priority), of which no task holds the whole.
 
-    Texts are cut into pieces that overlap by the longest term. A term is looked for by the rarest of its
-    grams in all texts: grams meet in a join, and the places where a term may begin go back to their piece,
-    which is compared with it. Equal terms: each gives its rows. Terms
+    The dictionary is dealt into parts of about PART entries, and texts are cut into pieces that overlap by the
+    longest term and dealt into shares of about SHARE. Each part meets each share: sorted rows go by, first the
+    part's entries, of which an automaton is made, then the pieces that it runs over. So a task holds one part, and texts
+    are sent once for each part. Equal terms: each gives its rows. Terms
     with U+0130, which `scan` can't find, are found. Empty terms and null texts give none."""
-    listed = terms.select(low(F.col("term")).alias("term"), "canonical", "type", "priority").filter("length(term) > 0")
-    sizes = listed.agg(F.max(F.length("term")).alias("most"), F.collect_set(F.least(F.length("term"), F.lit(TERM_GRAM))).alias("sizes")).first()  # TERM_GRAM sizes at most
-    most, own = sizes["most"] or 0, sorted(sizes["sizes"])
-    rows = texts.select("doc_id", F.xxhash64("text").alias("row"), "text").filter("length(text) > 0")
-    pieces = rows.select("doc_id", "row", "text", F.explode(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / PIECE).cast("int"))).alias("piece"))
-    pieces = pieces.select("doc_id", "row", "piece", F.substring("text", F.col("piece") * PIECE + 1, F.lit(PIECE + max(0, most - 1))).alias("body")).withColumn("plain", low(F.col("body")))
-
-    def placed(c: str, n: int) -> Column:
-        found = F.transform(F.sequence(F.lit(0), F.length(c) - n), lambda i: F.struct(i.alias("at"), F.substring(c, i + 1, F.lit(n)).alias("gram")))
-        return F.when(F.length(c) >= n, found).otherwise(F.array().cast("array<struct<at:int,gram:string>>"))
-
-    of_term = F.when(F.length("term") >= TERM_GRAM, placed("term", TERM_GRAM)).otherwise(F.array(F.struct(F.lit(0).alias("at"), F.col("term").alias("gram"))))
-    of_terms = listed.select("term").distinct().select("term", F.explode(of_term).alias("g")).select("term", "g.at", "g.gram")
-    places = F.flatten(F.array(*[placed("plain", n) for n in own])) if own else F.array().cast("array<struct<at:int,gram:string>>")
-    grams = pieces.select("doc_id", "row", "piece", F.explode(places).alias("g")).select("doc_id", "row", "piece", F.col("g.at").alias("place"), "g.gram")
-    counts = grams.groupBy("gram").agg(F.count("*").alias("n"))
-    chosen = of_terms.join(counts, "gram").groupBy("term").agg(F.count_distinct("at").alias("grams"), F.min_by(F.struct("at", "gram"), F.struct("n", "at")).alias("g"))
-    chosen = chosen.filter(F.col("grams") == F.greatest(F.length("term") - TERM_GRAM + 1, F.lit(1))).select("term", "g.at", "g.gram")  # all of its grams are somewhere
-    maybe = grams.join(chosen, "gram").select("doc_id", "row", "piece", (F.col("place") - F.col("at")).alias("begin"), "term").filter(F.col("begin").between(0, PIECE - 1))
-    asked = maybe.groupBy("doc_id", "row", "piece").agg(F.collect_set(F.struct("begin", "term")).alias("asked"))
-    asked = asked.select(F.col("doc_id").alias("__doc"), F.col("row").alias("__row"), F.col("piece").alias("__piece"), "asked")
-    met = pieces.join(asked, (F.col("row") == F.col("__row")) & (F.col("piece") == F.col("__piece")) & F.col("doc_id").eqNullSafe(F.col("__doc")))
-    met = met.select("doc_id", "piece", "body", F.explode(F.filter("asked", lambda a: F.substring("plain", a["begin"] + 1, F.length(a["term"])) == a["term"])).alias("a"))
-    found = met.select("doc_id", (F.col("piece") * PIECE + F.col("a.begin")).alias("start"), F.col("a.term").alias("term"), F.substring("body", F.col("a.begin") + 1, F.length("a.term")).alias("text"))
-    return found.join(listed, "term").select("doc_id", F.col("start").cast("int").alias("start"), (F.col("start") + F.length("term")).cast("int").alias("end"), "text", "canonical", "type", "priority")
+    listed = terms.select("term", "canonical", "type", F.col("priority").cast("int").alias("priority")).filter("length(term) > 0")
+    sizes = listed.agg(F.count("*").alias("n"), F.max(F.length("term")).alias("most")).first()
+    rows = texts.select("doc_id", "text").filter("length(text) > 0")
+    last = F.floor((F.length("text") - 1) / PIECE).cast("int")
+    shares = -(-(rows.agg(F.sum(last + 1)).first()[0] or 0) // SHARE)
+    parts, most = -(-sizes["n"] // PART), sizes["most"] or 1
+    pieces = rows.select("doc_id", "text", F.explode(F.sequence(F.lit(0), last)).alias("piece"))
+    pieces = pieces.select("doc_id", "piece", F.substring("text", F.col("piece") * PIECE + 1, F.lit(PIECE + most - 1)).alias("body"))
+    share = F.pmod(F.xxhash64("doc_id", "piece", "body"), F.lit(max(shares, 1))).cast("int").alias("share")
+    own = F.pmod(F.xxhash64(*listed.columns), F.lit(max(parts, 1))).cast("int").alias("part")
+    entries = listed.groupBy(*listed.columns).agg(F.count("*").alias("times")).select(own, F.explode(F.sequence(F.lit(0), F.lit(max(shares, 1) - 1))).alias("share"), F.lit(0).alias("kind"), F.col("term").alias("body"), "canonical", "type", "priority", "times")
+    asked = pieces.select(F.explode(F.sequence(F.lit(0), F.lit(max(parts, 1) - 1))).alias("part"), share, F.lit(1).alias("kind"), "doc_id", "piece", "body")
+    schema = asked.select("doc_id", F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit("").alias("text")).crossJoin(listed.select("canonical", "type", "priority")).schema
+    names, piece_size, held = schema.names, PIECE, HELD
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        at, automaton, of_term, types = None, None, {}, None
+
+        def found(batch: pa.RecordBatch) -> Iterator[tuple]:
+            nonlocal at, automaton, of_term
+            for part, share, kind, body, canonical, type_, priority, times, doc, piece in zip(*[batch.column(c).to_pylist() for c in ("part", "share", "kind", "body", "canonical", "type", "priority", "times", "doc_id", "piece")]):
+                if at != (part, share):
+                    at, automaton, of_term = (part, share), None, {}
+                if kind == 0:
+                    of_term.setdefault(low(body), []).extend([(canonical, type_, priority)] * times)
+                    continue
+                if automaton is None:
+                    automaton = ahocorasick.Automaton()
+                    for term, own in of_term.items():
+                        automaton.add_word(term, (len(term), own))
+                    automaton.make_automaton()
+                for end, (n, own) in automaton.iter(low(body)) if of_term else ():
+                    begin = end + 1 - n
+                    if begin < piece_size:
+                        for entry in own:
+                            yield (doc, piece * piece_size + begin, piece * piece_size + begin + n, body[begin : end + 1], *entry)
+
+        for batch in batches:
+            if types is None:
+                field = {f.name: f.type for f in batch.schema}
+                types = [field["doc_id"], pa.int32(), pa.int32(), *[field[c] for c in ("body", "canonical", "type", "priority")]]
+            hits = found(batch)
+            while rows := list(islice(hits, held)):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+
+    every = entries.unionByName(asked, allowMissingColumns=True)
+    return every.repartition(max(parts * shares, 1), "part", "share").sortWithinPartitions("part", "share", "kind").mapInArrow(run, schema)
 
 
 def resolve(spans: DataFrame) -> DataFrame:
