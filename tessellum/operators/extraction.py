@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessellum.functions.text import fold_width
-from tessellum.operators.intervals import containing_point, overlapping
+from tessellum.operators.intervals import overlapping
 from tessellum.operators.retrieval import cosine
 
 #: Rule patterns of entities, patterns of relations, and relations by the kinds of their ends.
@@ -276,11 +276,32 @@ def merge_with_anchors(anchors: DataFrame, entities: DataFrame) -> DataFrame:
     return both.select("doc_id", pos, "start", "end", "text", "type", "confidence", "source")
 
 
+#: Bins of a document have 2^BIN places.
+BIN = 16
+
+
+def attached(rows: DataFrame, spans: DataFrame, deep: int = 1) -> DataFrame:
+    """rows (doc_id, start, ...) with `spans`: those of their document, of at most `deep` that overlap in a place, that they start in.
+
+    The starts of both sides go by once in their order, and a row takes the spans that began last; those that end after it
+    stay. A span lies in each bin of places that it reaches, so a long document is many groups."""
+    fields = [c for c in spans.columns if c != "doc_id"]
+    start, end = F.col("start").cast("long"), F.col("end").cast("long")
+    bin_of = lambda c: F.shiftright(c, BIN)
+    begins = spans.filter("doc_id is not null and end > start").select("doc_id", F.explode(F.sequence(bin_of(start), bin_of(end - 1))).alias("__bin"), F.lit(0).alias("__kind"), start.alias("__at"), end.alias("__end"), F.struct(*fields).alias("__span"))
+    order = W.partitionBy("doc_id", "__bin").orderBy("__at", "__end")
+    begins = begins.withColumn("__spans", F.array("__span", *[F.lag("__span", k).over(order) for k in range(1, deep)])).drop("__span")
+    points = rows.select("doc_id", bin_of(start).alias("__bin"), F.lit(1).alias("__kind"), start.alias("__at"), F.struct(*rows.columns).alias("__row"))
+    last = F.last("__spans", ignorenulls=True).over(W.partitionBy("doc_id", "__bin").orderBy("__at", "__kind", "__end").rowsBetween(W.unboundedPreceding, W.currentRow))
+    found = begins.unionByName(points, allowMissingColumns=True).withColumn("__last", last).filter("__kind = 1")
+    return found.select("__row.*", F.filter("__last", lambda x: F.coalesce(x["end"] > F.col("__at"), F.lit(False))).alias("spans"))
+
+
 def align(spans: DataFrame, blocks: DataFrame) -> DataFrame:
     """Spans with the block they start in; blocks: (doc_id, start, end, ...) that don't overlap."""
-    b = blocks.select("doc_id", F.col("start").alias("b_start"), F.col("end").alias("b_end"), F.col("elem_id").alias("block_id"), "page")
-    found = containing_point(spans.select("doc_id", "start").distinct(), b, ["doc_id"], "start", ("b_start", "b_end")).drop("b_start", "b_end")
-    return spans.join(found, ["doc_id", "start"], "left").select(*spans.columns, "block_id", "page")
+    found = attached(spans, blocks.select("doc_id", "start", "end", F.col("elem_id").alias("block_id"), "page"))
+    block = F.try_element_at("spans", F.lit(1))
+    return found.select(*spans.columns, block["block_id"].alias("block_id"), block["page"].alias("page"))
 
 
 def sentences(texts: DataFrame) -> DataFrame:
@@ -292,11 +313,10 @@ def sentences(texts: DataFrame) -> DataFrame:
     return rows.select("doc_id", (F.row_number().over(w) - 1).alias("sent_no"), "sentence", "start", "end")
 
 
-def in_spans(mentions: DataFrame, spans: DataFrame, number: str) -> DataFrame:
-    """Mentions with the number of each span of their document that they start in; spans: (doc_id, number, start, end)."""
-    s = spans.select("doc_id", number, F.col("start").alias("s_start"), F.col("end").alias("s_end"))
-    found = containing_point(mentions.select("doc_id", "start").distinct(), s, ["doc_id"], "start", ("s_start", "s_end")).drop("s_start", "s_end")
-    return mentions.join(found, ["doc_id", "start"])
+def in_spans(mentions: DataFrame, spans: DataFrame, number: str, deep: int = 1) -> DataFrame:
+    """Mentions with the number of each span of their document that they start in; spans: (doc_id, number, start, end), of at most `deep` in a place."""
+    found = attached(mentions, spans.select("doc_id", number, "start", "end"), deep)
+    return found.select(*mentions.columns, F.explode(F.transform("spans", lambda x: x[number])).alias(number))
 
 
 def sentence_relations(mentions: DataFrame, sentences_: DataFrame, patterns: Sequence[tuple[str, str]] = RELATION_PATTERNS, confidence: float = 0.8) -> DataFrame:
@@ -307,7 +327,7 @@ def sentence_relations(mentions: DataFrame, sentences_: DataFrame, patterns: Seq
     firsts = firsts.join(sentences_.select("doc_id", "sent_no", "sentence"), ["doc_id", "sent_no"])  # texts of sentences with two mentions alone
     rules = F.array(*[F.struct(F.lit(i).alias("rule"), F.lit(kind).alias("relation"), F.regexp_count("sentence", F.lit(f"(?iU){p}")).alias("times")) for i, (kind, p) in enumerate(patterns)])
     hits = firsts.select("*", F.explode(F.filter(rules, lambda r: r["times"] > 0)).alias("r")).select("*", F.posexplode(F.sequence(F.lit(1), F.col("r.times"))).alias("nth", "__i"))
-    return hits.select("doc_id", F.col("head.text").alias("head"), F.col("head.type").alias("head_type"), F.col("tail.text").alias("tail"), F.col("tail.type").alias("tail_type"), F.col("r.relation").alias("relation"), F.lit(confidence).alias("confidence"), F.col("sentence").alias("evidence"), F.struct("sent_no", F.col("r.rule").alias("a"), F.col("nth").alias("b")).alias("at"), F.lit("sentence").alias("method"))
+    return hits.select("doc_id", F.col("head.text").alias("head"), F.col("head.type").alias("head_type"), F.col("tail.text").alias("tail"), F.col("tail.type").alias("tail_type"), F.col("r.relation").alias("relation"), F.lit(confidence).alias("confidence"), F.col("sentence").alias("evidence"), F.struct("sent_no", F.col("r.rule").alias("a"), F.col("nth").alias("b")).alias("at"), F.lit("sentence").alias("method"), F.lit(1).cast("long").alias("times"))
 
 
 def sentence_windows(sentences_: DataFrame) -> DataFrame:
@@ -318,37 +338,97 @@ def sentence_windows(sentences_: DataFrame) -> DataFrame:
 
 
 def window_pairs(mentions: DataFrame, windows: DataFrame, pairs: Sequence[tuple[str, str, str]] = TYPE_PAIRS) -> DataFrame:
-    """All ordered pairs of mentions in a window whose types make a relation, without texts of windows."""
-    inside = in_spans(mentions.select("doc_id", "start", "pos", "text", "type"), windows, "window")
+    """The ordered pairs of mentions in a window whose types make a relation, counted by their texts: how many (times), and the first (h, t).
+
+    No pair is a row, as their number grows with the square of a window's mentions: the places of two texts
+    are put in one order, where the places of the tails say how many heads come before them."""
+    inside = in_spans(mentions.select("doc_id", "start", "pos", "text", "type"), windows, "window", 2)
+    places = inside.groupBy("doc_id", "window", "text", "type").agg(F.array_sort(F.collect_list("pos")).alias("at"))
     kinds = mentions.sparkSession.createDataFrame(list(pairs), "head_type string, tail_type string, relation string")
-    h = inside.select("doc_id", "window", F.col("pos").alias("h"), F.col("text").alias("head"), F.col("type").alias("head_type")).join(F.broadcast(kinds), "head_type")
-    t = inside.select("doc_id", "window", F.col("pos").alias("t"), F.col("text").alias("tail"), F.col("type").alias("tail_type"))
-    return h.join(t, ["doc_id", "window", "tail_type"]).filter("h < t")
+    h = places.select("doc_id", "window", F.col("text").alias("head"), F.col("type").alias("head_type"), F.col("at").alias("heads")).join(F.broadcast(kinds), "head_type")
+    t = places.select("doc_id", "window", F.col("text").alias("tail"), F.col("type").alias("tail_type"), F.col("at").alias("tails"))
+    both = h.join(t, ["doc_id", "window", "tail_type"]).filter(F.element_at("heads", 1) < F.element_at("tails", -1))
+    order = F.array_sort(F.concat(F.transform("tails", lambda x: F.struct(x.alias("at"), F.lit(0).alias("is_head"))), F.transform("heads", lambda x: F.struct(x.alias("at"), F.lit(1).alias("is_head")))))
+    ranks = F.aggregate(F.transform(order, lambda x, i: F.when(x["is_head"] == 0, i).otherwise(0).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
+    n = F.size("tails").cast("long")
+    first = F.array_min(F.filter("tails", lambda x: x > F.element_at("heads", 1)))
+    return both.select("doc_id", "window", "head", "head_type", "tail", "tail_type", "relation", F.element_at("heads", 1).alias("h"), first.alias("t"), (ranks - F.shiftright(n * (n - 1), 1)).alias("times"))
 
 
 def window_relations(mentions: DataFrame, sentences_: DataFrame, pairs: Sequence[tuple[str, str, str]] = TYPE_PAIRS, confidence: float = 0.6) -> DataFrame:
-    """For every two neighbouring sentences: all ordered pairs of mentions whose types make a relation."""
+    """For every two neighbouring sentences: the ordered pairs of mentions whose types make a relation, a row for equal texts with how many `times` they stand there."""
     windows = sentence_windows(sentences_)
     rows = window_pairs(mentions, windows, pairs).join(windows.select("doc_id", "window", "evidence"), ["doc_id", "window"])
-    return rows.select("doc_id", "head", "head_type", "tail", "tail_type", "relation", F.lit(confidence).alias("confidence"), "evidence", F.struct(F.col("window").alias("sent_no"), F.col("h").alias("a"), F.col("t").alias("b")).alias("at"), F.lit("window").alias("method"))
+    return rows.select("doc_id", "head", "head_type", "tail", "tail_type", "relation", F.lit(confidence).alias("confidence"), "evidence", F.struct(F.col("window").alias("sent_no"), F.col("h").alias("a"), F.col("t").alias("b")).alias("at"), F.lit("window").alias("method"), "times")
+
+
+def counted_evidence(relations: DataFrame) -> DataFrame:
+    """Relations of one sentence or window have one evidence, so they are counted before anything is listed: m, place, evidence, lead, confidence, n."""
+    method = F.when(F.col("method") == "sentence", 0).otherwise(1).alias("m")
+    lead = F.min(F.struct("at", "head_type", "tail_type", "method")).alias("lead")
+    return relations.groupBy("doc_id", "head", "relation", "tail", method, F.col("at.sent_no").alias("place"), "evidence").agg(lead, F.max("confidence").alias("confidence"), F.sum("times").alias("n"))
 
 
 def aggregate_evidence(relations: DataFrame, least: float = 0.5) -> DataFrame:
     """One row of each (head, relation, tail) in a document: evidences in order, the highest confidence, their number.
 
-    Relations of one sentence or window have one evidence, so they are counted before anything is listed,
-    and a list holds each text once, with how often it is to stand there."""
-    method = F.when(F.col("method") == "sentence", 0).otherwise(1).alias("m")
+    A list holds each text once, with how often it is to stand there. The text of all evidences has to be one
+    string, of 2 GB at most; `evidence_digests` has no such limit."""
     keys = ["doc_id", "head", "relation", "tail"]
-    counted = relations.groupBy(*keys, method, F.col("at.sent_no").alias("place"), "evidence").agg(F.min(F.struct("at", "head_type", "tail_type", "method")).alias("lead"), F.max("confidence").alias("confidence"), F.count("*").alias("n"))
     order = F.struct("m", "lead.at")
     first = F.min_by(F.struct("lead.head_type", "lead.tail_type", "lead.method"), order).alias("first")
     listed = F.array_sort(F.collect_list(F.struct(order.alias("o"), "evidence", F.col("n").cast("int").alias("n"))))
     evidences = F.array_join(F.flatten(F.transform(listed, lambda x: F.array_repeat(x["evidence"], x["n"]))), " | ")
-    rows = counted.groupBy(*keys).agg(first, evidences.alias("evidence"), F.max("confidence").alias("confidence"), F.sum("n").alias("evidence_count"))
+    rows = counted_evidence(relations).groupBy(*keys).agg(first, evidences.alias("evidence"), F.max("confidence").alias("confidence"), F.sum("n").alias("evidence_count"))
     return rows.filter(F.col("confidence") >= least).select("doc_id", "head", "first.head_type", "relation", "tail", "first.tail_type", "confidence", "evidence", "evidence_count", F.col("first.method").alias("method"))
 
 
+def evidence_digests(relations: DataFrame, least: float = 0.5) -> DataFrame:
+    """`aggregate_evidence` with the MD5 of the text of all evidences (evidence_md5) in place of the text, of any length.
+
+    Sorted rows go by one after the other into the hash, each as often as it counts, so a task holds one evidence."""
+    keys = ["doc_id", "head", "relation", "tail"]
+    order = ["m", "at.sent_no", "at.a", "at.b"]
+    rows = counted_evidence(relations).select(*keys, "m", "lead.*", "evidence", "confidence", "n")
+    schema = rows.select(*keys, "head_type", "tail_type", "method", "confidence", F.col("n").alias("evidence_count"), F.lit("").alias("evidence_md5")).schema
+    names = schema.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import hashlib
+
+        types: list = []
+
+        def groups() -> Iterator[tuple]:
+            key, lead, most, count, digest, begun = None, None, None, 0, None, False
+            for batch in batches:
+                types[:] = [batch.schema.field(c).type for c in [*names[:8], "n"]] + [pa.string()]
+                for *own, head_type, tail_type, method, confidence, evidence, n in zip(*[batch.column(c).to_pylist() for c in [*names[:8], "evidence", "n"]]):
+                    if own != key:
+                        if key is not None:
+                            yield (*key, *lead, most, count, digest.hexdigest())
+                        key, lead, most, count, digest, begun = own, (head_type, tail_type, method), confidence, 0, hashlib.md5(usedforsecurity=False), False
+                    most, count = max(most, confidence), count + n
+                    if evidence is None:
+                        continue
+                    raw = evidence.encode()
+                    again = b" | " + raw
+                    digest.update(again if begun else raw)
+                    left, begun = n - 1, True
+                    several = max(1, min(left, (1 << 20) // len(again)))
+                    block = again * several
+                    for _ in range(left // several):
+                        digest.update(block)
+                    digest.update(again * (left % several))
+            if key is not None:
+                yield (*key, *lead, most, count, digest.hexdigest())
+
+        found = groups()
+        while part := list(islice(found, HELD)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part), types)], names)
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema).filter(F.col("confidence") >= least)
+
+
 def entity_ids(mentions: DataFrame, scope: str = "document") -> DataFrame:
     """(doc_id, text, id): the linked id or one of its place; the last mention of a text decides. scope: `document` puts the document into local ids, `shared` doesn't."""
     parts = ["doc_id"] if scope == "document" else []
