@@ -187,8 +187,8 @@ def highlight(content: Column, terms: Column, most: int = 3, width: int = 100) -
     return F.when(F.size(terms) > 0, F.transform(F.slice(hit, 1, most), lambda p: F.regexp_replace(p, pattern, F.lit("<em>$1</em>")))).otherwise(F.array().cast("array<string>"))
 
 
-#: Characters over which patterns and texts meet.
-GRAM = 3
+#: Characters over which patterns and texts meet, and patterns that are sent to the texts rather than the texts' grams to them.
+GRAM, FEW = 3, 100_000
 
 
 def grams(c: Column, n: int) -> Column:
@@ -200,10 +200,12 @@ def containing(rows: DataFrame, text: str, patterns: DataFrame, pattern: str) ->
 
     A pattern meets the texts that have its last GRAM characters (all of a shorter one), in an equi-join
     that neither side has to be small for. Grams go with a hash of their text; texts join once for each
-    pattern that may be in them. Patterns count once; null and empty ones are in no text."""
+    pattern that may be in them. Only grams as long as some pattern's are made, and up to FEW patterns go to where the
+    texts are, so that no gram is shuffled. Patterns count once; null and empty ones are in no text."""
     asked = patterns.filter(F.length(pattern) > 0).select(pattern, F.when(F.length(pattern) > GRAM, F.substring(pattern, -GRAM, GRAM)).otherwise(F.col(pattern)).alias("__gram")).distinct()
-    exploded = rows.select(F.xxhash64(text).alias("__text"), F.explode(F.concat(*[grams(F.col(text), n) for n in range(1, GRAM + 1)])).alias("__gram"))
-    candidates = exploded.join(asked, "__gram").select("__text", pattern).distinct()
+    found = asked.agg(F.count("*").alias("n"), F.collect_set(F.length("__gram")).alias("sizes")).first()  # GRAM sizes at most
+    exploded = rows.select(F.xxhash64(text).alias("__text"), F.explode(F.concat(*[grams(F.col(text), n) for n in sorted(found["sizes"]) or [GRAM]])).alias("__gram"))
+    candidates = exploded.join(F.broadcast(asked) if found["n"] <= FEW else asked, "__gram").select("__text", pattern).distinct()
     return rows.withColumn("__text", F.xxhash64(text)).join(candidates, "__text").filter(F.contains(F.col(text), F.col(pattern))).drop("__text")
 
 
