@@ -48,8 +48,9 @@ def add_names(index: NameIndex, names: DataFrame, name: str | None = None) -> No
         return F.when(F.length("text") >= n, F.transform(at, lambda i: F.struct(F.substring("text", i, F.lit(n)).alias("gram"), i.alias("place")))).otherwise(none)
 
     places = F.concat(*[of(n) for n in range(1, GRAM + 1)])
-    grams = kept.filter("length(text) > 0").select("id", F.explode(places).alias("g")).select("id", "g.gram", "g.place")
-    lists = grams.groupBy("gram", "id").agg(F.array_sort(F.collect_list("place")).alias("places")).withColumn("folder", _folder_of(F.col("gram")))
+    grams = kept.filter("length(text) > 0").select("id", F.explode(places).alias("g"))
+    # a place is a posting: no shuffle puts the places of a gram and a name together, as a search takes them apart again
+    lists = grams.select("g.gram", "id", F.array("g.place").alias("places")).withColumn("folder", _folder_of(F.col("gram")))
     dealt = lists.repartition("folder", F.pmod(F.xxhash64("id"), F.lit(SALTS))).sortWithinPartitions("folder", "gram", "id")
     dealt.write.mode("overwrite").partitionBy("folder").parquet(f"{index.path}/postings/{part}")
     stored = index.spark.read.schema("gram string, id string").parquet(f"{index.path}/postings/{part}")
@@ -67,11 +68,13 @@ def search_substring(index: NameIndex, patterns: DataFrame) -> DataFrame:
     postings = index.read("postings", POSTINGS)
 
     def begins(rank: int) -> DataFrame:
-        """Where a pattern would begin in each name by one of its grams."""
-        met = postings.join(ranked.filter(F.col("rank") == rank), ["folder", "gram"])
-        return met.select("pattern", "id", F.explode("places").alias("place"), "at").select("pattern", "id", (F.col("place") - F.col("at")).alias("begin")).filter("begin > 0")
-
-    short = begins(1).filter(F.length("pattern") <= GRAM).select("pattern", "id").distinct()
-    both = begins(1).join(begins(2), ["pattern", "id", "begin"]).select("pattern", "id").distinct()
+        """Where patterns would begin in each name by one of their grams: a row for each place and gram, however many patterns have it there."""
+        own = ranked.filter(F.col("rank") == rank).select("folder", "gram", "at").distinct()
+        met = postings.join(own, ["folder", "gram"]).select("id", F.explode("places").alias("place"), "at", "gram")
+        return met.select("id", (F.col("place") - F.col("at")).alias("begin"), F.struct("at", "gram").alias(f"g{rank}")).filter("begin > 0")
+
+    pairs = ranked.groupBy("pattern").agg(*[F.max(F.when(F.col("rank") == r, F.struct("at", "gram"))).alias(f"g{r}") for r in (1, 2)])
+    short = ranked.filter((F.col("rank") == 1) & (F.length("pattern") <= GRAM)).select("folder", "gram", "pattern").join(postings, ["folder", "gram"]).select("pattern", "id").distinct()
+    both = begins(1).join(begins(2), ["id", "begin"]).join(pairs, ["g1", "g2"]).select("pattern", "id").distinct()
     whole = both.join(index.read("names", "id string, text string"), "id").filter(F.contains("text", F.col("pattern")))
     return short.unionByName(whole.select("pattern", "id"))
