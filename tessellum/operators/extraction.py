@@ -37,6 +37,8 @@ LINK_SCORE, NIL_SCORE = 0.7, 0.5
 def lexicon(entries: DataFrame) -> DataFrame:
     """Terms (term, canonical, type, priority) from (canonical, type, aliases, ord): names, aliases and their plain forms; the last of equal terms stays."""
     names = entries.select("ord", "canonical", "type", F.posexplode(F.concat(F.array("canonical"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("at", "name"))
+    # the last entry of equal names by a hash aggregate of numbers, so that only different names are sorted by the aggregate of structs
+    names = names.groupBy("at", "canonical", "type", "name").agg(F.max("ord").alias("ord"))
     rows = names.select("ord", "at", "canonical", "type", F.explode(F.array(F.struct(F.lit(0).alias("k"), F.col("name").alias("term")), F.struct(F.lit(1).alias("k"), fold_width(F.col("name")).alias("term")))).alias("t")).filter("t.term <> ''")
     priority = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in PRIORITIES.items() for x in kv]), F.col("type")), F.lit(99))
     last = F.max_by(F.struct("canonical", "type"), F.struct("ord", "at", "t.k")).alias("last")
