@@ -71,17 +71,28 @@ def file_page(files: DataFrame, page: int = 1, page_size: int = 20, file_type: s
 
 
 def structure_stats(files: DataFrame, sections: DataFrame, figures: DataFrame, tables: DataFrame, lines: DataFrame, doc_id: int | None = None) -> DataFrame:
-    """Counts over the left joins of all children: sum and mean are over the joined rows, as multiplied by them."""
+    """Counts over the left joins of all children: sum and mean are over the joined rows, as multiplied by them.
+
+    The joined rows aren't made: a table's figures and lines say how often it would stand in them. The
+    different ids of each kind of child give rows of numbers, which one aggregate adds up by document."""
     rows = files if doc_id is None else files.filter(F.col("id") == doc_id)
-    joined = (
-        rows.select("id", "filename").join(sections.select(F.col("doc_id").alias("id"), "section_id"), "id", "left")
-        .join(figures.select("section_id", F.col("elem_id").alias("figure")), "section_id", "left")
-        .join(tables.select("section_id", F.col("elem_id").alias("tbl"), "n_rows", "n_cols"), "section_id", "left")
-        .join(lines.select(F.col("table_elem_id").alias("tbl"), "row_index"), "tbl", "left")
-    )
-    return joined.groupBy("id", "filename").agg(
-        F.countDistinct("section_id").alias("sections_count"), F.countDistinct("figure").alias("figures_count"), F.countDistinct("tbl").alias("tables_count"), F.countDistinct("tbl", "row_index").alias("table_rows_count"),
-        F.sum("n_rows").alias("total_table_rows"), F.round(F.avg("n_cols"), 4).alias("avg_table_cols"),
+    owner = sections.select(F.col("doc_id").alias("id"), "section_id")
+    times = lambda n: F.greatest(F.coalesce(n, F.lit(0)), F.lit(1))
+    one = lambda key: F.col(key).isNotNull().cast("long")
+    shown = figures.groupBy("section_id").agg(F.count("*").alias("shown"))
+    long = lines.groupBy(F.col("table_elem_id").alias("tbl"), "row_index").agg(F.count("*").alias("n")).groupBy("tbl").agg(F.sum("n").alias("long"), F.count("row_index").alias("indexes"))
+    heads = tables.select("section_id", F.col("elem_id").alias("tbl"), "n_rows", "n_cols").join(long, "tbl", "left").join(shown, "section_id", "left")
+    heads = heads.select("section_id", "tbl", "n_rows", "n_cols", "indexes", (times(F.col("long")) * times(F.col("shown"))).alias("times"))
+    of_sections = owner.distinct().select("id", one("section_id").alias("sections_count"))
+    of_figures = owner.join(figures.select("section_id", F.col("elem_id").alias("figure")), "section_id").select("id", "figure").distinct().select("id", one("figure").alias("figures_count"))
+    of_tables = owner.join(heads, "section_id").groupBy("id", "tbl").agg(
+        F.max("indexes").alias("table_rows_count"), F.sum(F.col("n_rows") * F.col("times")).alias("n_rows"), F.sum(F.col("n_cols") * F.col("times")).alias("n_cols"), F.sum(F.when(F.col("n_cols").isNotNull(), F.col("times"))).alias("times"),
+    ).select("id", one("tbl").alias("tables_count"), "table_rows_count", "n_rows", "n_cols", "times")
+    every = of_sections.unionByName(of_figures, allowMissingColumns=True).unionByName(of_tables, allowMissingColumns=True)
+    counts = every.groupBy("id").agg(*[F.sum(c).alias(c) for c in every.columns if c != "id"])
+    none = lambda name: F.coalesce(name, F.lit(0)).alias(name)
+    return rows.groupBy("id", "filename").agg(F.count("*").alias("copies")).join(counts, "id", "left").select(
+        "id", "filename", none("sections_count"), none("figures_count"), none("tables_count"), none("table_rows_count"), (F.col("n_rows") * F.col("copies")).alias("total_table_rows"), F.round(F.col("n_cols") / F.col("times"), 4).alias("avg_table_cols"),
     )
 
 
