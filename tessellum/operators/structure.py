@@ -67,11 +67,14 @@ def blocks(elements: DataFrame, date: str = DATE) -> DataFrame:
     """Elements as blocks of sections: a title starts a section; what stands before the first is in a default one."""
     rows = elements.filter(~blank(F.col("text")))
     doc = W.partitionBy("doc_id").orderBy("elem_index")
-    starts = F.col("elem_type").isin("Title", "Header")
-    rows = rows.withColumn("text", strip(F.col("text"))).withColumn("group", F.sum(starts.cast("int")).over(doc.rowsBetween(W.unboundedPreceding, 0)))
-    first = F.first("group").over(doc.rowsBetween(W.unboundedPreceding, 0))
+    so_far = doc.rowsBetween(W.unboundedPreceding, 0)
+    starts = F.coalesce(F.col("elem_type").isin("Title", "Header"), F.lit(False))
+    # all windows are in one order, so a document's texts are sorted and held once
+    rows = rows.withColumn("text", strip(F.col("text"))).withColumn("group", F.sum(starts.cast("int")).over(so_far)).withColumn("at", F.row_number().over(doc))
+    first = F.first("group").over(so_far)
     block_type = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in BLOCK_TYPES.items() for x in kv]), F.col("elem_type")), F.lit("paragraph"))
-    rows = rows.withColumn("section_no", (F.col("group") + 1 - first).cast("int")).withColumn("order", F.row_number().over(W.partitionBy("doc_id", "section_no").orderBy("elem_index"))).withColumn("type", block_type)
+    order = F.col("at") + 1 - F.max(F.when(starts | (F.col("at") == 1), F.col("at"))).over(so_far)
+    rows = rows.withColumn("section_no", (F.col("group") + 1 - first).cast("int")).withColumn("order", order).withColumn("type", block_type)
     prefix = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in PREFIXES.items() for x in kv]), F.col("type")), F.lit("para_p"))
     lines = F.transform(F.split("text", "\n"), lambda t, i: F.struct(F.concat("elem_id", F.lit("_r"), (i + 1).cast("string")).alias("row_id"), strip(t).alias("row_text")))
     return rows.select(
