@@ -7,9 +7,10 @@ list, which decides ties. All joins carry the document's id, so no range join ru
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from itertools import islice
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tessellum.functions.text import fold_width
 from tessellum.operators.intervals import overlapping
-from tessellum.operators.retrieval import cosine
+from tessellum.operators.retrieval import HashedEncoder, cosine, unit_vectors
 
 #: Rule patterns of entities, patterns of relations, and relations by the kinds of their ends.
 NER_PATTERNS = [
@@ -55,6 +56,23 @@ def _sent(rows: Iterator[tuple], columns: list[str]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(part, columns=columns)
 
 
+def _automaton(rows: Sequence[tuple]):
+    """The automaton of terms (term, …), whose values are places of rows."""
+    import ahocorasick
+
+    automaton = ahocorasick.Automaton()
+    for i, row in enumerate(rows):
+        automaton.add_word(row[0], i)
+    automaton.make_automaton()
+    return automaton
+
+
+def _held(rows: Iterator[tuple], names: list[str], types: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
+    """Rows in Arrow batches of HELD."""
+    while part := list(islice(rows, HELD)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part), types)], names)
+
+
 def scan(texts: DataFrame, terms: Sequence[tuple], around: int = 0) -> DataFrame:
     """Every occurrence of every term (term, canonical, type, priority), overlapping ones and those within words too.
 
@@ -62,27 +80,24 @@ def scan(texts: DataFrame, terms: Sequence[tuple], around: int = 0) -> DataFrame
     around: with the `context` of each of so many characters on both sides, so that texts need not meet their mentions again."""
     rows = [(str(t[0]).lower(), t[1], t[2], int(t[3])) for t in terms]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import ahocorasick
-
-        automaton = ahocorasick.Automaton()
-        for i, row in enumerate(rows):
-            automaton.add_word(row[0], i)
-        automaton.make_automaton()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = _automaton(rows)
 
-        def found(batch: pd.DataFrame) -> Iterator[tuple]:
-            for doc, text in zip(batch["doc_id"], batch["text"]):
+        def found(batch: pa.RecordBatch) -> Iterator[tuple]:
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 for last, i in automaton.iter(low(text or "")) if rows else ():
                     term, canonical, kind, priority = rows[i]
-                    start, end = last + 1 - len(term), last + 1
+                    end = last + 1
+                    start = end - len(term)
                     beside = (f"{text[max(start - around, 0) : start]} {text[end : end + around]}".strip(" "),) if around else ()
                     yield (doc, start, end, text[start:end], canonical, kind, priority, *beside)
 
         for batch in batches:
-            yield from _sent(found(batch), names)
+            yield from _held(found(batch), names, types)
 
     names = ["doc_id", "start", "end", "text", "canonical", "type", "priority", *(["context"] if around else [])]
-    return texts.select("doc_id", "text").mapInPandas(run, "doc_id long, start int, end int, text string, canonical string, type string, priority int" + (", context string" if around else ""))
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32(), *([pa.string()] if around else [])]
+    return texts.select("doc_id", "text").mapInArrow(run, "doc_id long, start int, end int, text string, canonical string, type string, priority int" + (", context string" if around else ""))
 
 
 def scan_columns(texts: DataFrame, terms: Sequence[tuple]) -> DataFrame:
@@ -471,3 +486,70 @@ def link(mentions: DataFrame, kb: DataFrame, k: int = 10) -> DataFrame:
     rows = blended.groupBy("doc_id", "pos").agg(*[F.first(c).alias(c) for c in mentions.columns if c not in ("doc_id", "pos")], best)
     linked = F.coalesce(F.col("best.cos") >= LINK_SCORE, F.lit(False))
     return rows.select(*mentions.columns, "best").withColumn("linked_id", F.when(linked, F.col("best.kb_id"))).withColumn("linking_status", F.when(linked, "linked").otherwise("nil")).withColumn("link_score", F.col("best.final")).drop("best")
+
+
+def link_entries(mentions: DataFrame, entries: Sequence[tuple], make: Callable = HashedEncoder, k: int = 10) -> DataFrame:
+    """`link` for mentions (…, text, type, context) and a knowledge base (kb_id, name, aliases, type, description) that goes along with the plan.
+
+    A mention is encoded with its context, compared with the entries of its type and done with in the task that has
+    it, so vectors and candidates are no rows and nothing is shuffled. `context` ends here. make: as of `encoder`."""
+    kept = [c for c in mentions.columns if c != "context"]
+    added = [F.lit(None).cast(t).alias(c) for c, t in (("linked_id", "string"), ("linking_status", "string"), ("link_score", "double"))]
+    schema = mentions.select(*kept, *added).schema
+    string = lambda a, b: 1.0 if a == b else 0.8 if a in b or b in a else 0.0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, by_type, blends = make(), {}, {}
+        for entry in sorted(entries):
+            by_type.setdefault(entry[3], []).append(entry)
+        units = {kind: unit_vectors(model, [f"{e[1]} {e[4] or ''}".strip(" ") for e in own]) for kind, own in by_type.items()}
+
+        def blend(text: str | None, kind: str) -> np.ndarray:
+            """What names and aliases give to the score, for each entry of the type."""
+            if text is None:
+                return np.zeros((len(by_type[kind]), 2))
+            if (text, kind) not in blends:
+                if len(blends) >= HELD:
+                    blends.clear()
+                low_ = text.lower()
+                blends[text, kind] = np.array([(0.4 * string(low_, e[1].lower()), 0.2 * max((string(low_, a.lower()) for a in e[2] or ()), default=0.0)) for e in by_type[kind]])
+            return blends[text, kind]
+
+        def linked(rows: pa.RecordBatch) -> pa.RecordBatch:
+            n = len(rows)
+            ids, scores, cosines = np.full(n, None, object), np.full(n, np.nan), np.full(n, -1.0)
+            texts, contexts, types = (rows.column(c).to_pylist() for c in ("text", "context", "type"))
+            of_type: dict[str, list[int]] = {}
+            for i, kind in enumerate(types):
+                if kind in by_type:
+                    of_type.setdefault(kind, []).append(i)
+            for kind, at in of_type.items():
+                x = unit_vectors(model, [" ".join(y for y in (texts[i], contexts[i]) if y is not None).strip(" ") for i in at])
+                cos = np.zeros((len(at), len(by_type[kind])))
+                for j in np.flatnonzero(units[kind].any(axis=0)):
+                    cos += x[:, j, None] * units[kind][None, :, j]  # one component after the other, as equal sums decide ties
+                of_text: dict[str | None, int] = {}
+                which = [of_text.setdefault(texts[i], len(of_text)) for i in at]
+                names = np.array([blend(t, kind) for t in of_text])[which]
+                final = 0.4 * cos + names[:, :, 0] + names[:, :, 1]
+                near = np.round(cos, 9)
+                if near.shape[1] > k:  # entries are in order of their ids
+                    order = np.argsort(-near, axis=1, kind="stable")[:, k:]
+                    np.put_along_axis(final, order, -np.inf, axis=1)
+                final[final < NIL_SCORE] = -np.inf
+                best = np.lexsort((-near, -np.round(final, 9)), axis=1)[:, 0] if near.shape[1] > 1 else np.zeros(len(at), int)
+                rows_ = np.arange(len(at))
+                good = np.isfinite(final[rows_, best])
+                places = np.array(at)[good]
+                scores[places], cosines[places] = final[rows_, best][good], cos[rows_, best][good]
+                ids[places] = [by_type[kind][b][0] for b in best[good]]
+            link_ = cosines >= LINK_SCORE
+            ids[~link_] = None
+            new = [pa.array(ids, pa.string()), pa.array(np.where(link_, "linked", "nil"), pa.string()), pa.array(scores, pa.float64(), mask=np.isnan(scores))]
+            return pa.RecordBatch.from_arrays([*[rows.column(c) for c in kept], *new], schema.names)
+
+        for batch in batches:
+            for at in range(0, len(batch), HELD):
+                yield linked(batch.slice(at, HELD))
+
+    return mentions.mapInArrow(run, schema)
