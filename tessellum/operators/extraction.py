@@ -6,7 +6,9 @@ list, which decides ties. All joins carry the document's id, so no range join ru
 
 from __future__ import annotations
 
+import json
 import re
+import zlib
 from collections.abc import Callable, Iterator, Sequence
 from itertools import islice
 
@@ -446,6 +448,160 @@ def evidence_digests(relations: DataFrame, least: float = 0.5) -> DataFrame:
     return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema).filter(F.col("confidence") >= least)
 
 
+#: What a sentence ends with, and the white space around it that falls off.
+SENTENCE_END, BLANK = re.compile(r"(?<=[。！？；.!?;])"), "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+#: Bytes that the digests of one share of a document hash, by a bound from above, and shares of a document at most.
+HASHED, SHARES = 1 << 31, 32
+
+
+def scan_sentences(texts: DataFrame, terms: Sequence[tuple]) -> DataFrame:
+    """The `sentences` of texts, each with the mentions that start in it: (doc_id, sent_no, sentence, mentions, shares), in order of places.
+
+    shares: into how many tasks the relations of the document are to be dealt, as evidences grow with the square of a sentence's mentions.
+
+    `mentions` is a JSON array of a text and a type for each, as short strings are shuffled in less room than lists. A text and its mentions are in one task already, so neither is shuffled to find the other."""
+    rows = [(str(t[0]).lower(), t[2]) for t in terms]
+    names = ["doc_id", "sent_no", "sentence", "mentions", "shares"]
+    types = [pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int32()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = _automaton(rows)
+
+        def found(batch: pa.RecordBatch) -> Iterator[tuple]:
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if not text:
+                    continue
+                spans = sorted((last + 1 - len(rows[i][0]), last + 1, i) for last, i in automaton.iter(low(text))) if rows else []
+                kept, end, at = [], 0, 0
+                for raw in SENTENCE_END.split(text):
+                    end += len(raw)
+                    begin = at
+                    while at < len(spans) and spans[at][0] < end:
+                        at += 1
+                    if sentence := raw.strip(BLANK):
+                        kept.append((sentence, begin, at))
+                hashed = sum((len(a[0]) + len(b[0])) * (b[2] - a[1]) ** 2 for a, b in zip(kept, kept[1:]))
+                shares = min(SHARES, hashed // HASHED + 1)
+                for number, (sentence, begin, at) in enumerate(kept):
+                    yield doc, number, sentence, json.dumps([x for a, b, i in spans[begin:at] for x in (text[a:b], rows[i][1])], ensure_ascii=False, separators=(",", ":")), shares
+
+        for batch in batches:
+            yield from _held(found(batch), names, types)
+
+    return texts.select("doc_id", "text").mapInArrow(run, "doc_id long, sent_no int, sentence string, mentions string, shares int")
+
+
+def related(mentions: Sequence[tuple[str, str]], kinds: dict[tuple[str, str], Sequence[str]]) -> dict[tuple, int]:
+    """How often each (head, relation, tail, head_type, tail_type) stands in mentions (text, type) in their order. A mention is met by the texts before it, not by each of them."""
+    out, before = {}, {}
+    for tail in mentions:
+        for head, n in before.items():
+            for relation in kinds.get((head[1], tail[1]), ()):
+                key = head[0], relation, tail[0], head[1], tail[1]
+                out[key] = out.get(key, 0) + n
+        before[tail] = before.get(tail, 0) + 1
+    return out
+
+
+class _Digest:
+    """The evidences of one relation as they come: how many, and the MD5 of all their texts."""
+
+    def __init__(self, head_type: str, tail_type: str):
+        import hashlib
+
+        self.ends, self.count, self.md5 = (head_type, tail_type), 0, hashlib.md5(usedforsecurity=False)
+
+    def take(self, n: int, block: memoryview | None, size: int) -> None:
+        """n times the same text; block: ` | ` and the text, repeated, of `size` each."""
+        if block is not None:
+            left = n
+            if not self.count:
+                self.md5.update(block[3:size])
+                left -= 1
+            several = len(block) // size
+            for _ in range(left // several):
+                self.md5.update(block)
+            self.md5.update(block[: left % several * size])
+        self.count += n
+
+
+def scanned_digests(rows: DataFrame, pairs: Sequence[tuple[str, str, str]] = TYPE_PAIRS, confidence: float = 0.6, least: float = 0.5, texts: bool = True) -> DataFrame:
+    """`evidence_digests` of `window_relations` for the rows of `scan_sentences`; without `texts` the digests are null and no sentence is shuffled.
+
+    The sentences of a document go by in their order. A window's pairs are those of each of its two sentences and
+    those between them, so a sentence is sent once, and each digest takes its text as often as it counts.
+    A task holds two sentences, and the digests of one document. A document of several `shares` is sent to as many
+    tasks, each of which takes the relations that a hash gives it."""
+    kinds: dict[tuple[str, str], list[str]] = {}
+    for head_type, tail_type, relation in pairs:
+        kinds.setdefault((head_type, tail_type), []).append(relation)
+    names = ["doc_id", "head", "head_type", "relation", "tail", "tail_type", "confidence", "evidence_count", "evidence_md5", "method"]
+    types = [pa.int64(), *[pa.string()] * 5, pa.float64(), pa.int64(), pa.string(), pa.string()]
+
+    def first_ends(mentions: list[tuple[str, str]], key: tuple, found: dict) -> tuple[str, str]:
+        """The types of the first pair of a relation, where its texts have several."""
+        if len(found) == 1:
+            return next(iter(found))
+        tails = [(i, kind) for i, (text, kind) in enumerate(mentions) if text == key[2]]
+        return next((kind, t) for i, (text, kind) in enumerate(mentions) if text == key[0] for j, t in tails if j > i and (kind, t) in found)
+
+    def taken(digests: dict, counts: dict, mentions: list[tuple[str, str]], evidence: bytes | None, share: int, shares: int) -> None:
+        by_key: dict[tuple, dict] = {}
+        for (*key, head_type, tail_type), n in counts.items():
+            if shares == 1 or zlib.crc32("\0".join(key).encode()) % shares == share:
+                by_key.setdefault(tuple(key), {})[head_type, tail_type] = n
+        again = None if evidence is None else b" | " + evidence
+        most = max((sum(found.values()) for found in by_key.values()), default=0)
+        size = 0 if again is None else len(again)
+        block = None if again is None else memoryview(again * max(1, min(most, (1 << 20) // size)))
+        for key, found in by_key.items():
+            if key not in digests:
+                digests[key] = _Digest(*first_ends(mentions, key, found))
+            digests[key].take(sum(found.values()), block, size)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def closed(at: tuple | None, digests: dict) -> Iterator[tuple]:
+            for (head, relation, tail), x in digests.items():
+                yield at[0], head, x.ends[0], relation, tail, x.ends[1], confidence, x.count, x.md5.hexdigest() if texts else None, "window"
+
+        def found() -> Iterator[tuple]:
+            at, last, digests = None, None, {}
+            for batch in batches:
+                columns = [batch.column(c).to_pylist() for c in ("doc_id", "share", "shares", "mentions")]
+                for doc, share, shares, listed, sentence in zip(*columns, batch.column("sentence").to_pylist() if texts else [None] * len(batch)):
+                    if (doc, share) != at:
+                        yield from closed(at, digests)
+                        at, last, digests = (doc, share), None, {}
+                    flat = json.loads(listed)
+                    mentions = list(zip(flat[::2], flat[1::2]))
+                    times: dict[tuple[str, str], int] = {}
+                    for m in mentions:
+                        times[m] = times.get(m, 0) + 1
+                    here = related(mentions, kinds), times, mentions, sentence
+                    if last is not None and (times or last[1]):
+                        counts = dict(last[0])
+                        for key, n in here[0].items():
+                            counts[key] = counts.get(key, 0) + n
+                        for head, n in last[1].items():
+                            for tail, m in times.items():
+                                for relation in kinds.get((head[1], tail[1]), ()):
+                                    key = head[0], relation, tail[0], head[1], tail[1]
+                                    counts[key] = counts.get(key, 0) + n * m
+                        if counts:
+                            taken(digests, counts, last[2] + mentions, f"{last[3]} {sentence}".encode() if texts else None, share, shares)
+                    last = here
+            yield from closed(at, digests)
+
+        yield from _held(found(), names, types)
+
+    asked = rows.filter("doc_id is not null").select("doc_id", "sent_no", "mentions", *(["sentence", "shares"] if texts else [F.lit(1).alias("shares")]))
+    asked = asked.select("*", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
+    out = asked.repartition("doc_id", "share").sortWithinPartitions("doc_id", "share", "sent_no").mapInArrow(run, "doc_id long, head string, head_type string, relation string, tail string, tail_type string, confidence double, evidence_count long, evidence_md5 string, method string")
+    return out.filter(F.col("confidence") >= least)
+
+
 def entity_ids(mentions: DataFrame, scope: str = "document") -> DataFrame:
     """(doc_id, text, id): the linked id or one of its place; the last mention of a text decides. scope: `document` puts the document into local ids, `shared` doesn't."""
     parts = ["doc_id"] if scope == "document" else []
