@@ -31,9 +31,13 @@ EXTENSIONS = ["pdf", "doc", "docx", "txt", "md", "xls", "xlsx", "ppt", "pptx", "
 MOST_BYTES = 104_857_600
 
 
+#: Unicode's white space.
+BLANKS = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(c: Column) -> Column:
     """Without white space at both ends, any Unicode white space."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.trim(c, F.lit(BLANKS))
 
 
 def blank(c: Column) -> Column:
@@ -44,9 +48,13 @@ def collapse(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)\s+", " ")
 
 
+#: Patterns of a character that is a token by itself, and of those that make tokens together.
+HAN, LETTER = r"\p{IsHan}", r"[\p{L}\p{N}&&[^\p{IsHan}]]"
+
+
 def tokens(c: Column, stop_words: Sequence[str] = STOP_WORDS) -> Column:
     """Lower-cased words of letters and digits; every Han character by itself; no stop words."""
-    found = F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"\p{IsHan}|[\p{L}\p{N}&&[^\p{IsHan}]]+"), F.lit(0))
+    found = F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(rf"{HAN}|{LETTER}+"), F.lit(0))
     return F.filter(found, lambda t: ~t.isin(*stop_words)) if stop_words else found
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessellum.functions.text import fold_width
+from tessellum.functions.text import BLANKS, fold_width
 from tessellum.operators.intervals import overlapping
 from tessellum.operators.retrieval import HashedEncoder, cosine, unit_vectors
 
@@ -448,8 +448,8 @@ def evidence_digests(relations: DataFrame, least: float = 0.5) -> DataFrame:
     return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema).filter(F.col("confidence") >= least)
 
 
-#: What a sentence ends with, and the white space around it that falls off.
-SENTENCE_END, BLANK = re.compile(r"(?<=[。！？；.!?;])"), "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+#: What a sentence ends with.
+SENTENCE_END = re.compile(r"(?<=[。！？；.!?;])")
 
 
 #: Bytes that the digests of one share of a document hash, by a bound from above, and shares of a document at most.
@@ -480,7 +480,7 @@ def scan_sentences(texts: DataFrame, terms: Sequence[tuple]) -> DataFrame:
                     begin = at
                     while at < len(spans) and spans[at][0] < end:
                         at += 1
-                    if sentence := raw.strip(BLANK):
+                    if sentence := raw.strip(BLANKS):
                         kept.append((sentence, begin, at))
                 hashed = sum((len(a[0]) + len(b[0])) * (b[2] - a[1]) ** 2 for a, b in zip(kept, kept[1:]))
                 shares = min(SHARES, hashed // HASHED + 1)
