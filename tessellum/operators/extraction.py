@@ -452,6 +452,20 @@ def evidence_digests(relations: DataFrame, least: float = 0.5) -> DataFrame:
 SENTENCE_END = re.compile(r"(?<=[。！？；.!?;])")
 
 
+def _sentences_of(text: str, automaton, rows: Sequence[tuple]) -> tuple[list[tuple[int, int, int]], list[tuple[str, int, int]]]:
+    """Mentions (start, end, row of the term) of a text in order of places, and its sentences with the places of their first and last mention in these."""
+    spans = sorted((last + 1 - len(rows[i][0]), last + 1, i) for last, i in automaton.iter(low(text))) if rows else []
+    kept, end, at, n = [], 0, 0, len(spans)
+    for raw in SENTENCE_END.split(text):
+        end += len(raw)
+        begin = at
+        while at < n and spans[at][0] < end:
+            at += 1
+        if sentence := raw.strip(BLANKS):
+            kept.append((sentence, begin, at))
+    return spans, kept
+
+
 #: Bytes that the digests of one share of a document hash, by a bound from above, and shares of a document at most.
 HASHED, SHARES = 1 << 31, 32
 
@@ -473,15 +487,7 @@ def scan_sentences(texts: DataFrame, terms: Sequence[tuple]) -> DataFrame:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if not text:
                     continue
-                spans = sorted((last + 1 - len(rows[i][0]), last + 1, i) for last, i in automaton.iter(low(text))) if rows else []
-                kept, end, at = [], 0, 0
-                for raw in SENTENCE_END.split(text):
-                    end += len(raw)
-                    begin = at
-                    while at < len(spans) and spans[at][0] < end:
-                        at += 1
-                    if sentence := raw.strip(BLANKS):
-                        kept.append((sentence, begin, at))
+                spans, kept = _sentences_of(text, automaton, rows)
                 hashed = sum((len(a[0]) + len(b[0])) * (b[2] - a[1]) ** 2 for a, b in zip(kept, kept[1:]))
                 shares = min(SHARES, hashed // HASHED + 1)
                 for number, (sentence, begin, at) in enumerate(kept):
@@ -493,6 +499,63 @@ def scan_sentences(texts: DataFrame, terms: Sequence[tuple]) -> DataFrame:
     return texts.select("doc_id", "text").mapInArrow(run, "doc_id long, sent_no int, sentence string, mentions string, shares int")
 
 
+def scan_relation_counts(texts: DataFrame, terms: Sequence[tuple], pairs: Sequence[tuple[str, str, str]] = TYPE_PAIRS, confidence: float = 0.6) -> DataFrame:
+    """How many evidences each relation of two neighbouring sentences has: (doc_id, head, relation, tail, confidence, evidence_count).
+
+    As `scanned_digests`, for those who ask for numbers alone: a text's relations are counted where it is scanned, so only they
+    are shuffled. A sentence's own pairs count once for each window that it is in."""
+    rows = [(str(t[0]).lower(), t[2]) for t in terms]
+    kinds = _kinds(pairs)
+    names = ["doc_id", "head", "relation", "tail", "n"]
+    types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = _automaton(rows)
+
+        def found(batch: pa.RecordBatch) -> Iterator[tuple]:
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                spans, kept = _sentences_of(text or "", automaton, rows)
+                counts: dict[tuple, int] = {}
+                before: dict[tuple[str, str], int] = {}
+                for number, (_, begin, end) in enumerate(kept if len(kept) > 1 else ()):
+                    mentions = [(text[a:b], rows[i][1]) for a, b, i in spans[begin:end]]
+                    if len(mentions) > 1:
+                        windows = (number > 0) + (number < len(kept) - 1)
+                        for key, n in related(mentions, kinds).items():
+                            counts[key] = counts.get(key, 0) + n * windows
+                    times: dict[tuple[str, str], int] = {}
+                    for m in mentions:
+                        times[m] = times.get(m, 0) + 1
+                    if before and times:
+                        _crossed(counts, before, times, kinds)
+                    before = times
+                for (head, relation, tail, _, _), n in counts.items():
+                    yield doc, head, relation, tail, n
+
+        for batch in batches:
+            yield from _held(found(batch), names, types)
+
+    out = texts.select("doc_id", "text").filter("doc_id is not null").mapInArrow(run, "doc_id long, head string, relation string, tail string, n long")
+    return out.groupBy("doc_id", "head", "relation", "tail").agg(F.sum("n").alias("evidence_count")).withColumn("confidence", F.lit(confidence))
+
+
+def _kinds(pairs: Sequence[tuple[str, str, str]]) -> dict[tuple[str, str], list[str]]:
+    """Relations by the types of their ends."""
+    out: dict[tuple[str, str], list[str]] = {}
+    for head_type, tail_type, relation in pairs:
+        out.setdefault((head_type, tail_type), []).append(relation)
+    return out
+
+
+def _crossed(counts: dict[tuple, int], heads: dict[tuple[str, str], int], tails: dict[tuple[str, str], int], kinds: dict[tuple[str, str], Sequence[str]]) -> None:
+    """Add the pairs of the mentions of one sentence with those of a later one."""
+    for head, n in heads.items():
+        for tail, m in tails.items():
+            for relation in kinds.get((head[1], tail[1]), ()):
+                key = head[0], relation, tail[0], head[1], tail[1]
+                counts[key] = counts.get(key, 0) + n * m
+
+
 def related(mentions: Sequence[tuple[str, str]], kinds: dict[tuple[str, str], Sequence[str]]) -> dict[tuple, int]:
     """How often each (head, relation, tail, head_type, tail_type) stands in mentions (text, type) in their order. A mention is met by the texts before it, not by each of them."""
     out, before = {}, {}
@@ -513,30 +576,27 @@ class _Digest:
 
         self.ends, self.count, self.md5 = (head_type, tail_type), 0, hashlib.md5(usedforsecurity=False)
 
-    def take(self, n: int, block: memoryview | None, size: int) -> None:
+    def take(self, n: int, block: memoryview, size: int) -> None:
         """n times the same text; block: ` | ` and the text, repeated, of `size` each."""
-        if block is not None:
-            left = n
-            if not self.count:
-                self.md5.update(block[3:size])
-                left -= 1
-            several = len(block) // size
-            for _ in range(left // several):
-                self.md5.update(block)
-            self.md5.update(block[: left % several * size])
+        left = n
+        if not self.count:
+            self.md5.update(block[3:size])
+            left -= 1
+        several = len(block) // size
+        for _ in range(left // several):
+            self.md5.update(block)
+        self.md5.update(block[: left % several * size])
         self.count += n
 
 
-def scanned_digests(rows: DataFrame, pairs: Sequence[tuple[str, str, str]] = TYPE_PAIRS, confidence: float = 0.6, least: float = 0.5, texts: bool = True) -> DataFrame:
-    """`evidence_digests` of `window_relations` for the rows of `scan_sentences`; without `texts` the digests are null and no sentence is shuffled.
+def scanned_digests(rows: DataFrame, pairs: Sequence[tuple[str, str, str]] = TYPE_PAIRS, confidence: float = 0.6, least: float = 0.5) -> DataFrame:
+    """`evidence_digests` of `window_relations` for the rows of `scan_sentences`.
 
     The sentences of a document go by in their order. A window's pairs are those of each of its two sentences and
     those between them, so a sentence is sent once, and each digest takes its text as often as it counts.
     A task holds two sentences, and the digests of one document. A document of several `shares` is sent to as many
     tasks, each of which takes the relations that a hash gives it."""
-    kinds: dict[tuple[str, str], list[str]] = {}
-    for head_type, tail_type, relation in pairs:
-        kinds.setdefault((head_type, tail_type), []).append(relation)
+    kinds = _kinds(pairs)
     names = ["doc_id", "head", "head_type", "relation", "tail", "tail_type", "confidence", "evidence_count", "evidence_md5", "method"]
     types = [pa.int64(), *[pa.string()] * 5, pa.float64(), pa.int64(), pa.string(), pa.string()]
 
@@ -547,15 +607,15 @@ def scanned_digests(rows: DataFrame, pairs: Sequence[tuple[str, str, str]] = TYP
         tails = [(i, kind) for i, (text, kind) in enumerate(mentions) if text == key[2]]
         return next((kind, t) for i, (text, kind) in enumerate(mentions) if text == key[0] for j, t in tails if j > i and (kind, t) in found)
 
-    def taken(digests: dict, counts: dict, mentions: list[tuple[str, str]], evidence: bytes | None, share: int, shares: int) -> None:
+    def taken(digests: dict, counts: dict, mentions: list[tuple[str, str]], evidence: bytes, share: int, shares: int) -> None:
         by_key: dict[tuple, dict] = {}
         for (*key, head_type, tail_type), n in counts.items():
             if shares == 1 or zlib.crc32("\0".join(key).encode()) % shares == share:
                 by_key.setdefault(tuple(key), {})[head_type, tail_type] = n
-        again = None if evidence is None else b" | " + evidence
+        again = b" | " + evidence
         most = max((sum(found.values()) for found in by_key.values()), default=0)
-        size = 0 if again is None else len(again)
-        block = None if again is None else memoryview(again * max(1, min(most, (1 << 20) // size)))
+        size = len(again)
+        block = memoryview(again * max(1, min(most, (1 << 20) // size)))
         for key, found in by_key.items():
             if key not in digests:
                 digests[key] = _Digest(*first_ends(mentions, key, found))
@@ -564,13 +624,12 @@ def scanned_digests(rows: DataFrame, pairs: Sequence[tuple[str, str, str]] = TYP
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def closed(at: tuple | None, digests: dict) -> Iterator[tuple]:
             for (head, relation, tail), x in digests.items():
-                yield at[0], head, x.ends[0], relation, tail, x.ends[1], confidence, x.count, x.md5.hexdigest() if texts else None, "window"
+                yield at[0], head, x.ends[0], relation, tail, x.ends[1], confidence, x.count, x.md5.hexdigest(), "window"
 
         def found() -> Iterator[tuple]:
             at, last, digests = None, None, {}
             for batch in batches:
-                columns = [batch.column(c).to_pylist() for c in ("doc_id", "share", "shares", "mentions")]
-                for doc, share, shares, listed, sentence in zip(*columns, batch.column("sentence").to_pylist() if texts else [None] * len(batch)):
+                for doc, share, shares, listed, sentence in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "share", "shares", "mentions", "sentence")]):
                     if (doc, share) != at:
                         yield from closed(at, digests)
                         at, last, digests = (doc, share), None, {}
@@ -584,20 +643,15 @@ def scanned_digests(rows: DataFrame, pairs: Sequence[tuple[str, str, str]] = TYP
                         counts = dict(last[0])
                         for key, n in here[0].items():
                             counts[key] = counts.get(key, 0) + n
-                        for head, n in last[1].items():
-                            for tail, m in times.items():
-                                for relation in kinds.get((head[1], tail[1]), ()):
-                                    key = head[0], relation, tail[0], head[1], tail[1]
-                                    counts[key] = counts.get(key, 0) + n * m
+                        _crossed(counts, last[1], times, kinds)
                         if counts:
-                            taken(digests, counts, last[2] + mentions, f"{last[3]} {sentence}".encode() if texts else None, share, shares)
+                            taken(digests, counts, last[2] + mentions, f"{last[3]} {sentence}".encode(), share, shares)
                     last = here
             yield from closed(at, digests)
 
         yield from _held(found(), names, types)
 
-    asked = rows.filter("doc_id is not null").select("doc_id", "sent_no", "mentions", *(["sentence", "shares"] if texts else [F.lit(1).alias("shares")]))
-    asked = asked.select("*", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
+    asked = rows.filter("doc_id is not null").select("*", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
     out = asked.repartition("doc_id", "share").sortWithinPartitions("doc_id", "share", "sent_no").mapInArrow(run, "doc_id long, head string, head_type string, relation string, tail string, tail_type string, confidence double, evidence_count long, evidence_md5 string, method string")
     return out.filter(F.col("confidence") >= least)
 

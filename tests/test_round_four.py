@@ -62,6 +62,8 @@ def test_sentences_of_evidences_are_sent_once(spark, sf_dir, monkeypatch):
     plain = lambda df: sorted((r["doc_id"], r["sent_no"], r["sentence"]) for r in df.filter("doc_id is not null").collect())
     assert plain(sentences) == plain(E.sentences(texts))
     assert listed(E.scanned_digests(sentences, pairs)) == want and len(want) > 100
+    counted = E.scan_relation_counts(texts, terms, pairs).select("doc_id", "head", "relation", "tail", "evidence_count").collect()
+    assert sorted(map(tuple, counted)) == sorted((w[0], w[1], w[3], w[4], w[7]) for w in want)
     assert exchanges(X.relation_evidence(spark, sf_dir)) == 1
 
 
