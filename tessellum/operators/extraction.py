@@ -734,7 +734,7 @@ def link_entries(mentions: DataFrame, entries: Sequence[tuple], make: Callable =
                 if kind in by_type:
                     of_type.setdefault(kind, []).append(i)
             for kind, at in of_type.items():
-                x = unit_vectors(model, [" ".join(y for y in (texts[i], contexts[i]) if y is not None).strip(" ") for i in at])
+                x = unit_vectors(model, [f"{texts[i] or ''} {contexts[i] or ''}".strip(" ") for i in at])
                 cos = np.zeros((len(at), len(by_type[kind])))
                 for j in np.flatnonzero(units[kind].any(axis=0)):
                     cos += x[:, j, None] * units[kind][None, :, j]  # one component after the other, as equal sums decide ties
